@@ -12,8 +12,12 @@ from ..sources.tables import parse_json_col
 from .registry import query, table
 from .sqlfrag import HOST, UPATH, case_map, q, replace_first
 
-HOST_COL = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-UPATH_COL = F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1)
+def host_col():
+    return F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+
+
+def upath_col():
+    return F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1)
 
 # ---------------------------------------------------------------- STR-1
 REPL = {"the": "{{X}}", "{{X}}": "Y", "and": "$&", "2": "two"}
@@ -71,7 +75,7 @@ FROM pages
 WHERE ends_with({_LAKE}, '/_delta_log')
 """)
 def q_parse_lake_path(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.concat(HOST_COL, F.lit("/Tables"), UPATH_COL,
+    p = table(spark, sf, "pages").select("page_id", F.concat(host_col(), F.lit("/Tables"), upath_col(),
                                                             F.lit("/_delta_log")).alias("lake"))
     t = p.where(F.col("lake").endswith(text.DELTA_LOG_SUFFIX)).select("page_id", text.parse_lake_path("lake").alias("t"))
     return t.select("page_id", "t.name", "t.schema", "t.path")
@@ -90,11 +94,11 @@ FROM pages
 """)
 def q_relative_path(spark, sf):
     p = table(spark, sf, "pages")
-    full = F.concat(HOST_COL, F.lit("/Files"), UPATH_COL)
-    d = F.concat(HOST_COL, F.lit("/Files/"))
-    up = F.regexp_replace(UPATH_COL, "^/+", "")
+    full = F.concat(host_col(), F.lit("/Files"), upath_col())
+    d = F.concat(host_col(), F.lit("/Files/"))
+    up = F.regexp_replace(upath_col(), "^/+", "")
     return p.select("page_id", text.relative_path(full, d).alias("rel"), text.folder_prefix(up).alias("prefix"),
-                    text.base_name(UPATH_COL).alias("base"))
+                    text.base_name(upath_col()).alias("base"))
 
 
 # ---------------------------------------------------------------- STR-7
@@ -106,7 +110,7 @@ _ABFSS_2 = replace_first(_ABFSS_1, "'https://'", "'abfss://en@'")
 def q_to_abfss(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", text.to_abfss(F.col("url"), "en").alias("abfss"),
-                    text.build_path(HOST_COL, F.lit("Files"), F.lit("x")).alias("built"))
+                    text.build_path(host_col(), F.lit("Files"), F.lit("x")).alias("built"))
 
 
 # ---------------------------------------------------------------- STR-8 / FLT-8
@@ -119,7 +123,7 @@ FROM pages
 """)
 def q_file_language(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", text.file_language(text.base_name(UPATH_COL)).alias("language"))
+    return p.select("page_id", text.file_language(text.base_name(upath_col())).alias("language"))
 
 
 # ---------------------------------------------------------------- STR-9
@@ -134,7 +138,7 @@ FROM pages
 """)
 def q_extract_id(spark, sf):
     p = table(spark, sf, "pages")
-    loc = F.concat(F.lit("/workspaces/"), HOST_COL, F.lit("/items/x/jobs/instances"), UPATH_COL)
+    loc = F.concat(F.lit("/workspaces/"), host_col(), F.lit("/items/x/jobs/instances"), upath_col())
     return p.select("page_id", text.extract_id(loc).alias("job_id"))
 
 
