@@ -189,7 +189,8 @@ def _grams(text: Column, k: int) -> Column:
 
 
 def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: str,
-                  map_seq: str = "seq", old: str = "old_id", new: str = "new_id", max_gram: int = 8) -> DataFrame:
+                  map_seq: str = "seq", old: str = "old_id", new: str = "new_id", max_gram: int = 8,
+                  ordered: bool = True) -> DataFrame:
     """Replace ids in each document with the mappings of **earlier** documents,
     applied in mapping order, literal substring semantics (JN-10).
 
@@ -200,7 +201,9 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     candidate whose id is absent is a no-op in the fold, so the candidate set
     only has to contain every occurring id: the result is exact.  Mappings
     whose old id can be produced by an earlier replacement (it occurs inside
-    an earlier new id) are offered to every later document.
+    an earlier new id) are offered to every later document.  With
+    ``ordered=False`` every mapping applies to every document (still in
+    mapping order), as when capturing a package.
     """
     m = (mapping.select(F.col(map_seq).cast("long").alias("__mseq"), F.col(old).alias("__old"),
                         F.col(new).alias("__new"))
@@ -212,14 +215,15 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     k = int(min(shortest, max_gram))
     mk = m.withColumn("__g", F.substring("__old", 1, k))
     grams = d.select("__dseq", F.explode(_grams(F.col("__text"), k)).alias("__g"))
-    pairs = grams.join(mk, "__g").where(F.col("__mseq") < F.col("__dseq")) \
+    earlier = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
+    pairs = grams.join(mk, "__g").where(earlier) \
         .select("__dseq", "__mseq", "__old", "__new")
     # chained ids: an old id occurring in an earlier mapping's new id
     new_grams = m.select(F.col("__mseq").alias("__src"), F.explode(_grams(F.col("__new"), k)).alias("__g"))
     chained = (new_grams.join(mk, "__g").where((F.col("__src") < F.col("__mseq"))
                                                & (F.instr(F.col("__new"), F.col("__old")) > 0))
                .select("__mseq", "__old", "__new").distinct())
-    chain_pairs = d.select("__dseq").join(chained, F.col("__mseq") < F.col("__dseq"), "inner") \
+    chain_pairs = d.select("__dseq").join(chained, earlier, "inner") \
         .withColumn("__chain", F.lit(True))
     # keep candidates whose id occurs in the original text; of several
     # mappings for one id only the earliest can act (it removes every

@@ -6,8 +6,6 @@ can be checked, explained or written.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,5 +41,36 @@ def enrich_table(spark, root: str, table: str, source_col: str, result_col: str,
     return overwrite_table(out, f"{root.rstrip('/')}/Tables/{table}", fmt)
 
 
-def keep_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)
+def render_parts(parts: DataFrame, variables: DataFrame, key: str, text_col: str,
+                 replacements, name_col: str = "name", value_col: str = "value") -> DataFrame:
+    """JOB-2: apply a StringReplacement interceptor to every part with the
+    variables of its own deployment.
+
+    Replacement values that name a variable take that deployment's non-empty
+    value.  Only the variables the interceptor names are pivoted out of the
+    long variable table (``max(when(...))`` per deployment, map-side
+    combined), so no deployment's variables are gathered into a list.
+    """
+    from ..functions.text import ordered_entries
+    entries = ordered_entries(replacements)
+    needed = sorted({v for _, v in entries})
+    piv = variables.where(F.col(name_col).isin(needed)).groupBy(key).agg(
+        *[F.max(F.when(F.col(name_col) == v, F.col(value_col))).alias(f"__v{i}") for i, v in enumerate(needed)])
+    j = parts.join(piv, key, "left")
+    out = F.col(text_col)
+    for search, value in entries:
+        if not search:
+            continue
+        resolved = F.coalesce(F.nullif(F.col(f"__v{needed.index(value)}"), F.lit("")), F.lit(value))
+        out = F.replace(out, F.lit(search), resolved)
+    return j.withColumn(text_col, out).drop(*[f"__v{i}" for i in range(len(needed))])
+
+
+def capture_references(parts: DataFrame, key: str, text_col: str, items: DataFrame, id_col: str,
+                       name_col: str) -> DataFrame:
+    """JOB-7: replace every known item id in the parts by ``{{name}}``
+    (inverted references) so the captured package is portable."""
+    from ..functions.documents import invert_references
+    from ..operators.relational import ordered_remap
+    refs = invert_references(items, id_col, name_col).withColumn("seq", F.lit(0).cast("long"))
+    return ordered_remap(parts, refs, key, text_col, "seq", "search", "value", ordered=False)
