@@ -82,12 +82,12 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str
 def scan_text(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Whole file as one string per row (SRC-3); a file that cannot be read
     gives ``""`` (listed files left-joined to the text read)."""
-    r = spark.read.option("wholetext", "true")
+    r = spark.read
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    text = r.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    text = r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     files = list_files(spark, root, recursive, glob).select("path")
     return files.join(text, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
 
@@ -143,7 +143,7 @@ def parse_json_col(text: Column | str, schema: T.DataType | str, default: Column
 def scan_json_docs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Package documents, one JSON document per file; unreadable documents
     keep their row with a null payload (SRC-6)."""
-    raw = (spark.read.option("wholetext", "true").text(path)
+    raw = (spark.read.text(path, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
     return raw.select("path", "raw", parse_json_col("raw", schema).alias("doc"))
 
