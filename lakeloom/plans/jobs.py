@@ -74,3 +74,61 @@ def capture_references(parts: DataFrame, key: str, text_col: str, items: DataFra
     from ..operators.relational import ordered_remap
     refs = invert_references(items, id_col, name_col).withColumn("seq", F.lit(0).cast("long"))
     return ordered_remap(parts, refs, key, text_col, "seq", "search", "value", ordered=False)
+
+
+def catalog_inventory(listing: DataFrame, item_dir: str, name_col: str = "name") -> tuple[DataFrame, DataFrame]:
+    """JOB-3: one path listing -> (tables, files).
+
+    Tables are ``_delta_log`` folders or ADLS shortcuts under ``Tables``,
+    parsed to name/schema/path; files are every entry under ``Files`` with
+    its path relative to ``<item>/Files/``.  The listing is read once and
+    persisted because both outputs scan it.
+    """
+    from ..functions.text import DELTA_LOG_SUFFIX, base_name, parse_lake_path, relative_path
+    lst = listing.persist()
+    is_table = (F.col(name_col).endswith(DELTA_LOG_SUFFIX)
+                | (F.coalesce(F.col("isShortcut"), F.lit(False))
+                   & F.coalesce(F.col("accountType").isin("ADLS", "ExternalADLS"), F.lit(False))))
+    tbl_root = f"{item_dir.rstrip('/')}/Tables/"
+    file_root = f"{item_dir.rstrip('/')}/Files/"
+    tables = (lst.where(F.col(name_col).startswith(tbl_root) & is_table)
+              .select(parse_lake_path(F.col(name_col)).alias("t")).select("t.*"))
+    files = lst.where(F.col(name_col).startswith(file_root)).select(
+        F.lit("Files").alias("prefix"), base_name(F.col(name_col)).alias("name"),
+        relative_path(F.col(name_col), F.lit(file_root)).alias("path"),
+        F.col("isDirectory"), F.col("isShortcut"))
+    return tables, files
+
+
+def deployment_report(expected: DataFrame, deployed: DataFrame, jobs: DataFrame, key: str,
+                      item_keys, now) -> DataFrame:
+    """JOB-4: match expected items to deployed ones (a deployed duplicate
+    never counts twice), count them, fold job states into a status (rule R1)
+    and report the job duration.
+
+    ``jobs`` carries ``job_status``, ``ts`` and ``policy`` per ``key``.
+    """
+    from ..functions.dates import duration_struct, format_duration, millis_between
+    from ..operators.relational import status_fold
+    ik = [item_keys] if isinstance(item_keys, str) else list(item_keys)
+    found = deployed.select(key, *ik).distinct().withColumn("__hit", F.lit(True))
+    matched = expected.join(found, [key, *ik], "left")
+    counts = matched.groupBy(key).agg(F.count(F.lit(1)).alias("expected"),
+                                      F.count_if(F.col("__hit").isNotNull()).alias("deployed"))
+    span = jobs.groupBy(key).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    deps = counts.join(span, key, "left")
+    folded = status_fold(jobs, key, "job_status", "ts", "policy", deps, "expected", "deployed", "end_ts", now)
+    return folded.withColumn("duration", format_duration(duration_struct(millis_between("start_ts", "end_ts"))))
+
+
+def log_analytics(lines: DataFrame, run_col: str, line_col: str) -> DataFrame:
+    """JOB-6: parse log lines, count them by level per run and find the
+    first error (by time, then text) of each run."""
+    from ..functions.text import parse_log
+    p = lines.select(run_col, parse_log(line_col).alias("p")).select(run_col, "p.*")
+    return p.groupBy(run_col).agg(
+        F.count_if(F.col("level") == "INFO").alias("n_info"),
+        F.count_if(F.col("level") == "DEBUG").alias("n_debug"),
+        F.count_if(F.col("level") == "ERROR").alias("n_error"),
+        F.min(F.when(F.col("level") == "ERROR", F.struct("ts", "message"))).alias("__first"),
+    ).select(run_col, "n_info", "n_debug", "n_error", F.col("__first.message").alias("first_error"))
