@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.status import (CANCELLED, FAILED, IN_PROGRESS, PENDING, SUCCEEDED, in_grace,
                                 map_job_status)
 from ..functions.text import _lit
-from .ranking import rank_within_groups
+from .ranking import rank_within_groups  # noqa: F401 - re-exported
 
 
 def _cols(x) -> list[str]:
@@ -219,9 +219,10 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     pairs = grams.join(mk, "__g").where(earlier) \
         .select("__dseq", "__mseq", "__old", "__new")
     # chained ids: an old id occurring in an earlier mapping's new id
-    new_grams = m.select(F.col("__mseq").alias("__src"), F.explode(_grams(F.col("__new"), k)).alias("__g"))
+    new_grams = m.select(F.col("__mseq").alias("__src"), F.col("__new").alias("__srcnew"),
+                         F.explode(_grams(F.col("__new"), k)).alias("__g"))
     chained = (new_grams.join(mk, "__g").where((F.col("__src") < F.col("__mseq"))
-                                               & (F.instr(F.col("__new"), F.col("__old")) > 0))
+                                               & (F.instr(F.col("__srcnew"), F.col("__old")) > 0))
                .select("__mseq", "__old", "__new").distinct())
     chain_pairs = d.select("__dseq").join(chained, earlier, "inner") \
         .withColumn("__chain", F.lit(True))
