@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.status import (CANCELLED, FAILED, IN_PROGRESS, PENDING, SUCCEEDED, in_grace,
                                 map_job_status)
 from ..functions.text import _lit
+from ..session import ensure_parallelism
 from .ranking import rank_within_groups  # noqa: F401 - re-exported
 
 
@@ -178,6 +179,9 @@ def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, ti
 # Ordered id remapping (JN-10)
 # ---------------------------------------------------------------------------
 
+CHAIN_BROADCAST_ROWS = 100_000
+
+
 def _grams(text: Column, k: int) -> Column:
     """Distinct length-``k`` substrings of ``text`` (the text itself if shorter).
 
@@ -194,10 +198,11 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     """Replace ids in each document with the mappings of **earlier** documents,
     applied in mapping order, literal substring semantics (JN-10).
 
-    Candidate mappings are found with an equi-join on a ``k``-character
-    prefix of the old id against the distinct ``k``-grams of each document
-    (``k`` = the shortest old id, at most ``max_gram``), so the work is linear
-    in text size and no document is paired with the whole mapping.  A
+    Candidate mappings are found with an equi-join of the distinct
+    ``k``-grams of each document (``k`` = the shortest old id, at most
+    ``max_gram``) against one ``k``-gram per old id -- its rarest among all
+    ids, so shared prefixes do not create a hot key.  The work is linear in
+    text size and no document is paired with the whole mapping.  A
     candidate whose id is absent is a no-op in the fold, so the candidate set
     only has to contain every occurring id: the result is exact.  Mappings
     whose old id can be produced by an earlier replacement (it occurs inside
@@ -213,7 +218,20 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     if shortest is None:
         return docs
     k = int(min(shortest, max_gram))
-    mk = m.withColumn("__g", F.substring("__old", 1, k))
+    # index each id by its rarest k-gram among all ids, so ids sharing a
+    # prefix (cust-0000...) do not all land on one hot join key
+    # of several mappings for one id only the earliest can act (it removes
+    # every occurrence); later ones matter only when chained (below)
+    first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f")).select(
+        F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new"))
+    mg = m.select("__mseq", "__old", F.explode(_grams(F.col("__old"), k)).alias("__g"))
+    freq = mg.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    chosen = (mg.join(freq, "__g").groupBy("__mseq", "__old")
+              .agg(F.min(F.struct("__n", "__g")).alias("__c"))
+              .select("__mseq", "__old", F.col("__c.__g").alias("__g")))
+    all_keys = m.join(chosen, ["__mseq", "__old"])
+    mk = all_keys.join(first.select("__mseq", "__old"), ["__mseq", "__old"], "left_semi")
+    d = ensure_parallelism(d)
     grams = d.select("__dseq", F.explode(_grams(F.col("__text"), k)).alias("__g"))
     earlier = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
     pairs = grams.join(mk, "__g").where(earlier) \
@@ -221,19 +239,21 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     # chained ids: an old id occurring in an earlier mapping's new id
     new_grams = m.select(F.col("__mseq").alias("__src"), F.col("__new").alias("__srcnew"),
                          F.explode(_grams(F.col("__new"), k)).alias("__g"))
-    chained = (new_grams.join(mk, "__g").where((F.col("__src") < F.col("__mseq"))
-                                               & (F.instr(F.col("__srcnew"), F.col("__old")) > 0))
+    src_grams = new_grams.select("__src", "__srcnew", "__g").distinct()
+    chained = (src_grams.join(all_keys, "__g").where((F.col("__src") < F.col("__mseq"))
+                                                     & (F.instr(F.col("__srcnew"), F.col("__old")) > 0))
                .select("__mseq", "__old", "__new").distinct())
-    chain_pairs = d.select("__dseq").join(chained, earlier, "inner") \
-        .withColumn("__chain", F.lit(True))
-    # keep candidates whose id occurs in the original text; of several
-    # mappings for one id only the earliest can act (it removes every
-    # occurrence), unless the id is chained
+    chained = chained.persist()
+    n_chained = chained.count()
     verified = (pairs.join(d, "__dseq").where(F.instr(F.col("__text"), F.col("__old")) > 0)
-                .groupBy("__dseq", "__old").agg(F.min(F.struct("__mseq", "__new")).alias("__m"))
-                .select("__dseq", F.col("__m.__mseq").alias("__mseq"), "__old", F.col("__m.__new").alias("__new"),
-                        F.lit(False).alias("__chain")))
-    allp = verified.unionByName(chain_pairs)
+                .select("__dseq", "__mseq", "__old", "__new", F.lit(False).alias("__chain")))
+    if n_chained:
+        # every later document must try a chained id; broadcast the counted
+        # (small) chained set, never the documents
+        side = F.broadcast(chained) if n_chained <= CHAIN_BROADCAST_ROWS else chained
+        chain_pairs = d.select("__dseq").join(side, earlier, "inner").withColumn("__chain", F.lit(True))
+        verified = verified.unionByName(chain_pairs)
+    allp = verified.dropDuplicates(["__dseq", "__mseq"])
     per_doc = allp.groupBy("__dseq").agg(
         F.array_sort(F.collect_list(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
     out = docs.join(per_doc, docs[doc_seq] == per_doc["__dseq"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import LexiconScorer, Scorer
 from ..operators.project import append_result, drop_if_exists, require_columns
+from ..session import ensure_parallelism
 
 
 def text_enrichment(df: DataFrame, source_col: str, result_col: str,
@@ -22,7 +23,7 @@ def text_enrichment(df: DataFrame, source_col: str, result_col: str,
     ``documents.sentiment``); ``None`` keeps the whole struct.
     """
     require_columns(df, [source_col])
-    base = drop_if_exists(df, result_col)
+    base = ensure_parallelism(drop_if_exists(df, result_col))
     originals = list(base.columns)
     scorer = scorer or LexiconScorer()
     tmp = "__score"

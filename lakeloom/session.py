@@ -7,6 +7,8 @@ only holds the few session-level settings the operators rely on:
   and the streaming operators cast them to ``timestamp`` before watermarks);
 * adaptive query execution with skew-join splitting is on, so hot keys found at
   run time are split instead of landing in one task;
+* broadcast joins are chosen only by AQE from measured shuffle sizes, never
+  from planner estimates;
 * lineage is cut with ``DataFrame.checkpoint()`` into the shared folder named by
   ``spark.checkpoint.dir``.  The cluster sets it; only tests set their own.
 """
@@ -24,6 +26,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Never broadcast from planner estimates (an exploded or filtered side can
+    # be estimated small and be huge); AQE broadcasts a side only after its
+    # shuffle has run and its real size is known to be under the limit.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
@@ -35,6 +42,9 @@ def get_spark(app: str = "lakeloom", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs executors inside the driver JVM
+            builder = builder.config("spark.driver.memory", os.environ.get("LAKELOOM_DRIVER_MEMORY", "16g"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -77,3 +87,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables next to the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "staging", name)
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread rows over the cluster's cores before CPU-heavy per-row work.
+
+    A small input stored as one file (one row group) scans as one task; when
+    the plan has fewer partitions than ``factor`` x default parallelism the
+    rows are redistributed round-robin.  On large inputs the scan already has
+    many more splits than cores and this is a no-op, so no shuffle is added.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
