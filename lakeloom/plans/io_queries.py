@@ -147,8 +147,8 @@ def q_scan_json_docs(spark, sf):
     docs_df = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k")
                                                                            .cast("long")).alias("k"))
     docs_df.select(F.col("user_id").cast("string").alias("u"),
-                   F.to_json(F.struct("user_id", "n", "k")).alias("v")).repartition("u") \
-        .write.partitionBy("u").text(root)
+                   F.to_json(F.struct("user_id", "n", "k")).alias("v")) \
+        .repartition(spark.sparkContext.defaultParallelism, "u").write.partitionBy("u").text(root)
     schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("k", T.LongType())])
     parsed = tables.scan_json_docs(spark, root, schema)
