@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.status import (CANCELLED, FAILED, IN_PROGRESS, PENDING, SUCCEEDED, in_grace,
                                 map_job_status)
 from ..functions.text import _lit
-from ..session import ensure_parallelism
+from ..session import ensure_checkpoint_dir, ensure_parallelism
 from .ranking import rank_within_groups  # noqa: F401 - re-exported
 
 
@@ -148,6 +148,7 @@ def ancestor_path(nodes: DataFrame, id_col: str, parent_col: str, name_col: str,
     Each round's state is written with a reliable ``checkpoint`` so lineage
     stays one join deep and a lost executor recomputes one round only.
     """
+    ensure_checkpoint_dir(nodes.sparkSession)
     parents = nodes.select(F.col(id_col).alias("__pid"), F.col(parent_col).alias("__pparent"),
                            F.col(name_col).alias("__pname"))
     state = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__next"),

@@ -31,6 +31,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..session import apply_sql_defaults, ensure_checkpoint_dir
+    apply_sql_defaults(spark)
+    ensure_checkpoint_dir(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

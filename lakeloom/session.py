@@ -55,6 +55,22 @@ def get_spark(app: str = "lakeloom", master: str | None = None,
     return spark
 
 
+SQL_DEFAULTS = {k: v for k, v in DEFAULT_CONF.items() if k.startswith("spark.sql.")}
+
+
+def apply_sql_defaults(spark: SparkSession) -> None:
+    """Apply the library's runtime SQL settings to an existing session.
+
+    Used by the registered queries, which receive a session they did not
+    create; only SQL settings are touched (they are per-session and can be
+    changed at run time).
+    """
+    for k, v in SQL_DEFAULTS.items():
+        if k == "spark.sql.execution.arrow.pyspark.enabled":
+            continue
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
