@@ -353,7 +353,7 @@ def union_words(df: DataFrame, col: str, order: Sequence[str | Column], sep: str
     (AGG-6): one row per word with the order key and offset where it first
     appears.  Map-side combining ``min`` keeps frequent words cheap."""
     import re
-    words = df.select(_order_key(order).alias("__o"),
+    words = ensure_parallelism(df).select(_order_key(order).alias("__o"),
                       F.posexplode(F.split(F.col(col), re.escape(sep))).alias("__pos", "word"))
     first = words.groupBy("word").agg(F.min(F.struct("__o", "__pos")).alias("__f"))
     return first.select("word", F.col("__f.__o").alias("first_seen"), (F.col("__f.__pos") + 1).alias("first_pos"))

@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one test table with the library's session settings applied."""
     from ..session import apply_sql_defaults, ensure_checkpoint_dir
     apply_sql_defaults(spark)
     ensure_checkpoint_dir(spark)

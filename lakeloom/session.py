@@ -105,7 +105,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), "staging", name)
 
 
-def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
+def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
     """Spread rows over the cluster's cores before CPU-heavy per-row work.
 
     A small input stored as one file (one row group) scans as one task; when

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import _c
+from ..operators.ranking import rank_within_groups
 
 
 class ConflictError(RuntimeError):
@@ -66,14 +66,15 @@ def register(new: DataFrame, catalog: DataFrame, policy: str = "Abort",
     """Apply requested entries to a catalog under a conflict policy (SNK-4).
 
     * ``Abort``: any request whose key exists raises.
-    * ``GenerateUniqueName``: a conflicting request gets ``name_<k>`` with the
-      smallest ``k`` not used in the same path, numbered in request order.
+    * ``GenerateUniqueName``: conflicting requests get ``name_<k>``, numbered
+      in request order after the highest ``_<k>`` suffix the catalog already
+      uses for that name in the same path.
     * ``CreateOrOverwrite``: requests replace existing rows with the key.
     * ``OverwriteOnly``: like CreateOrOverwrite, but every request must
       target an existing row, else it raises.
 
     Returns the catalog after the change.  Everything is joins on the key and
-    ``row_number`` per path, with no driver round-trip.
+    a skew-safe row number per (path, name), with no driver round-trip.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown conflict policy {policy}")
@@ -96,8 +97,7 @@ def register(new: DataFrame, catalog: DataFrame, policy: str = "Abort",
     path_key, name_key = keys[0], keys[1]
     conflicts = req.where("__hit")
     order = [F.col(c) for c in new.columns]
-    w = W.partitionBy(path_key, name_key).orderBy(*order)
-    numbered = conflicts.withColumn("__k", F.row_number().over(w))
+    numbered = rank_within_groups(conflicts, [path_key, name_key], order, out="__k")
     # Existing suffixed names under the same base name shift the numbering.
     taken = (catalog.select(path_key, F.col(name_key).alias("__taken"))
              .where(F.col("__taken").rlike(r"_[0-9]+$")))
