@@ -36,7 +36,8 @@ def enrich_table(spark, root: str, table: str, source_col: str, result_col: str,
                  scorer: Scorer | None = None, fmt: str = "parquet") -> DataFrame:
     """JOB-1 end to end: scan, enrich and overwrite the table in place
     (through a staged copy, since a path cannot be overwritten while read)."""
-    from ..sources.tables import overwrite_table, scan_table
+    from ..sources.sinks import overwrite_table
+    from ..sources.tables import scan_table
     df = scan_table(spark, root, table, fmt)
     out = text_enrichment(df, source_col, result_col, scorer)
     return overwrite_table(out, f"{root.rstrip('/')}/Tables/{table}", fmt)
