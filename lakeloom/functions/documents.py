@@ -228,23 +228,30 @@ def apply_defaults(cfg: Column | str) -> Column:
 
 def check_manifest_names(items: DataFrame, workload_name: str | Column, item_col: str = "name",
                          parent_col: str = "workload", jobs_col: str | None = None) -> DataFrame:
-    """Manifest name checks (VAL-5): the item's parent name equals the
-    workload and item/job names start with ``<workload>.`` (case-sensitive).
-    Returns one row per violation."""
+    """Manifest name checks (VAL-5), one row per violation:
+
+    * the item's workload name differs from the workload's (``workload name
+      mismatch``);
+    * the item name does not start with ``<item's workload>.``
+      (``item name lacks prefix``), case-sensitive;
+    * a job type name does not start with ``<item name>.``
+      (``job name lacks prefix: <job>``).
+    """
     wl = workload_name if isinstance(workload_name, Column) else F.lit(workload_name)
-    prefix = F.concat(wl, F.lit("."))
+    name, parent = F.col(item_col), F.col(parent_col)
     item_rows = items.select(
-        F.col(item_col).alias("name"),
+        name.alias("name"),
         F.filter(F.array(
-            F.when(~F.coalesce(F.col(parent_col) == wl, F.lit(False)), F.lit("workload name mismatch")),
-            F.when(~F.coalesce(F.col(item_col).startswith(prefix), F.lit(False)), F.lit("item name lacks prefix")),
+            F.when(~F.coalesce(parent == wl, F.lit(False)), F.lit("workload name mismatch")),
+            F.when(~F.coalesce(name.startswith(F.concat(parent, F.lit("."))), F.lit(False)),
+                   F.lit("item name lacks prefix")),
         ), lambda m: m.isNotNull()).alias("errs"))
     out = item_rows.select("name", F.explode("errs").alias("error"))
     if jobs_col:
-        jobs = items.select(F.col(item_col).alias("name"), F.explode(jobs_col).alias("job"))
-        bad = jobs.where(~F.coalesce(F.col("job").startswith(prefix), F.lit(False))).select(
-            "name", F.concat(F.lit("job name lacks prefix: "), F.col("job")).alias("error"))
-        out = out.unionByName(bad)
+        jobs = items.select(name.alias("name"), F.explode(jobs_col).alias("job"))
+        bad = jobs.where(~F.coalesce(F.col("job").startswith(F.concat(F.col("name"), F.lit("."))), F.lit(False)))
+        out = out.unionByName(bad.select("name", F.concat(F.lit("job name lacks prefix: "), F.col("job"))
+                                         .alias("error")))
     return out
 
 

@@ -128,9 +128,9 @@ WITH items AS (
          CASE WHEN n.n_nationkey = 3 THEN 'OTHER' ELSE r.r_name END AS parent
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
 SELECT name, 'workload name mismatch' AS error FROM items WHERE parent <> workload
-UNION ALL SELECT name, 'item name lacks prefix' FROM items WHERE NOT starts_with(name, workload || '.')
+UNION ALL SELECT name, 'item name lacks prefix' FROM items WHERE NOT starts_with(name, parent || '.')
 UNION ALL SELECT name, 'job name lacks prefix: ' || job FROM (
-  SELECT name, workload, unnest([name || '.run', 'x.job']) AS job FROM items) WHERE NOT starts_with(job, workload || '.')
+  SELECT name, unnest([name || '.run', 'x.job']) AS job FROM items) WHERE NOT starts_with(job, name || '.')
 """)
 def q_check_names(spark, sf):
     n = table(spark, sf, "nation")
@@ -237,3 +237,32 @@ def q_capture_package(spark, sf):
     items = table(spark, sf, "customer").select(cid("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return capture_references(parts, "o_orderkey", "content", items, "id", "name").select(
         "o_orderkey", F.col("content").alias("captured"))
+
+
+@query("manifest_names", sql="""
+WITH items AS (
+  SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 'Wl' || CAST(n_regionkey AS VARCHAR) || '.' || n_name END AS name,
+         CASE WHEN n_nationkey = 7 THEN 'Other' ELSE 'Wl' || CAST(n_regionkey AS VARCHAR) END AS parent
+  FROM nation)
+SELECT name, 'workload name mismatch' AS error FROM items WHERE starts_with(parent, 'Other')
+UNION ALL SELECT name, 'item name lacks prefix' FROM items WHERE NOT starts_with(name, parent || '.')
+""")
+def q_manifest_names(spark, sf):
+    """VAL-5 over XML item manifests written from the nation table: each
+    manifest folder ``r=<region>`` belongs to workload ``Wl<region>``."""
+    from ..sources.tables import read_item_manifests
+    from .io_queries import scratch_dir
+    root = scratch_dir(spark, "manifests")
+    n = table(spark, sf, "nation")
+    wl = F.concat(F.lit("Wl"), F.col("n_regionkey").cast("string"))
+    name = F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise(F.concat(wl, F.lit("."), "n_name"))
+    parent = F.when(F.col("n_nationkey") == 7, F.lit("Other")).otherwise(wl)
+    xml = F.concat(F.lit("<?xml version='1.0' encoding='utf-8'?><ItemManifestConfiguration SchemaVersion=\"2.0.0\">"
+                         "<Item TypeName=\""), name, F.lit("\" Category=\"Data\"><Workload WorkloadName=\""), parent,
+                   F.lit("\" /></Item></ItemManifestConfiguration>"))
+    # one manifest document per file, as the build folder holds them
+    n.select(F.col("n_regionkey").cast("string").alias("r"), F.col("n_nationkey").cast("string").alias("k"),
+             xml.alias("x")).write.partitionBy("r", "k").text(root)
+    items = read_item_manifests(spark, root).withColumn(
+        "expected", F.concat(F.lit("Wl"), F.regexp_extract("file", r"r=([0-9]+)/", 1)))
+    return docs.check_manifest_names(items, F.col("expected"), "name", "workload")

@@ -130,6 +130,18 @@ def list_paths(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return file_rows.unionByName(dirs)
 
 
+def read_item_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Item manifests (XML) as rows ``(name, workload, file)``, read with
+    Spark's XML source, one row per ``<Item>`` element; input of the
+    manifest name checks (VAL-5)."""
+    schema = T.StructType([
+        T.StructField("_TypeName", T.StringType()),
+        T.StructField("Workload", T.StructType([T.StructField("_WorkloadName", T.StringType())]))])
+    raw = spark.read.format("xml").option("rowTag", "Item").schema(schema).load(path)
+    return raw.select(F.col("_TypeName").alias("name"), F.col("Workload._WorkloadName").alias("workload"),
+                      F.col("_metadata.file_path").alias("file"))
+
+
 # ---------------------------------------------------------------------------
 # JSON documents and pages (SRC-6, SRC-7)
 # ---------------------------------------------------------------------------
