@@ -213,7 +213,7 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     """
     m = (mapping.select(F.col(map_seq).cast("long").alias("__mseq"), F.col(old).alias("__old"),
                         F.col(new).alias("__new"))
-         .where(F.length("__old") > 0))
+         .where(F.length("__old") > 0)).persist()  # reused five times; id-sized, not text-sized
     shortest = m.agg(F.min(F.length("__old"))).first()[0]
     d = docs.select(F.col(doc_seq).cast("long").alias("__dseq"), F.col(text_col).alias("__text"))
     if shortest is None:
@@ -246,8 +246,10 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
                .select("__mseq", "__old", "__new").distinct())
     chained = chained.persist()
     n_chained = chained.count()
-    verified = (pairs.join(d, "__dseq").where(F.instr(F.col("__text"), F.col("__old")) > 0)
-                .select("__dseq", "__mseq", "__old", "__new", F.lit(False).alias("__chain")))
+    # candidates need no check against the text here: replacing an id that
+    # does not occur is a no-op in the fold, and skipping the check saves a
+    # second shuffle of the documents
+    verified = pairs.withColumn("__chain", F.lit(False))
     if n_chained:
         # every later document must try a chained id; broadcast the counted
         # (small) chained set, never the documents
