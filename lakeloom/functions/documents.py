@@ -21,9 +21,10 @@ from .text import _c, replace_many
 def decode_definition(parts: Column | str, path: str, schema) -> Column:
     """Pick the part with ``path``, base64 -> UTF-8 -> JSON (JSN-1).
     Missing part or malformed JSON gives null."""
-    part = F.element_at(F.filter(_c(parts), lambda p: p["path"] == F.lit(path)), 1)
+    part = F.try_element_at(F.filter(_c(parts), lambda p: p["path"] == F.lit(path)), F.lit(1))
+    from ..sources.tables import parse_json_col
     body = F.decode(F.unbase64(part["payload"]), "UTF-8")
-    return F.from_json(body, schema, {"mode": "PERMISSIVE"})
+    return parse_json_col(body, schema)
 
 
 def pick_output(data: Column | str) -> Column:
@@ -174,22 +175,24 @@ def validate_package(raw: Column | str) -> Column:
     """
     r = _c(raw)
     doc = F.from_json(r, PACKAGE_SCHEMA, {"mode": "PERMISSIVE"})
-    keys = F.map_keys(F.from_json(r, "map<string,string>", {"mode": "PERMISSIVE"}))
+    top = F.from_json(r, "map<string,string>", {"mode": "PERMISSIVE"})
+    is_obj = top.isNotNull()
+    keys = F.coalesce(F.map_keys(top), F.array().cast("array<string>"))
     allowed = F.array(*[F.lit(k) for k in TOP_LEVEL_KEYS])
     unknown = F.transform(F.array_sort(F.array_except(keys, allowed)), lambda k: F.concat(F.lit("unknown key: "), k))
     dc = doc["deploymentConfig"]
     fixed = F.array(
-        F.when(doc.isNull(), F.lit("not a JSON object")),
-        F.when(doc.isNotNull() & doc["id"].isNull(), F.lit("missing id")),
+        F.when(~is_obj, F.lit("not a JSON object")),
+        F.when(is_obj & doc["id"].isNull(), F.lit("missing id")),
         F.when(doc["id"].isNotNull() & ~doc["id"].rlike(ID_PATTERN), F.lit("invalid id")),
-        F.when(doc.isNotNull() & doc["displayName"].isNull(), F.lit("missing displayName")),
+        F.when(is_obj & doc["displayName"].isNull(), F.lit("missing displayName")),
         F.when(F.length(doc["displayName"]) == 0, F.lit("empty displayName")),
         F.when(dc["type"].isNotNull() & ~dc["type"].isin(*DEPLOYMENT_TYPES),
                F.concat(F.lit("invalid deployment type: "), dc["type"])),
         F.when(dc["location"].isNotNull() & ~dc["location"].isin(*DEPLOYMENT_LOCATIONS),
                F.concat(F.lit("invalid location: "), dc["location"])),
     )
-    items = F.coalesce(doc["items"], F.array())
+    items = F.coalesce(F.when(is_obj, doc["items"]), F.array().cast(PACKAGE_SCHEMA["items"].dataType))
     item_msgs = F.flatten(F.transform(items, lambda it, i: F.concat(
         F.array(
             F.when(it["type"].isNull(), F.concat(F.lit("item "), i.cast("string"), F.lit(": missing type"))),

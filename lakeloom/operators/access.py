@@ -43,8 +43,8 @@ def rule_rows(roles: DataFrame, role_col: str = "name", rules_col: str = "decisi
     the first ``Action`` permission.
     """
     r = roles.select(F.col(role_col).alias("role"), F.posexplode(rules_col).alias("rule_no", "rule"))
-    first = lambda name: F.element_at(F.filter(F.col("rule.permission"),
-                                               lambda p: p["attributeName"] == name), 1)
+    first = lambda name: F.try_element_at(F.filter(F.col("rule.permission"),
+                                                   lambda p: p["attributeName"] == name), F.lit(1))
     r = r.select("role", "rule_no", first("Path")["attributeValueIncludedIn"].alias("paths"),
                  first("Action")["attributeValueIncludedIn"].alias("actions"))
     r = r.select("role", "rule_no", F.explode_outer("actions").alias("action"), "paths")

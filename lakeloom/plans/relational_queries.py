@@ -331,7 +331,7 @@ FROM linked
 """)
 def q_tree_rank(spark, sf):
     linked = rel.link_parents(_listing(spark, sf))
-    named = linked.withColumn("name", F.element_at(F.filter(F.split("path", "/"), lambda s: s != ""), -1))
+    named = linked.withColumn("name", F.try_element_at(F.filter(F.split("path", "/"), lambda s: s != ""), F.lit(-1)))
     return rel.tree_rank(named, "parent", "name", "isDirectory", tie=["path"]).select("path", "parent", "rank")
 
 

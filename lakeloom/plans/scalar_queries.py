@@ -200,7 +200,7 @@ def q_parse_list(spark, sf):
     d = table(spark, sf, "documents")
     items = text.parse_list("text", prefix="w.")
     return d.select("doc_id", F.size(items).cast("long").alias("n_items"),
-                    F.element_at(items, 1).alias("first_item"), F.element_at(items, -1).alias("last_item"))
+                    F.try_element_at(items, F.lit(1)).alias("first_item"), F.try_element_at(items, F.lit(-1)).alias("last_item"))
 
 
 # ---------------------------------------------------------------- STR-15

@@ -82,7 +82,9 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str
 def scan_text(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Whole file as one string per row (SRC-3); a file that cannot be read
     gives ``""`` (listed files left-joined to the text read)."""
-    r = spark.read
+    # a file that cannot be read is skipped by the read and comes back from
+    # the listing with empty content
+    r = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if glob:
@@ -147,8 +149,20 @@ def read_item_manifests(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def parse_json_col(text: Column | str, schema: T.DataType | str, default: Column | None = None) -> Column:
-    """Parse JSON text; malformed text gives null (or ``default``) (SRC-6)."""
-    parsed = F.from_json(_c(text), schema, {"mode": "PERMISSIVE"})
+    """Parse JSON text; malformed text gives null (or ``default``) (SRC-6).
+
+    For a struct schema the text is parsed once with a corrupt-record field:
+    PERMISSIVE parsing would otherwise return a struct of nulls for bad text.
+    """
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)  # noqa: SLF001 - DDL string to DataType
+    t = _c(text)
+    if isinstance(schema, T.StructType):
+        with_bad = T.StructType(list(schema.fields) + [T.StructField("__bad", T.StringType(), True)])
+        p = F.from_json(t, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+        parsed = F.when(p.isNotNull() & p["__bad"].isNull(), p.dropFields("__bad"))
+    else:
+        parsed = F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema, {"mode": "PERMISSIVE"}))
     return parsed if default is None else F.coalesce(parsed, default)
 
 
