@@ -85,14 +85,14 @@ def lookup_names(requests: DataFrame, catalog: DataFrame, req_name: str, cat_nam
 def merge_updates(base: DataFrame, updates: DataFrame, key, order: Sequence[str | Column] | None = None) -> DataFrame:
     """Replace whole rows of ``base`` by their update, else keep (JN-8).
 
-    Several updates for one key: the last by ``order`` wins.
+    Several updates for one key never multiply a row: the last by ``order``
+    wins (by all columns when no order is given, so the pick is the same
+    on every retry).
     """
     keys = _cols(key)
     cols = [c for c in base.columns if c not in keys]
-    upd = updates.select(*keys, *cols)
-    if order is not None:
-        upd = last_per_key(updates.select(*keys, *cols, *[o for o in order if isinstance(o, str) and o not in cols
-                                                          and o not in keys]), keys, order).select(*keys, *cols)
+    extra = [o for o in (order or []) if isinstance(o, str) and o not in cols and o not in keys]
+    upd = last_per_key(updates.select(*keys, *cols, *extra), keys, list(order) if order else cols)
     u = upd.select(*keys, F.struct(*cols).alias("__u"))
     j = base.join(u, keys, "left")
     return j.select(*keys, *[F.when(F.col("__u").isNotNull(), F.col("__u")[c]).otherwise(F.col(c)).alias(c)
