@@ -113,5 +113,10 @@ def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
     rows are redistributed round-robin.  On large inputs the scan already has
     many more splits than cores and this is a no-op, so no shuffle is added.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001 - planning only, no job
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        # already shuffled: it has shuffle-partition parallelism, and asking an
+        # adaptive plan for its partitions would run its stages eagerly
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
