@@ -129,7 +129,7 @@ def invert_references(items: DataFrame, id_col: str, name_col: str) -> DataFrame
 # Package validation and defaults (VAL-3, VAL-4, VAL-5)
 # ---------------------------------------------------------------------------
 
-# Package schema keys and enumerations.
+# Package schema keys and enumerations (as the package format defines them).
 TOP_LEVEL_KEYS = ("$schema", "id", "displayName", "description", "icon", "deploymentConfig", "items", "data")
 ID_PATTERN = r"^[a-zA-Z0-9][a-zA-Z0-9\-_]*[a-zA-Z0-9]$"
 DEPLOYMENT_TYPES = ("UX", "SparkNotebook")

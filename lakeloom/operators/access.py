@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 
+# Rule wildcard and the role field listing directory members.
 WILDCARD = "*"
+DIRECTORY_MEMBERS = "microsoftEntraMembers"
 MAX_RULE_LENGTHS = 4096
 
 
@@ -95,7 +97,7 @@ def member_roles(members: DataFrame, member_col: str, role_col: str, member_id)
 
 def roles_with_member(roles: DataFrame, member_id: str, members_col: str = "members") -> DataFrame:
     """Nested form of JN-4: roles whose directory members include the id."""
-    arr = F.col(f"{members_col}.microsoftEntraMembers")
+    arr = F.col(f"{members_col}.{DIRECTORY_MEMBERS}")
     return roles.where(F.coalesce(F.exists(arr, lambda x: x["objectId"] == member_id), F.lit(False)))
 
 

@@ -172,7 +172,7 @@ def q_resolve_payload(spark, sf):
 # ---------------------------------------------------------------- SRC-9
 @query("resolve_source", sql=f"""
 SELECT p_partkey, CASE p_type
-  WHEN 'ECONOMY' THEN 'abfss://ws' || CAST(p_size AS VARCHAR) || '@onelake.dfs.fabric.microsoft.com/item'
+  WHEN 'ECONOMY' THEN 'abfss://ws' || CAST(p_size AS VARCHAR) || '@lake.example.net/item'
        || CAST(p_partkey AS VARCHAR) || '/Files/' || replace(p_name, ' ', '_')
   WHEN 'MEDIUM' THEN 's3a://' || lower(replace(p_brand, '#', '')) || '/data/' || CAST(p_partkey AS VARCHAR)
   WHEN 'LARGE' THEN 'abfss://c' || CAST(p_size AS VARCHAR) || '@acct.dfs.core.windows.net/dir/' || CAST(p_partkey AS VARCHAR)
@@ -208,7 +208,7 @@ def q_resolve_source(spark, sf):
         none.cast("struct<connectionId:string>").alias("externalDataShare"),
         F.when(t == "SMALL", F.struct(F.lit("https://blobacct.blob.core.windows.net").alias("location"),
                                       F.lit("/box").alias("subpath"))).alias("azureBlobStorage"))
-    return p.select("p_partkey", tables.resolve_source(target).alias("uri"))
+    return p.select("p_partkey", tables.resolve_source(target, lake_host="lake.example.net").alias("uri"))
 
 
 # ---------------------------------------------------------------- SNK-1

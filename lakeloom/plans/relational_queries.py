@@ -79,10 +79,10 @@ def q_filter_variant(spark, sf):
     e = table(spark, sf, "events")
     et = F.col("event_type")
     target = F.struct(
-        F.when(et == "click", F.struct(F.col("value").alias("size"), F.col("props").alias("path"))).alias("oneLake"),
-        F.when(et == "view", F.struct(F.col("value").alias("size"))).alias("amazonS3"))
+        F.when(et == "click", F.struct(F.col("value").alias("size"), F.col("props").alias("path"))).alias("lake"),
+        F.when(et == "view", F.struct(F.col("value").alias("size"))).alias("objectStore"))
     u = e.select("event_id", target.alias("target"))
-    return project.filter_variant(u, "target", "oneLake", F.col("target.oneLake.size") > 100).select("event_id")
+    return project.filter_variant(u, "target", "lake", F.col("target.lake.size") > 100).select("event_id")
 
 
 @query("filter_array_any", sql="""

@@ -247,12 +247,13 @@ def q_describe_schedule(spark, sf):
 
 
 # ---------------------------------------------------------------- MTH-1
-@query("tier", sql="""
-SELECT p_partkey,
-  CASE WHEN starts_with(p_type, 'F') THEN 'Fabric' WHEN starts_with(p_type, 'P') THEN 'Premium'
-       WHEN starts_with(p_type, 'A') THEN 'Azure' ELSE 'Unknown' END AS tier,
-  CASE WHEN starts_with(p_brand, 'F') THEN 'Fabric' WHEN starts_with(p_brand, 'P') THEN 'Premium'
-       WHEN starts_with(p_brand, 'A') THEN 'Azure' ELSE 'Unknown' END AS brand_tier
+def _tier_sql(col: str) -> str:
+    whens = " ".join(f"WHEN starts_with({col}, {q(p)}) THEN {q(t)}" for p, t in status.PRICING_TIERS)
+    return f"CASE {whens} ELSE 'Unknown' END"
+
+
+@query("tier", sql=f"""
+SELECT p_partkey, {_tier_sql('p_type')} AS tier, {_tier_sql('p_brand')} AS brand_tier
 FROM part
 """)
 def q_tier(spark, sf):

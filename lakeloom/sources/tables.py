@@ -197,6 +197,7 @@ def flatten_pages(pages: DataFrame, body_col: str, record_schema: T.StructType,
 # Payload and shortcut target resolution (SRC-8, SRC-9)
 # ---------------------------------------------------------------------------
 
+# Part payload types of the package format.
 PAYLOAD_TYPES = ("AssetLink", "Link", "OneLake", "InlineBase64")
 
 
@@ -221,7 +222,9 @@ def resolve_payload(parts: DataFrame, files: DataFrame, type_col: str = "payload
     return inline.unionByName(resolved).drop("__t")
 
 
-ONELAKE_HOST = "onelake.dfs.fabric.microsoft.com"
+# Host of the lake's ABFS endpoint; deployments pass their own.
+DEFAULT_LAKE_HOST = "lake.dfs.example.net"
+# Field names of the shortcut target union.
 TARGET_KINDS = ("oneLake", "amazonS3", "adlsGen2", "googleCloudStorage", "s3Compatible",
                 "dataverse", "externalDataShare", "azureBlobStorage")
 
@@ -244,10 +247,10 @@ def _container_path(account_host: Column, subpath: Column, scheme: str) -> Colum
                     F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(F.lit("")))
 
 
-def resolve_source(target: Column | str) -> Column:
+def resolve_source(target: Column | str, lake_host: str = DEFAULT_LAKE_HOST) -> Column:
     """Readable URI of a shortcut target (SRC-9); no credentials, no I/O.
 
-    oneLake -> ``abfss://ws@onelake.../item/path``; amazonS3 / s3Compatible
+    oneLake -> ``abfss://ws@<lake_host>/item/path``; amazonS3 / s3Compatible
     -> ``s3a://bucket/subpath``; adlsGen2 -> ``abfss://container@account/...``;
     azureBlobStorage -> ``wasbs://container@account/...``; googleCloudStorage
     -> ``gs://bucket/subpath``; dataverse -> ``domain/folder/table``;
@@ -259,7 +262,7 @@ def resolve_source(target: Column | str) -> Column:
     s3_bucket = F.substring_index(_host(s3["location"]), ".", 1)
     gcs_bucket = F.substring_index(_host(gcs["location"]), ".", 1)
     return F.coalesce(
-        F.when(ol.isNotNull(), F.concat(F.lit("abfss://"), ol["workspaceId"], F.lit("@" + ONELAKE_HOST + "/"),
+        F.when(ol.isNotNull(), F.concat(F.lit("abfss://"), ol["workspaceId"], F.lit("@" + lake_host + "/"),
                                         _join_path(ol["itemId"], ol["path"]))),
         F.when(s3.isNotNull(), F.concat(F.lit("s3a://"), _join_path(s3_bucket, s3["subpath"]))),
         F.when(s3c.isNotNull(), F.concat(F.lit("s3a://"), _join_path(s3c["bucket"], s3c["subpath"]))),
