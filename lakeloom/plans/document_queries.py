@@ -192,7 +192,8 @@ WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.event_type = e.event_type AND a.slot =
 """)
 def q_missed_runs(spark, sf):
     ev = table(spark, sf, "events")
-    bounds = ev.groupBy("event_type").agg(F.date_trunc("hour", F.min("ts")).alias("lo"), F.max("ts").alias("hi"))
+    bounds = ev.groupBy("event_type").agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz").alias("lo"),
+                                          F.max("ts").alias("hi"))
     expected = bounds.select("event_type", F.explode(F.sequence("lo", "hi", F.make_dt_interval(hours=F.lit(1))))
                              .alias("fire"))
     return schedule.missed_runs(expected, ev, "event_type", "fire", "ts", 60)
