@@ -30,10 +30,16 @@ def expand_schedule(schedules: DataFrame, key: str, window_from=None, window_to=
     if window_to is not None:
         hi = F.least(hi, F.lit(window_to).cast("timestamp_ntz"))
     s = s.withColumn("__lo", lo).withColumn("__hi", hi).where(F.col("__lo") <= F.col("__hi"))
-    cron = s.where(F.col("type") == "Cron").select(
-        key, "tz", F.explode(F.sequence(F.col("start"), F.col("__hi"),
-                                        F.make_dt_interval(mins=F.col("interval").cast("int")))).alias("fire_local"),
-        "__lo").where(F.col("fire_local") >= F.col("__lo")).drop("__lo")
+    # first firing at or after the window start, on the schedule's own grid,
+    # so the generated sequence covers only the window asked for
+    step_us = F.col("interval").cast("long") * 60_000_000
+    behind = F.unix_micros(F.col("__lo").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    skips = F.when(behind > 0, F.ceil(behind / step_us)).otherwise(F.lit(0)).cast("long")
+    first = F.col("start") + F.make_dt_interval(secs=(skips * step_us / 1_000_000).cast("decimal(18,6)"))
+    cron = s.where((F.col("type") == "Cron") & (F.col("interval") > 0)).withColumn("__first", first) \
+        .where(F.col("__first") <= F.col("__hi")).select(
+            key, "tz", F.explode(F.sequence(F.col("__first"), F.col("__hi"),
+                                            F.make_dt_interval(mins=F.col("interval").cast("int")))).alias("fire_local"))
     cal = s.where(F.col("type").isin("Daily", "Weekly")).select(
         key, "tz", "type", "weekdays", "times", "__lo", "__hi",
         F.explode(F.sequence(F.to_date("__lo"), F.to_date("__hi"))).alias("__day"))

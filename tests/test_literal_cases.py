@@ -209,3 +209,14 @@ def test_interceptor_registry(spark):
         documents.build_interceptor({"type": "Reference", "config": {"id": "loop"}}, g)
     with pytest.raises(documents.InterceptorError):
         documents.build_interceptor({"type": "Nope"}, g)
+
+
+def test_expand_schedule_window_clips_cron(spark):
+    s = spark.createDataFrame([(1, True, "Cron", dt.datetime(2000, 1, 1), dt.datetime(2100, 1, 1), "UTC", 90,
+                                None, None)],
+                              "id int, enabled boolean, type string, start timestamp_ntz, end timestamp_ntz, "
+                              "tz string, interval int, times array<string>, weekdays array<string>")
+    out = sorted(r.fire_local for r in expand_schedule(s, "id", "2024-01-01 00:00:00", "2024-01-01 06:00:00")
+                 .collect())
+    # 2000-01-01 00:00 + k * 90 min is on the grid at 2024-01-01 00:00, then every 90 minutes
+    assert out == [dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=90 * i) for i in range(5)]
