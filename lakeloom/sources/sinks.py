@@ -46,8 +46,16 @@ def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by
 
 def write_text(df: DataFrame, path: str, text_col: str, partition_col: str | None = None,
                mode: str = "overwrite") -> None:
-    """Write documents or log lines as text files, one folder per key (SNK-2)."""
-    w = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value")).write.mode(mode)
+    """Write documents or log lines as text files, one folder per key (SNK-2).
+
+    With a key, rows are rebalanced on it first (AQE ``rebalance``): each key
+    lands in few files instead of one file per task and key, and a key with
+    a third of the rows is split over several tasks rather than one.
+    """
+    out = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value"))
+    if partition_col:
+        out = out.hint("rebalance", partition_col)
+    w = out.write.mode(mode)
     if partition_col:
         w = w.partitionBy(partition_col)
     w.text(path)
