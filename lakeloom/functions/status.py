@@ -120,7 +120,11 @@ def is_open(job_id: Column | str, status: Column | str) -> Column:
     return _c(job_id).isNotNull() & (s.isNull() | ~s.isin(SUCCEEDED, FAILED, CANCELLED))
 
 
-def in_grace(end_ts: Column | str, now, minutes: int = 10) -> Column:
+# Grace after the job end before a deployment counts as failed.
+GRACE_MINUTES = 10
+
+
+def in_grace(end_ts: Column | str, now, minutes: int = GRACE_MINUTES) -> Column:
     """``end + minutes > now``; a missing end is never in grace (DTE-3)."""
     e = _c(end_ts)
     return F.coalesce(e + F.expr(f"INTERVAL {int(minutes)} MINUTES") > _lit(now), F.lit(False))

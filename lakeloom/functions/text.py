@@ -104,17 +104,21 @@ def intercept_base64(b64: ColumnOrName, f) -> Column:
 # Names and paths (STR-4 .. STR-8, STR-11)
 # ---------------------------------------------------------------------------
 
-def sanitize_name(s: ColumnOrName, n: int = 100) -> Column:
+# Characters not allowed in item names, default name length, and
+# the folder that marks a table.
+INVALID_NAME_CHARS = r'[<>:"/\\|?*]'
+DEFAULT_NAME_LENGTH = 100
+DELTA_LOG_SUFFIX = "/_delta_log"
+
+
+def sanitize_name(s: ColumnOrName, n: int = DEFAULT_NAME_LENGTH) -> Column:
     """Replace ``<>:"/\\|?*`` and whitespace runs by ``_``, collapse and trim
     underscores, then cut to ``n`` characters (0 means 100) (STR-4)."""
-    x = F.regexp_replace(_c(s), r'[<>:"/\\|?*]', "_")
+    x = F.regexp_replace(_c(s), INVALID_NAME_CHARS, "_")
     x = F.regexp_replace(x, r"\s+", "_")
     x = F.regexp_replace(x, r"_{2,}", "_")
     x = F.regexp_replace(x, r"^_+|_+$", "")
-    return F.substring(x, 1, n or 100)
-
-
-DELTA_LOG_SUFFIX = "/_delta_log"
+    return F.substring(x, 1, n or DEFAULT_NAME_LENGTH)
 
 
 def strip_delta_log(path: ColumnOrName) -> Column:
@@ -233,6 +237,8 @@ def unsuffix_name(name: ColumnOrName, deployment_id: ColumnOrName, enabled=True)
 # Extraction, logs, lists (STR-9, STR-10, STR-14, AGG-6 helper)
 # ---------------------------------------------------------------------------
 
+# Job instance id in a Location header, SQL connection string,
+# and the log line layout.
 JOB_INSTANCE_PATTERN = r"/jobs/instances/([^/?]+)"
 SQL_CONNECTION_PATTERN = r'Sql\.Database\("([^"]+)",\s*"([^"]+)"\)'
 

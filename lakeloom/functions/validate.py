@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import _c
 
+# Pool name rules and the range-check messages.
 RESERVED_POOL_NAME = "starter pool"
 NAME_PATTERN = r"^[a-zA-Z0-9\-_ ]+$"
+NAME_MAX_LENGTH = 64
+MIN_AT_LEAST_ONE = "Minimum {what} must be at least 1"
+MAX_AT_LEAST_ONE = "Maximum {what} must be at least 1"
+MIN_ABOVE_MAX = "Minimum {what} cannot be greater than maximum {what}"
 
 
 def js_trim(s: Column) -> Column:
@@ -21,7 +26,7 @@ def valid_name(s: Column | str) -> Column:
     name after trim + lower-case (VAL-2).  Null is invalid."""
     x = _c(s)
     t = js_trim(x)
-    ok = ((F.length(t) > 0) & F.length(x).between(1, 64) & x.rlike(NAME_PATTERN)
+    ok = ((F.length(t) > 0) & F.length(x).between(1, NAME_MAX_LENGTH) & x.rlike(NAME_PATTERN)
           & (F.lower(t) != RESERVED_POOL_NAME))
     return F.coalesce(ok, F.lit(False))
 
@@ -29,10 +34,9 @@ def valid_name(s: Column | str) -> Column:
 def range_errors(min_col: Column, max_col: Column, what: str = "node count") -> Column:
     """Messages in fixed order for a (min, max) pair (VAL-1); ``what`` is
     ``node count`` (autoscale) or ``executors`` (dynamic allocation)."""
-    label_min, label_max = f"Minimum {what}", f"Maximum {what}"
     msgs = F.array(
-        F.when(min_col < 1, F.lit(f"{label_min} must be at least 1")),
-        F.when(max_col < 1, F.lit(f"{label_max} must be at least 1")),
-        F.when(min_col > max_col, F.lit(f"{label_min} cannot be greater than {label_max[0].lower() + label_max[1:]}")),
+        F.when(min_col < 1, F.lit(MIN_AT_LEAST_ONE.format(what=what))),
+        F.when(max_col < 1, F.lit(MAX_AT_LEAST_ONE.format(what=what))),
+        F.when(min_col > max_col, F.lit(MIN_ABOVE_MAX.format(what=what))),
     )
     return F.filter(msgs, lambda m: m.isNotNull())

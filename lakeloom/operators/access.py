@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Rule wildcard and the role field listing directory members.
 WILDCARD = "*"
 DIRECTORY_MEMBERS = "microsoftEntraMembers"
+# Read-role builder names and paths.
+READER_SUFFIX, DEFAULT_READER, TABLES_PREFIX, READ, PERMIT = "Reader", "DefaultReader", "/Tables/", "Read", "Permit"
 MAX_RULE_LENGTHS = 4096
 
 
@@ -28,14 +30,14 @@ def read_role_rows(names: DataFrame, kind_col: str, name_col: str) -> DataFrame:
     effect Permit.
     """
     k, n = F.col(kind_col), F.col(name_col)
-    role = (F.when(k == "table", F.concat(n, F.lit("Reader")))
-            .when(k == "folder", F.concat(F.regexp_replace(n, r"[/\\\\]", "_"), F.lit("Reader")))
-            .when(k == "default", F.lit("DefaultReader")))
-    paths = (F.when(k == "table", F.array(F.concat(F.lit("/Tables/"), n)))
+    role = (F.when(k == "table", F.concat(n, F.lit(READER_SUFFIX)))
+            .when(k == "folder", F.concat(F.regexp_replace(n, r"[/\\\\]", "_"), F.lit(READER_SUFFIX)))
+            .when(k == "default", F.lit(DEFAULT_READER)))
+    paths = (F.when(k == "table", F.array(F.concat(F.lit(TABLES_PREFIX), n)))
              .when(k == "folder", F.array(F.concat(F.lit("/"), n), F.concat(F.lit("/"), n, F.lit("/*"))))
              .when(k == "default", F.array(F.lit(WILDCARD))))
-    return names.select(role.alias("role"), F.lit("Permit").alias("effect"),
-                        F.explode(paths).alias("path"), F.lit("Read").alias("action"))
+    return names.select(role.alias("role"), F.lit(PERMIT).alias("effect"),
+                        F.explode(paths).alias("path"), F.lit(READ).alias("action"))
 
 
 def rule_rows(roles: DataFrame, role_col: str = "name", rules_col: str = "decisionRules") -> DataFrame:

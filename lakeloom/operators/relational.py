@@ -365,8 +365,12 @@ def union_words(df: DataFrame, col: str, order: Sequence[str | Column], sep: str
 # Windows (WIN-2)
 # ---------------------------------------------------------------------------
 
+# Progress before the first item and the span the items share.
+PROGRESS_START, PROGRESS_SPAN = 30.0, 70.0
+
+
 def running_progress(items: DataFrame, package: str, order: Sequence[str | Column],
-                     start: float = 30.0, span: float = 70.0) -> DataFrame:
+                     start: float = PROGRESS_START, span: float = PROGRESS_SPAN) -> DataFrame:
     """Progress shown before item i of n: ``start + (i-1) * span / n`` (WIN-2)."""
     ranked = rank_within_groups(items, [package], order, out="item_no", with_count="n_items")
     return ranked.withColumn("progress", F.lit(start) + (F.col("item_no") - 1) * F.lit(span) / F.col("n_items"))

@@ -66,6 +66,7 @@ def write_binary(df: DataFrame, path: str, b64_col: str, keep=(), mode: str = "o
     df.select(*keep, F.unbase64(F.col(b64_col)).alias("content")).write.mode(mode).parquet(path)
 
 
+# Shortcut conflict policies.
 POLICIES = ("Abort", "GenerateUniqueName", "CreateOrOverwrite", "OverwriteOnly")
 
 

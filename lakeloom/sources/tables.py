@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.documents import PAYLOAD_TYPES
 from ..functions.text import _c, clean_base64
 from ..session import scratch_path
 
@@ -197,8 +198,6 @@ def flatten_pages(pages: DataFrame, body_col: str, record_schema: T.StructType,
 # Payload and shortcut target resolution (SRC-8, SRC-9)
 # ---------------------------------------------------------------------------
 
-# Part payload types of the package format.
-PAYLOAD_TYPES = ("AssetLink", "Link", "OneLake", "InlineBase64")
 
 
 def resolve_payload(parts: DataFrame, files: DataFrame, type_col: str = "payloadType",
