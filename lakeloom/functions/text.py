@@ -287,9 +287,15 @@ def parse_log(line: ColumnOrName) -> Column:
     return F.struct(g(1).alias("ts"), g(2).alias("level"), g(3).alias("message"), g(4).alias("params"))
 
 
+def js_trim(s: ColumnOrName) -> Column:
+    """Trim all leading/trailing whitespace like JavaScript ``trim`` (Spark's
+    ``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(s), r"^\s+|\s+$", "")
+
+
 def parse_list(s: ColumnOrName, prefix: str | None = None, sep: str = ",") -> Column:
     """Split on ``sep``, trim, drop empty entries, optionally prefix (STR-14)."""
-    items = F.filter(F.transform(F.split(_c(s), re.escape(sep)), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    items = F.filter(F.transform(F.split(_c(s), re.escape(sep)), js_trim), lambda x: F.length(x) > 0)
     if prefix is None:
         return items
     return F.transform(items, lambda x: F.concat(F.lit(prefix), x))

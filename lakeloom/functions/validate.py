@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c
+from .text import _c, js_trim
 
 # Pool name rules and the range-check messages.
 RESERVED_POOL_NAME = "starter pool"
@@ -16,11 +16,6 @@ MAX_AT_LEAST_ONE = "Maximum {what} must be at least 1"
 MIN_ABOVE_MAX = "Minimum {what} cannot be greater than maximum {what}"
 
 
-def js_trim(s: Column) -> Column:
-    """Trim all leading/trailing whitespace, like JavaScript ``trim``."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
-
-
 def valid_name(s: Column | str) -> Column:
     """Non-blank, 1-64 characters of ``[A-Za-z0-9_ -]``, not the reserved
     name after trim + lower-case (VAL-2).  Null is invalid."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.documents import PAYLOAD_TYPES
-from ..functions.text import _c, clean_base64
+from ..functions.text import _c, clean_base64, js_trim
 from ..session import scratch_path
 
 
@@ -183,7 +183,7 @@ def flatten_pages(pages: DataFrame, body_col: str, record_schema: T.StructType,
     a single object is accepted too.  One output row per record; pages are
     parsed and exploded in parallel, never gathered.
     """
-    body = F.trim(F.col(body_col))
+    body = js_trim(F.col(body_col))
     arr_t = T.ArrayType(record_schema)
     wrapped = F.from_json(body, T.StructType([T.StructField("value", arr_t, True)]))
     records = (F.when(body.startswith("["), F.from_json(body, arr_t))
