@@ -31,6 +31,10 @@ NEGATIVE_WORDS = (
 )
 
 
+# Frequent English words: their count is a cheap signal of English prose.
+FREQUENT_ENGLISH_WORDS = ("the", "and", "that", "for", "was", "with", "this", "are", "from")
+
+
 class Scorer(Protocol):
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame: ...
 
@@ -50,12 +54,15 @@ class LexiconScorer:
     """Counts positive and negative lexicon words; label by the larger count.
 
     Output struct: ``sentiment`` (positive, negative, mixed or neutral),
-    ``positive`` and ``negative`` hit counts.
+    ``positive`` and ``negative`` hit counts, and ``common`` -- hits of the
+    frequent-word list (how much of the text reads as English prose).
     """
 
-    def __init__(self, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS):
+    def __init__(self, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
+                 common: Sequence[str] = FREQUENT_ENGLISH_WORDS):
         self.positive = tuple(positive)
         self.negative = tuple(negative)
+        self.common = tuple(common)
 
     def expr(self, text: Column) -> Column:
         pos = lexicon_hits(text, self.positive)
@@ -63,7 +70,8 @@ class LexiconScorer:
         label = (F.when(pos > neg, "positive").when(neg > pos, "negative")
                  .when(pos > 0, "mixed").otherwise("neutral"))
         return F.when(text.isNotNull(), F.struct(label.alias("sentiment"), pos.alias("positive"),
-                                                  neg.alias("negative")))
+                                                  neg.alias("negative"),
+                                                  lexicon_hits(text, self.common).alias("common")))
 
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         return df.withColumn(out_col, self.expr(F.col(text_col)))

@@ -41,6 +41,6 @@ def test_pandas_scorer_plugs_in(spark):
 
 
 def test_lexicon_scorer_struct(spark):
-    df = spark.createDataFrame([("good good bad",)], ["t"])
+    df = spark.createDataFrame([("The good, the good and the bad",)], ["t"])
     r = LexiconScorer().score(df, "t", "s").first()["s"]
-    assert (r.sentiment, r.positive, r.negative) == ("positive", 2, 1)
+    assert (r.sentiment, r.positive, r.negative, r.common) == ("positive", 2, 1, 4)
