@@ -181,6 +181,7 @@ def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, ti
 # ---------------------------------------------------------------------------
 
 CHAIN_BROADCAST_ROWS = 100_000
+ID_BROADCAST_ROWS = 1_000_000
 
 
 def _grams(text: Column, k: int) -> Column:
@@ -231,7 +232,11 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
               .agg(F.min(F.struct("__n", "__g")).alias("__c"))
               .select("__mseq", "__old", F.col("__c.__g").alias("__g")))
     all_keys = m.join(chosen, ["__mseq", "__old"])
-    mk = all_keys.join(first.select("__mseq", "__old"), ["__mseq", "__old"], "left_semi")
+    mk = all_keys.join(first.select("__mseq", "__old"), ["__mseq", "__old"], "left_semi").persist()
+    # the id index is broadcast when its counted size allows, so the exploded
+    # document grams are never shuffled; beyond the limit, a shuffle join
+    if mk.count() <= ID_BROADCAST_ROWS:
+        mk = F.broadcast(mk)
     d = ensure_parallelism(d)
     grams = d.select("__dseq", F.explode(_grams(F.col("__text"), k)).alias("__g"))
     earlier = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
