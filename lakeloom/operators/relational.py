@@ -182,6 +182,7 @@ def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, ti
 
 CHAIN_BROADCAST_ROWS = 100_000
 ID_BROADCAST_ROWS = 1_000_000
+ID_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _grams(text: Column, k: int) -> Column:
@@ -235,7 +236,9 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     mk = all_keys.join(first.select("__mseq", "__old"), ["__mseq", "__old"], "left_semi").persist()
     # the id index is broadcast when its counted size allows, so the exploded
     # document grams are never shuffled; beyond the limit, a shuffle join
-    if mk.count() <= ID_BROADCAST_ROWS:
+    n_rows, n_chars = mk.agg(F.count(F.lit(1)), F.sum(F.length("__old") + F.length("__new")
+                                                         + F.length("__g"))).first()
+    if n_rows <= ID_BROADCAST_ROWS and 48 * n_rows + 2 * (n_chars or 0) <= ID_BROADCAST_BYTES:
         mk = F.broadcast(mk)
     d = ensure_parallelism(d)
     grams = d.select("__dseq", F.explode(_grams(F.col("__text"), k)).alias("__g"))
