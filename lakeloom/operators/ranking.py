@@ -12,7 +12,7 @@ without a per-key exchange:
 3. add the row count of the same key in all earlier partitions, from a small
    table of ``(key, partition) -> count`` (at most #keys + #partitions rows).
 
-The range-partitioned rows are written once to the shared checkpoint folder: Spark re-samples range
+The range-partitioned rows are checkpointed once into the shared checkpoint folder: Spark re-samples range
 bounds whenever an exchange is recomputed, and steps 2 and 3 must agree on
 which partition every row is in.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import cut_lineage
 
 _PID = "__pid"
 
@@ -42,10 +42,11 @@ def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols).withColumn(_PID, F.spark_partition_id())
-    # range bounds are re-sampled whenever the exchange is recomputed, and the
-    # two branches below must see the same partition ids: materialise once
-    # into the shared checkpoint folder (also what a lost executor recovers from)
-    ranged = materialize(ranged, "ranked")
+    # range bounds are re-sampled whenever the exchange is planned again, and
+    # the two branches below must see the same partition ids: cut lineage once
+    # with a reliable checkpoint into spark.checkpoint.dir (one RDD, one set
+    # of bounds; also what a lost executor recovers from)
+    ranged = cut_lineage(ranged)
     local_w = W.partitionBy(_PID, *keys).orderBy(*order_cols)
     local = ranged.withColumn("__local", F.row_number().over(local_w))
     counts = ranged.groupBy(*keys, _PID).agg(F.count(F.lit(1)).alias("__cnt"))

@@ -99,16 +99,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as parquet into the shared checkpoint folder and read it
-    back: one job, columnar storage, and a fixed result that later stages and
-    retries after a lost executor all see identically."""
-    import uuid
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables next to the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
