@@ -71,13 +71,23 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, delimiter
 # ---------------------------------------------------------------------------
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """File metadata without reading contents (``content`` is pruned)."""
+    """File metadata without reading contents (``content`` is pruned).
+
+    Spark's file scans skip zero-length files; their names are taken from
+    the file index the driver already holds and added with length 0.
+    """
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(root).select("path", "length", "modificationTime")
+    files = r.load(root)
+    meta = files.select("path", "length", "modificationTime")
+    indexed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
+        F.regexp_replace("path", "^file:///", "file:/").alias("path"))
+    empty = indexed.join(meta.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return meta.unionByName(empty)
 
 
 def scan_text(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:

@@ -106,3 +106,15 @@ def test_ancestor_path_cycle_is_truncated(spark):
     out = {r.id: (r.truncated, r.path) for r in rel.ancestor_path(nodes, "id", "parent", "name", max_depth=4)
            .collect()}
     assert out["c"] == (False, "C") and out["a"][0] and out["b"][0]
+
+
+def test_scan_text_keeps_files_without_text(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/t/sub")
+    with open(f"{tmp_dir}/t/a.txt", "w") as f:
+        f.write("line 1\nline 2\n")
+    open(f"{tmp_dir}/t/sub/empty.txt", "w").close()
+    out = {os.path.basename(r.path): r.content for r in tables.scan_text(spark, f"{tmp_dir}/t").collect()}
+    assert out == {"a.txt": "line 1\nline 2\n", "empty.txt": ""}
+    listing = {r.name: r.isDirectory for r in tables.list_paths(spark, f"{tmp_dir}/t").collect()}
+    assert listing == {"a.txt": False, "sub/empty.txt": False, "sub": True}
