@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -69,3 +70,25 @@ def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the value's decimal text, modulo ``mod``; null for null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
+
+
+def appended(df: DataFrame, inputs: dict[str, Column], make: Callable, fields: str) -> DataFrame:
+    """``df`` with columns made in Python from ``inputs``; nothing is shuffled.
+
+    ``make()`` is called once per task and returns a function from a batch of the
+    input columns to a list of arrow arrays, one for each field of ``fields``.
+    Input names must not be columns of ``df`` (operators prefix theirs with
+    ``__``); all columns of ``df`` pass through untouched.
+    """
+    own = df.columns
+    full = df.withColumns(inputs)
+    out = T.StructType.fromDDL(fields).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *fn(batch)], names=[*own, *out])
+
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+    return full.mapInArrow(run, schema)
