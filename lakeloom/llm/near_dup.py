@@ -11,8 +11,9 @@
 4. Confirmed links give components.  Buckets that then still hold more than one
    component go through a second round in which everything outside a bucket's
    main component is compared with all of the bucket: in pairs for buckets up to
-   ``PAIR_BUCKET`` classes, beyond that in blocks of ``BLOCK`` against ``BLOCK``
-   classes inside one task, which return only survivors.  So no link between
+   ``PAIR_BUCKET`` classes, beyond that (all larger buckets of one main component
+   together) in blocks of about ``BLOCK`` against ``BLOCK`` classes inside one
+   task, which verifies them too and returns only links.  So no link between
    different texts is lost in a bucket and a group of copies never makes all its
    pairs.
 
@@ -140,21 +141,44 @@ def _exact(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
             .mapInArrow(over_batches(confirm), "a long, b long"))
 
 
+def _common(one: np.ndarray, codes: np.ndarray, starts: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Shingles that a set has in common with each of several sets laid end to end."""
+    marks[one] = True
+    found = np.add.reduceat(marks[codes], starts, dtype=np.int64)
+    marks[one] = False
+    return found
+
+
 def _blocks(outside: DataFrame, members: DataFrame, nodes: DataFrame, similarity: float, miss: float,
             batch_values: int) -> DataFrame:
-    """Survivors between a large bucket's outside classes and all its classes, block against block."""
+    """Links between the outside classes and all classes of a large group, block against block.
+
+    Signatures prune and full sets confirm within the task, so that only links leave it.
+    """
     width = BANDS * BAND_ROWS
     counts = survival_counts(width, batch_values, similarity, miss)
+    percent = round(similarity * 100, 6)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out, side = [], group["outside"].to_numpy()
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, width)
         node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
+        raw = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        size = np.array([len(x) for x in raw])
+        names, codes = np.unique(np.concatenate(raw), return_inverse=True)
+        own = np.split(codes, np.cumsum(size)[:-1])
+        marks = np.zeros(len(names), bool)
         rest = np.flatnonzero(~side)
+        if not len(rest):
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        laid, starts = np.concatenate([own[k] for k in rest]), np.cumsum(size[rest]) - size[rest]
         for i in np.flatnonzero(side):
-            other = rest[comp[rest] != comp[i]]
-            hit = other[_survivors(np.broadcast_to(sig[i], (len(other), width)), sig[other], counts)]
-            out += [(min(node[i], m), max(node[i], m)) for m in node[hit]]
+            alive = np.flatnonzero(comp[rest] != comp[i])
+            alive = alive[_survivors(np.broadcast_to(sig[i], (len(alive), width)), sig[rest[alive]], counts)]
+            if len(alive):
+                common = _common(own[i], laid, starts, marks)[alive]
+                hit = rest[alive[100 * common >= percent * (size[i] + size[rest[alive]] - common)]]
+                out += [(min(node[i], m), max(node[i], m)) for m in node[hit]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     def dealt(df: DataFrame, own: str, other: str, flag: bool) -> DataFrame:
@@ -162,10 +186,10 @@ def _blocks(outside: DataFrame, members: DataFrame, nodes: DataFrame, similarity
         mine = F.pmod(F.xxhash64("node"), F.col(own))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
         x, y = (mine, every) if flag else (every, mine)
-        return df.select("bucket", "node", "comp", F.lit(flag).alias("outside"), x.alias("x"), y.alias("y"))
+        return df.select("main", "node", "comp", F.lit(flag).alias("outside"), x.alias("x"), y.alias("y"))
 
     both = dealt(outside, "nx", "ny", True).unionAll(dealt(members, "ny", "nx", False))
-    return (both.join(nodes.select("node", "sig"), "node").groupBy("bucket", "x", "y")
+    return (both.join(nodes.select("node", "sig", "shingles"), "node").groupBy("main", "x", "y")
             .applyInPandas(lambda key, g: compare(g), "a long, b long").distinct())
 
 
@@ -219,15 +243,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = (outside.filter(F.col("total") <= PAIR_BUCKET).select("bucket", F.col("node").alias("p"), F.col("comp").alias("pc"))
              .join(few.select("bucket", F.col("node").alias("q"), F.col("comp").alias("qc")), "bucket").filter("pc != qc")
              .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    sizes = {"ny": F.ceil(F.col("total") / BLOCK), "nx": F.ceil((F.col("total") - F.col("most")) / BLOCK)}
-    many = again.filter(F.col("total") > PAIR_BUCKET).withColumns(sizes)
-    blocks = _blocks(many.filter("comp != main"), many, nodes, *check)
-    late = written(_exact(_verify(pairs, nodes, *check).unionAll(blocks), nodes, similarity), "links")
+    # large buckets with one main component hold much the same classes in every band: they are compared once
+    many = again.filter(F.col("total") > PAIR_BUCKET).select("main", "node", "comp").distinct()
+    blocks = F.ceil(F.count("*") / BLOCK).alias("ny"), F.greatest(F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK), F.lit(1)).alias("nx")
+    many = written(many.join(many.groupBy("main").agg(*blocks), "main"), "many")
+    late = written(_exact(_verify(pairs, nodes, *check), nodes, similarity).unionAll(_blocks(many.filter("comp != main"), many, nodes, *check)), "links")
     roots = connected_components(links.unionAll(late))
 
     out = texts.select("__id", "__th", "node", "n").join(roots, "node", "left").withColumn("group_key", F.coalesce("root", "node"))
     low = out.filter("group_key is not null").groupBy("group_key").agg(F.min("__id").alias("low"))
-    out = out.join(low, "group_key", "left").withColumn("low", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("low")))
+    # written, so that a hot group's rows can be split over tasks in the join
+    out = out.join(written(low, "low"), "group_key", "left").withColumn("low", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("low")))
     return out.select(F.col("__id").alias("doc_id"), F.col("__th").alias("text_hash"), F.col("n").alias("n_shingles"),
                       F.col("low").alias("component_id"), "group_key", F.col("__id").eqNullSafe(F.col("low")).alias("kept"))
 
