@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import appended, crc_mod, query, read
+from .shared import appended, crc_mod, query, read, slices
 from .subwords import LETTERS, Adam, WordTable, ngram_ids
 
 BITS, LO, HI = 17, 2, 4
@@ -35,6 +35,8 @@ LEXICON = 200
 SEQUENCES, LENGTH = 3000, 40
 BLOCK = 64
 UNDETERMINED = "und"
+#: Texts are predicted some characters at a time.
+CALL_CHARS = 2_000_000
 
 
 @dataclass
@@ -249,15 +251,11 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
         words = WordTable(shipped.value.potentials)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts, names, scores = batch.column("__text").to_pylist(), [], []
-            start = size = 0
-            for i, t in enumerate(texts, 1):  # some million characters at a time
-                size += len(t or "")
-                if size > 4_000_000 or i == len(texts):
-                    found, share = predict(texts[start:i], shipped.value, words)
-                    names += found
-                    scores += share.tolist()
-                    start, size = i, 0
+            names, scores = [], []
+            for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS):
+                found, share = predict(texts, shipped.value, words)
+                names += found
+                scores += share.tolist()
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
         return run
 

@@ -108,11 +108,22 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(x, y) for *_, x, y in sorted(found)]
 
 
-def build_tokenizer(data: bytes) -> Tokenizer:
+def words_are_independent(m: Model) -> bool:
+    """Whether a text's ids are those of its words in turn.
+
+    So it is if merges never reach over the end of a word (no piece has a marker
+    after another character) and the text isn't changed but for its spaces.
+    """
+    return (m.model_type == BPE and m.add_dummy_prefix and not m.charsmap and not m.remove_extra_whitespaces
+            and not any(kind == USER_DEFINED or kind == NORMAL and SPACE in p.lstrip(SPACE) for p, _, kind in m.pieces))
+
+
+def build_tokenizer(data: bytes, *, prefix: bool = True) -> Tokenizer:
     """The model as a ``tokenizers.Tokenizer``: normaliser, metaspace marker, scores, byte fallback.
 
     Unigram and BPE models are supported; word and character models raise
     ``ValueError``, as do models that mark spaces after words or don't escape them.
+    Without ``prefix`` the marker before the text's first word is left to the caller.
     """
     m = parse_model(data)
     if m.model_type not in (UNIGRAM, BPE) or m.whitespace_as_suffix or not m.escape_whitespaces:
@@ -129,12 +140,11 @@ def build_tokenizer(data: bytes) -> Tokenizer:
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra_whitespaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    steps += [normalizers.Prepend(SPACE)] * m.add_dummy_prefix + [normalizers.Replace(" ", SPACE)]
+    steps += [normalizers.Prepend(SPACE)] * (m.add_dummy_prefix and prefix) + [normalizers.Replace(" ", SPACE)]
     tok.normalizer = normalizers.Sequence(steps)
-    if m.model_type == BPE and not any(SPACE in p.lstrip(SPACE) for p, _, kind in m.pieces if kind == NORMAL):
-        # no piece reaches over the end of a word, so words can be merged one by one
+    if words_are_independent(m):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
-    tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix or m.remove_extra_whitespaces else []
+    tail = [decoders.Strip(" ", 1, 0)] if prefix and (m.add_dummy_prefix or m.remove_extra_whitespaces) else []
     tok.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     tok.add_tokens([AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED])
     return tok

@@ -67,6 +67,16 @@ def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return run
 
 
+def slices(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """The list in runs of about ``chars`` characters (a longer text is a run of its own)."""
+    start = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= chars or i == len(texts):
+            yield texts[start:i]
+            start, size = i, 0
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the value's decimal text, modulo ``mod``; null for null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
