@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import appended, crc_mod, query, read
+from .shared import appended, crc_mod, query, read, slices
 from .subwords import LETTERS, Adam, WordTable, logistic_fit, ngram_ids, sigmoid
 
 BITS, LO, HI, DIM = 17, 3, 5, 8
@@ -30,7 +30,9 @@ WINDOW, STRIDE = 2, 1
 #: An n-gram counts if so many texts of the sample have it.
 LEAST_TEXTS = 5
 #: Bound of the labelled sample, per label; of one text no more than so many characters are fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 6_000
+#: Texts are scored some characters at a time.
+CALL_CHARS = 2_000_000
 
 
 @dataclass
@@ -62,7 +64,8 @@ class ToxicityModel:
         return worst
 
     def scores(self, texts: list[str], words: WordTable) -> np.ndarray:
-        return sigmoid(self.slope * self.worst(texts, words) + self.intercept)
+        logits = [self.worst(part, words) for part in slices(texts, CALL_CHARS)]
+        return sigmoid(self.slope * np.concatenate(logits) + self.intercept) if logits else np.zeros(0)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +93,8 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     tokens = [LETTERS.findall(t.lower()) for t in texts]
     counts = np.array([len(t) for t in tokens])
     vocabulary: dict[str, int] = {}
-    word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in tokens for w in t), np.int64, counts.sum())
+    word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in tokens for w in t), np.int32, counts.sum())
+    del tokens
     doc = np.repeat(np.arange(len(y)), counts)
 
     # n-grams that enough training texts have
@@ -98,10 +102,10 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     order = np.argsort(owner, kind="stable")
     ids, owner = ids[order], owner[order]
     reach = np.bincount(owner, minlength=len(vocabulary))
-    seen = np.unique(doc[~aside[doc]] * len(vocabulary) + word[~aside[doc]])
+    seen = np.unique(doc[~aside[doc]] * len(vocabulary) + word[~aside[doc]].astype(np.int64))
     starts = np.cumsum(reach) - reach
     texts_of = np.zeros(1 << BITS, np.int64)
-    for part in np.array_split(seen, max(1, len(seen) // 200_000)):
+    for part in np.array_split(seen, max(1, len(seen) // 40_000)):
         d, w = np.divmod(part, len(vocabulary))
         at = np.repeat(starts[w], reach[w]) + np.arange(reach[w].sum()) - np.repeat(np.cumsum(reach[w]) - reach[w], reach[w])
         # a text that lies in two parts counts twice at most, for the n-grams at the seam
@@ -110,7 +114,7 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     place = np.full(1 << BITS, -1)
     place[known] = np.arange(len(known))
     kept = place[ids] >= 0
-    gram, owner = place[ids[kept]], owner[kept]
+    gram, owner = place[ids[kept]].astype(np.int32), owner[kept].astype(np.int32)
     share_of = 1 / np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
 
     params = {"e": rng.normal(0, 0.1, (len(known), DIM)), "w": rng.normal(0, 0.5, DIM), "b": np.zeros(1)}
@@ -119,7 +123,8 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     fit = ~aside[text]
     begin, size, text = begin[fit], size[fit], text[fit]
     at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    window_of, word_of = np.repeat(np.arange(len(begin)), size), word[at]
+    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), word[at]
+    del at
     target = y[text]
 
     first_window = np.flatnonzero(np.diff(text, prepend=-1))
