@@ -30,10 +30,10 @@ OFFSETS = (1, 2)
 HIDDEN = 32
 #: Bounds of the labelled sample, per label.
 SAMPLE_GOOD, SAMPLE_POOR = 4000, 4000
-#: Words, numbers, and runs of one other mark.
-TOKEN = re.compile(r"[^\W\d_]+|\d+|([^\w\s])\1*|_+")
-#: Texts are gathered into pieces of about this many tokens.
-PIECE = 200_000
+#: Words, numbers, and runs of other marks.
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Texts are gathered into pieces of about this many tokens, and so many texts at most.
+PIECE, PIECE_TEXTS = 200_000, 256
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +55,13 @@ class TokenRows(dict):
         elif token.isdigit():
             shape = f"0{min(len(token), 9)}"
         elif not token[0].isalnum():
-            shape = token[0] * min(len(token), 4)
+            shape = token[-1] * min(len(token), 4)
         value = self[token] = xxhash.xxh3_64_intdigest(shape.lower() if shape is token else f"\0{shape}", seed=SEED) % ROWS
         return value
 
 
 def token_rows(text: str, rows: TokenRows) -> np.ndarray:
-    found = [m[0] for m in TOKEN.finditer(text)]
+    found = TOKEN.findall(text)
     return np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
 
 
@@ -71,7 +71,7 @@ def pieces(texts: list[str | None], rows: TokenRows):
     for i, t in enumerate(texts):
         own.append(token_rows(t, rows) if t else np.empty(0, np.int64))
         size += len(own[-1])
-        if size >= PIECE or i == len(texts) - 1:
+        if size >= PIECE or len(own) == PIECE_TEXTS or i == len(texts) - 1:
             yield np.concatenate(own), np.array([len(x) for x in own])
             own, size = [], 0
 
@@ -124,14 +124,13 @@ def pooled(texts: list[str | None], vectors: np.ndarray, rows: TokenRows) -> np.
     out = []
     for tokens, counts in pieces(texts, rows):
         part = np.zeros((len(counts), table.shape[1] + 2))
-        some = np.flatnonzero(counts)
-        if len(some):
-            start = (np.cumsum(counts) - counts)[some]
-            part[some, :-2] = np.add.reduceat(table[tokens], start, axis=0) / counts[some, None]
+        if len(tokens):
             text = np.repeat(np.arange(len(counts)), counts)
-            differ = np.bincount(np.unique(text * ROWS + tokens) // ROWS, minlength=len(counts))
-            part[some, -2] = differ[some] / counts[some]
-            part[some, -1] = np.log1p(counts[some])
+            often = np.bincount(text * ROWS + tokens, minlength=len(counts) * ROWS).reshape(-1, ROWS)
+            size = np.maximum(counts, 1)
+            part[:, :-2] = (often.astype(np.float32) @ table) / size[:, None]
+            part[:, -2] = np.count_nonzero(often, axis=1) / size
+            part[:, -1] = np.log1p(counts)
         out.append(part)
     found = np.concatenate(out) if out else np.zeros((0, table.shape[1] + 2))
     mean, square = found[:, :DIM], found[:, DIM : 2 * DIM]
