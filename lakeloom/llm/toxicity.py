@@ -29,8 +29,8 @@ BITS, LO, HI, DIM = 17, 3, 5, 8
 WINDOW, STRIDE = 2, 1
 #: An n-gram counts if so many texts of the sample have it.
 LEAST_TEXTS = 5
-#: Bound of the labelled sample, per label; of one text no more than so many characters are fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 6_000
+#: Bound of the labelled sample, per label, and of a text in it: a piece of a longer one may lack what made it toxic.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 2000, 6_000
 #: Texts are scored some characters at a time.
 CALL_CHARS = 2_000_000
 
@@ -78,6 +78,17 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[text] + within, np.minimum(counts[text], WINDOW), text
 
 
+def sorted_ngrams(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, word) in order of the words."""
+    ids, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), part):
+        gram, owner = ngram_ids(words[at : at + part], LO, HI, BITS)
+        order = np.argsort(owner, kind="stable")
+        ids.append(gram[order].astype(np.int32))
+        owners.append((owner[order] + at).astype(np.int32))
+    return np.concatenate(ids), np.concatenate(owners)
+
+
 def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int = 25, rate: float = 0.15, seed: int = 3) -> ToxicityModel:
     """Fit a model; without texts of both labels it scores every text by the share of toxic ones."""
     y = np.asarray(labels, float)
@@ -90,65 +101,68 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     for v in (0, 1):
         own = np.flatnonzero(y == v)
         aside[rng.permutation(own)[: len(own) // 5]] = True
-    tokens = [LETTERS.findall(t.lower()) for t in texts]
-    counts = np.array([len(t) for t in tokens])
     vocabulary: dict[str, int] = {}
-    word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in tokens for w in t), np.int32, counts.sum())
-    del tokens
+    runs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in LETTERS.findall(t.lower())), np.int32) for t in texts]
+    counts, word = np.array([len(r) for r in runs]), np.concatenate(runs)
     doc = np.repeat(np.arange(len(y)), counts)
 
     # n-grams that enough training texts have
-    ids, owner = ngram_ids(list(vocabulary), LO, HI, BITS)
-    order = np.argsort(owner, kind="stable")
-    ids, owner = ids[order], owner[order]
+    ids, owner = sorted_ngrams(list(vocabulary))
     reach = np.bincount(owner, minlength=len(vocabulary))
     seen = np.unique(doc[~aside[doc]] * len(vocabulary) + word[~aside[doc]].astype(np.int64))
     starts = np.cumsum(reach) - reach
     texts_of = np.zeros(1 << BITS, np.int64)
-    for part in np.array_split(seen, max(1, len(seen) // 40_000)):
+    for part in np.array_split(seen, max(1, len(seen) // 20_000)):
         d, w = np.divmod(part, len(vocabulary))
         at = np.repeat(starts[w], reach[w]) + np.arange(reach[w].sum()) - np.repeat(np.cumsum(reach[w]) - reach[w], reach[w])
         # a text that lies in two parts counts twice at most, for the n-grams at the seam
         texts_of += np.bincount(np.unique(np.repeat(d, reach[w]) << BITS | ids[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
+    del doc, seen
     known = np.flatnonzero(texts_of >= LEAST_TEXTS)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    kept = place[ids] >= 0
-    gram, owner = place[ids[kept]].astype(np.int32), owner[kept].astype(np.int32)
+    gram = place[ids]
+    owner, gram = owner[gram >= 0], gram[gram >= 0]
+    del ids
     share_of = 1 / np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
 
     params = {"e": rng.normal(0, 0.1, (len(known), DIM)), "w": rng.normal(0, 0.5, DIM), "b": np.zeros(1)}
     adam = Adam(params, rate)
-    begin, size, text = windows(counts)
-    fit = ~aside[text]
-    begin, size, text = begin[fit], size[fit], text[fit]
-    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), word[at]
-    del at
-    target = y[text]
-
+    begin, size, text = windows(np.where(aside, 0, counts))  # those of the texts to fit, as places among their own words
+    fitted = word[~np.repeat(aside, counts)]
+    begin, size, text = begin.astype(np.int32), size.astype(np.int32), text.astype(np.int32)
+    at = np.repeat(begin - (np.cumsum(size, dtype=np.int32) - size), size)
+    at += np.arange(len(at), dtype=np.int32)
+    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), fitted[at]
+    del at, word, runs
+    toxic = y[text] == 1
     first_window = np.flatnonzero(np.diff(text, prepend=-1))
+    per_text = np.diff(first_window, append=len(text))
     for step in range(first + steps):
         # the softmax is linear: every sum over vectors is a sum over one number for each n-gram
         of_word = np.bincount(owner, (params["e"] @ params["w"])[gram], len(vocabulary)) * share_of
-        total = np.concatenate([[0.0], np.cumsum(of_word[word])])
+        total = np.concatenate([[0.0], np.cumsum(of_word[fitted])])
         z = (total[begin + size] - total[begin]) / size + params["b"][0]
-        weight = np.ones(len(z))
+        del total
+        weight = np.ones(len(z), np.float32)
         if step >= first:
-            top = np.maximum.reduceat(z, first_window)
-            weight[(target == 1) & (z < np.repeat(top, np.diff(first_window, append=len(z))))] = 0
-        for v in (0, 1):  # both labels weigh the same
-            weight[target == v] /= max(weight[target == v].sum(), 1)
-        d = weight * (sigmoid(z) - target)
+            weight[toxic & (z < np.repeat(np.maximum.reduceat(z, first_window), per_text))] = 0
+        for own in (toxic, ~toxic):  # both labels weigh the same
+            weight[own] /= max(weight[own].sum(), 1)
+        d = weight * (sigmoid(z) - toxic)
+        bias = d.sum()
         pick = (d != 0)[window_of]
-        spread = np.bincount(word_of[pick], (d / size)[window_of[pick]], len(vocabulary))
+        d /= size
+        spread = np.bincount(word_of[pick], d[window_of[pick]], len(vocabulary))
         of_gram = np.bincount(gram, (spread * share_of)[owner], len(known))
-        adam.step({"e": np.outer(of_gram, params["w"]) + 1e-6 * params["e"], "w": of_gram @ params["e"] + 1e-6 * params["w"], "b": np.array([d.sum()])})
+        adam.step({"e": np.outer(of_gram, params["w"]) + 1e-6 * params["e"], "w": of_gram @ params["e"] + 1e-6 * params["w"], "b": np.array([bias])})
     table = unknown.copy()
     table[known] = params["e"] @ params["w"]
     model = ToxicityModel(table, float(params["b"][0]), 1.0, 0.0)
     held = np.flatnonzero(aside) if 0 < y[aside].sum() < aside.sum() else np.arange(len(y))
-    model.slope, model.intercept = logistic_fit(model.worst([texts[i] for i in held], WordTable(model.word_scores)), y[held])
+    words = WordTable(model.word_scores, 1 << 16)
+    worst = np.concatenate([model.worst(part, words) for part in slices([texts[i] for i in held], CALL_CHARS // 4)])
+    model.slope, model.intercept = logistic_fit(worst, y[held])
     return model
 
 
@@ -157,9 +171,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     """Texts and labels of a sample that doesn't depend on the order of rows, collected.
 
     Of each label value the rows with the smallest id hashes, at most
-    ``bounds[value]`` ids.  Of a text longer than ``chars`` a piece of that length
-    is taken whose place the hash decides.  Ids with conflicting labels, null
-    labels and null texts are not used.
+    ``bounds[value]`` ids.  Ids with conflicting labels, null labels, null texts
+    and texts of more than ``chars`` characters are not used.
     """
     own = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).alias("__y")).filter("__id is not null and __y is not null")
            .filter(usable("__id")).groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).filter("__y = __z"))
@@ -168,10 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     picked = picks[0]
     for p in picks[1:]:
         picked = picked.unionAll(p)
-    size = F.length(text_col)
-    at = F.pmod(order, F.greatest(size - chars, F.lit(0)) + 1) + 1
-    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
-    text = text.withColumn("__text", F.substr("__text", F.when(F.length("__text") > chars, F.pmod(order, F.length("__text") - chars + 1) + 1).otherwise(1).cast("int"), F.lit(chars)))
+    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text") <= chars)
     # one text of an id: repeated rows are no further evidence
     rows = text.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id").collect()
     return [r["__text"] for r in rows], np.array([r["__y"] for r in rows])
