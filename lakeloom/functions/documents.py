@@ -28,11 +28,13 @@ def decode_definition(parts: Column | str, path: str, schema) -> Column:
 
 
 def pick_output(data: Column | str) -> Column:
-    """``text/plain`` if present, else ``application/json`` as JSON text, else
-    the whole object (JSN-2)."""
+    """``text/plain`` if present and not empty, else ``application/json`` as
+    JSON text (a string keeps its quotes), else the whole object (JSN-2)."""
     d = _c(data)
-    return F.coalesce(F.get_json_object(d, "$['text/plain']"),
-                      F.get_json_object(d, "$['application/json']"), d)
+    found = F.try_variant_get(F.try_parse_json(d), "$['application/json']", "variant")
+    as_json = F.when(F.schema_of_variant(found) == "STRING", F.to_json(found)).otherwise(
+        F.get_json_object(d, "$['application/json']"))
+    return F.coalesce(F.nullif(F.get_json_object(d, "$['text/plain']"), F.lit("")), as_json, d)
 
 
 # ---------------------------------------------------------------------------

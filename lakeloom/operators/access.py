@@ -18,7 +18,6 @@ WILDCARD = "*"
 DIRECTORY_MEMBERS = "microsoftEntraMembers"
 # Read-role builder names and paths.
 READER_SUFFIX, DEFAULT_READER, TABLES_PREFIX, READ, PERMIT = "Reader", "DefaultReader", "/Tables/", "Read", "Permit"
-MAX_RULE_LENGTHS = 4096
 
 
 def read_role_rows(names: DataFrame, kind_col: str, name_col: str) -> DataFrame:
@@ -76,18 +75,16 @@ def path_access(rules: DataFrame, targets: DataFrame, target_col: str, rule_path
         cands = F.concat(F.array(F.lit("")),
                          F.transform(F.sequence(F.lit(1), F.greatest(F.size(segs), F.lit(1))),
                                      lambda n: F.array_join(F.slice(segs, 1, n), "/")))
-        tx = t.withColumn("__key", F.explode(F.array_distinct(cands)))
+        tx = t.withColumn("__key", F.explode(F.array_distinct(cands))).hint("merge")
         return tx.join(r, "__key").drop("__key", "__t")
     # compatible mode: prefixes at the rule lengths only ('*' -> length 0)
     r = rules.withColumn("__key", F.when(F.col(rule_path_col) == WILDCARD, F.lit("")).otherwise(F.col(rule_path_col)))
-    lengths = sorted(x[0] for x in r.select(F.length("__key").alias("l")).distinct().collect())
-    if len(lengths) > MAX_RULE_LENGTHS:
-        raise ValueError("rule paths have too many distinct lengths")
-    lens = F.array(*[F.lit(int(x)) for x in lengths]) if lengths else F.array().cast("array<int>")
-    cands = F.transform(F.filter(lens, lambda n: n <= F.length(F.col("__t"))),
-                        lambda n: F.substring(F.col("__t"), 1, n))
-    tx = t.withColumn("__key", F.explode(F.array_distinct(cands)))
-    return tx.join(r, "__key").drop("__key", "__t")
+    # one value for each length that occurs: at most as many as the longest rule has characters
+    lens = r.agg(F.collect_set(F.length("__key")).alias("__lens")).scalar()
+    cands = F.transform(F.filter(F.col("__lens"), lambda n: n <= F.length(F.col("__t"))),
+                        lambda n: F.substring(F.col("__t"), F.lit(1), n))
+    tx = t.withColumn("__lens", lens).withColumn("__key", F.explode(F.array_distinct(cands))).hint("merge")
+    return tx.join(r, "__key").drop("__key", "__t", "__lens")
 
 
 def member_roles(members: DataFrame, member_col: str, role_col: str, member_id) -> DataFrame:

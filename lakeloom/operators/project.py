@@ -52,10 +52,11 @@ def merge_metadata(base: DataFrame, override: DataFrame, key: str | Sequence[str
                    fields: Sequence[str]) -> DataFrame:
     """Field by field: the override value unless it is null (PRJ-5).
 
-    A left join on the key; the override side is keyed, so no row multiplies.
+    A left join on the key.  Several overrides of a key are reduced first, field
+    by field to the largest value that is not null, so no row multiplies.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    o = override.select(*keys, *[F.col(f).alias(f"__o_{f}") for f in fields])
+    o = override.groupBy(*keys).agg(*[F.max(f).alias(f"__o_{f}") for f in fields])
     j = base.join(o, keys, "left")
     return j.select(*[F.coalesce(F.col(f"__o_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
                       for c in base.columns])

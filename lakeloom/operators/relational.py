@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.status import (CANCELLED, FAILED, IN_PROGRESS, PENDING, SUCCEEDED, in_grace,
                                 map_job_status)
 from ..functions.text import _lit
-from ..session import ensure_checkpoint_dir, ensure_parallelism
+from ..session import cut_lineage, ensure_checkpoint_dir, ensure_parallelism
 from .ranking import rank_within_groups  # noqa: F401 - re-exported
 
 
@@ -123,13 +123,16 @@ def link_parents(listing: DataFrame, path_col: str = "path", dir_col: str = "isD
     listed goes to the root (null parent) (JN-6).
 
     ``shortcut_contents`` (``shortcut``, ``path`` relative, ``isDirectory``)
-    replaces the listed children of each expanded shortcut folder.
+    replaces everything listed below each expanded shortcut folder.
     """
     nodes = listing
     if shortcut_contents is not None:
         expanded = shortcut_contents.select(F.col(shortcut_col).alias("__sc")).distinct()
-        under = nodes.withColumn("__pp", parent_path(F.col(path_col)))
-        nodes = under.join(expanded, under["__pp"] == expanded["__sc"], "left_anti").drop("__pp")
+        segs = F.filter(F.split(F.col(path_col), "/"), lambda s: s != "")
+        above = F.when(F.size(segs) > 1, F.transform(F.sequence(F.lit(1), F.size(segs) - 1), lambda n: F.array_join(F.slice(segs, 1, n), "/")))
+        below = (nodes.select(F.col(path_col).alias("__gone"), F.explode(above).alias("__sc")).hint("merge")
+                 .join(expanded, "__sc").select("__gone").distinct())
+        nodes = nodes.join(below, nodes[path_col] == below["__gone"], "left_anti")
         added = shortcut_contents.select(F.concat(F.col(shortcut_col), F.lit("/"), F.col(path_col)).alias(path_col),
                                          F.col(dir_col))
         nodes = nodes.unionByName(added, allowMissingColumns=True)
@@ -139,33 +142,41 @@ def link_parents(listing: DataFrame, path_col: str = "path", dir_col: str = "isD
     return j.withColumn("parent", F.col("__fp")).drop("__pp", "__fp")
 
 
-def ancestor_path(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, max_depth: int = 64,
+def ancestor_path(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, max_depth: int | None = None,
                   sep: str = "/") -> DataFrame:
-    """Names from the root down to each node (JN-7).
+    """Names from the root down to each node (JN-7), however deep the tree is.
 
-    One parent join per level until no node has an unresolved parent, at most
-    ``max_depth`` rounds (a cycle stops there and is flagged ``truncated``).
-    Each round's state is written with a reliable ``checkpoint`` so lineage
-    stays one join deep and a lost executor recomputes one round only.
+    With ``max_depth`` longer paths keep their last names only and are flagged
+    ``truncated``.
+
+    Pointer doubling: a node knows the names from some ancestor down to itself;
+    each round it takes over what that ancestor knows, so rounds grow with the
+    logarithm of the depth.  Only nodes that have not reached a root take part,
+    so finished ones never meet under one null key.  A node that meets an id
+    twice is on, or below, a cycle: it stops with every id once and is flagged
+    ``truncated``.  Each round is written with a reliable ``checkpoint``.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    parents = nodes.select(F.col(id_col).alias("__pid"), F.col(parent_col).alias("__pparent"),
-                           F.col(name_col).alias("__pname"))
-    state = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("__next"),
-                         F.array(F.col(name_col)).alias("__names"), F.lit(1).alias("depth"))
-    for _ in range(max_depth - 1):
-        if state.where(F.col("__next").isNotNull()).limit(1).count() == 0:
-            break
-        j = state.join(parents, state["__next"] == parents["__pid"], "left")
-        state = j.select(
-            "id",
-            F.col("__pparent").alias("__next"),
-            F.when(F.col("__pid").isNotNull(), F.concat(F.array("__pname"), F.col("__names")))
-            .otherwise(F.col("__names")).alias("__names"),
-            (F.col("depth") + F.when(F.col("__pid").isNotNull(), 1).otherwise(0)).alias("depth"),
-        ).checkpoint(eager=True)
-    return state.select(F.col("id").alias(id_col), F.array_join("__names", sep).alias("path"), "depth",
-                        F.col("__next").isNotNull().alias("truncated"))
+    step = F.struct(F.col(id_col).alias("i"), F.col(name_col).alias("n"))
+    state = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("next"), F.array(step).alias("way"),
+                         F.lit(False).alias("truncated")).checkpoint(eager=True)
+    while state.where(F.col("next").isNotNull()).limit(1).count():
+        known = state.select(F.col("id").alias("kid"), F.col("next").alias("knext"), F.col("way").alias("kway"),
+                             F.col("truncated").alias("kcut"))
+        still = state.where(F.col("next").isNotNull()).join(known, F.col("next") == F.col("kid"), "left")
+        way = F.when(F.col("kid").isNotNull(), F.concat("kway", "way")).otherwise(F.col("way"))
+        once = F.array_distinct(way)
+        cut = F.size(once) < F.size(way)
+        still = still.select("id", F.when(cut | F.col("kcut"), None).otherwise(F.col("knext")).alias("next"),
+                             F.when(cut, once).otherwise(way).alias("way"),
+                             (cut | F.coalesce("kcut", F.lit(False))).alias("truncated"))
+        state = state.where(F.col("next").isNull()).unionByName(still).checkpoint(eager=True)
+    if max_depth:
+        long = F.size("way") > max_depth
+        state = state.withColumn("truncated", F.col("truncated") | long).withColumn("way", F.when(
+            long, F.slice("way", F.size("way") - max_depth + 1, max_depth)).otherwise(F.col("way")))
+    return state.select(F.col("id").alias(id_col), F.array_join(F.transform("way", lambda w: w["n"]), sep).alias("path"),
+                        F.size("way").alias("depth"), "truncated")
 
 
 def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, tie: Sequence[str] = (),
@@ -180,19 +191,44 @@ def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, ti
 # Ordered id remapping (JN-10)
 # ---------------------------------------------------------------------------
 
-CHAIN_BROADCAST_ROWS = 100_000
 ID_BROADCAST_ROWS = 1_000_000
 ID_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _grams(text: Column, k: int) -> Column:
-    """Distinct length-``k`` substrings of ``text`` (the text itself if shorter).
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of ``text`` of the given lengths.
 
-    One linear regex pass with a capturing look-ahead; indexing the string
-    position by position would rescan the UTF-8 prefix each time (O(L^2)).
+    One linear regex pass per length with a capturing look-ahead; indexing the
+    string position by position would rescan the UTF-8 prefix each time (O(L^2)).
     """
-    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
-    return F.array_distinct(F.when(F.length(text) >= k, grams).otherwise(F.array(text)))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in sizes]))
+
+
+def _fold(text: Column, reps: Column, reach: int) -> Column:
+    """Apply replacements in order: struct(text, steps).
+
+    ``steps`` has, for each replacement that changed the text, its place in the
+    order and the new text around each spot, ``reach`` characters to either side
+    (the whole text if two spots are closer than that), where another id may
+    have come into being.
+    """
+    def apply(acc: Column, r: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), F.replace(r["__old"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        done = F.replace(acc["text"], r["__old"], r["__new"])
+        pieces = F.split(acc["text"], quoted, -1)
+
+        def around(p: Column) -> Column:
+            near = F.exists(F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda x: F.length(x) < reach)
+            spots = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.concat(
+                F.right(F.get(p, i), F.lit(reach)), r["__new"], F.left(F.get(p, i + 1), F.lit(reach))))
+            return F.when(near, F.array(done)).otherwise(spots)
+
+        spots = F.transform(F.array(pieces), around)[0]
+        steps = F.concat(acc["steps"], F.transform(spots, lambda w: F.struct(r["__mseq"].alias("s"), w.alias("w"))))
+        return F.when(F.instr(acc["text"], r["__old"]) > 0, F.struct(done.alias("text"), steps.alias("steps"))).otherwise(acc)
+
+    none = F.array().cast("array<struct<s:bigint,w:string>>")
+    return F.aggregate(reps, F.struct(text.alias("text"), none.alias("steps")), apply)
 
 
 def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: str,
@@ -201,74 +237,64 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     """Replace ids in each document with the mappings of **earlier** documents,
     applied in mapping order, literal substring semantics (JN-10).
 
-    Candidate mappings are found with an equi-join of the distinct
-    ``k``-grams of each document (``k`` = the shortest old id, at most
-    ``max_gram``) against one ``k``-gram per old id -- its rarest among all
-    ids, so shared prefixes do not create a hot key.  The work is linear in
-    text size and no document is paired with the whole mapping.  A
+    Candidate mappings are found with an equi-join of the documents' distinct
+    grams against one gram per old id -- its rarest among all ids, so shared
+    prefixes do not create a hot key.  An id's gram has its own length (the id's,
+    at most ``max_gram``), so one short id changes nothing for others.  A
     candidate whose id is absent is a no-op in the fold, so the candidate set
-    only has to contain every occurring id: the result is exact.  Mappings
-    whose old id can be produced by an earlier replacement (it occurs inside
-    an earlier new id) are offered to every later document.  With
-    ``ordered=False`` every mapping applies to every document (still in
-    mapping order), as when capturing a package.
+    only has to contain every id that ever occurs.
+
+    A replacement can bring another id into being, within the new id or across
+    its edges.  So the text around each spot that changed is searched like the
+    documents, for mappings later in order; what is found joins the candidates
+    and the fold is repeated until nothing new is found.  The result is that of
+    applying every mapping in turn.  With ``ordered=False`` every mapping applies
+    to every document (still in mapping order), as when capturing a package.
+    Null new ids count as empty; ``doc_seq`` must be unique.
     """
-    m = (mapping.select(F.col(map_seq).cast("long").alias("__mseq"), F.col(old).alias("__old"),
-                        F.col(new).alias("__new"))
-         .where(F.length("__old") > 0)).persist()  # reused five times; id-sized, not text-sized
-    shortest = m.agg(F.min(F.length("__old"))).first()[0]
-    d = docs.select(F.col(doc_seq).cast("long").alias("__dseq"), F.col(text_col).alias("__text"))
-    if shortest is None:
+    m = cut_lineage(mapping.select(F.col(map_seq).cast("long").alias("__mseq"), F.col(old).alias("__old"),
+                                   F.coalesce(F.col(new), F.lit("")).alias("__new")).where(F.length("__old") > 0))
+    size = F.least(F.length("__old"), F.lit(max_gram))
+    sizes = sorted(r[0] for r in m.select(size).distinct().collect())  # max_gram values at most
+    if not sizes:
         return docs
-    k = int(min(shortest, max_gram))
-    # index each id by its rarest k-gram among all ids, so ids sharing a
-    # prefix (cust-0000...) do not all land on one hot join key
-    # of several mappings for one id only the earliest can act (it removes
-    # every occurrence); later ones matter only when chained (below)
-    first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f")).select(
-        F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new"))
-    mg = m.select("__mseq", "__old", F.explode(_grams(F.col("__old"), k)).alias("__g"))
+    reach = m.agg(F.max(F.length("__old"))).first()[0] - 1
+    d = docs.select(F.col(doc_seq).cast("long").alias("__dseq"), F.col(text_col).alias("__text")).where("__dseq is not null")
+    # of several mappings for one id only the earliest can act on what is there at first
+    first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f"))
+    own = F.filter(_grams(F.col("__old"), sizes), lambda g: F.length(g) == size)
+    mg = first.select("__old", F.explode(own).alias("__g"))
     freq = mg.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    chosen = (mg.join(freq, "__g").groupBy("__mseq", "__old")
-              .agg(F.min(F.struct("__n", "__g")).alias("__c"))
-              .select("__mseq", "__old", F.col("__c.__g").alias("__g")))
-    all_keys = m.join(chosen, ["__mseq", "__old"])
-    mk = all_keys.join(first.select("__mseq", "__old"), ["__mseq", "__old"], "left_semi").persist()
+    chosen = (mg.hint("merge").join(freq, "__g").groupBy("__old").agg(F.min(F.struct("__n", "__g")).alias("__c"))
+              .select("__old", F.col("__c.__g").alias("__g")))
+    index = cut_lineage(first.join(chosen, "__old"))
     # the id index is broadcast when its counted size allows, so the exploded
     # document grams are never shuffled; beyond the limit, a shuffle join
-    n_rows, n_chars = mk.agg(F.count(F.lit(1)), F.sum(F.length("__old") + F.length("__new")
-                                                         + F.length("__g"))).first()
-    if n_rows <= ID_BROADCAST_ROWS and 48 * n_rows + 2 * (n_chars or 0) <= ID_BROADCAST_BYTES:
-        mk = F.broadcast(mk)
+    n_rows, n_chars = index.agg(F.count(F.lit(1)), F.sum(2 * F.length("__old") + F.length("__f.__new"))).first()
+    near = n_rows <= ID_BROADCAST_ROWS and 64 * n_rows + 2 * (n_chars or 0) <= ID_BROADCAST_BYTES
+    index = F.broadcast(index) if near else index.hint("merge")
     d = ensure_parallelism(d)
-    grams = d.select("__dseq", F.explode(_grams(F.col("__text"), k)).alias("__g"))
-    earlier = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
-    pairs = grams.join(mk, "__g").where(earlier) \
-        .select("__dseq", "__mseq", "__old", "__new")
-    # chained ids: an old id occurring in an earlier mapping's new id
-    new_grams = m.select(F.col("__mseq").alias("__src"), F.col("__new").alias("__srcnew"),
-                         F.explode(_grams(F.col("__new"), k)).alias("__g"))
-    src_grams = new_grams.select("__src", "__srcnew", "__g").distinct()
-    chained = (src_grams.join(all_keys, "__g").where((F.col("__src") < F.col("__mseq"))
-                                                     & (F.instr(F.col("__srcnew"), F.col("__old")) > 0))
-               .select("__mseq", "__old", "__new").distinct())
-    chained = chained.persist()
-    n_chained = chained.count()
-    # candidates need no check against the text here: replacing an id that
-    # does not occur is a no-op in the fold, and skipping the check saves a
-    # second shuffle of the documents
-    verified = pairs.withColumn("__chain", F.lit(False))
-    if n_chained:
-        # every later document must try a chained id; broadcast the counted
-        # (small) chained set, never the documents
-        side = F.broadcast(chained) if n_chained <= CHAIN_BROADCAST_ROWS else chained
-        chain_pairs = d.select("__dseq").join(side, earlier, "inner").withColumn("__chain", F.lit(True))
-        verified = verified.unionByName(chain_pairs)
-    allp = verified.dropDuplicates(["__dseq", "__mseq"])
-    per_doc = allp.groupBy("__dseq").agg(
-        F.array_sort(F.collect_list(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
-    out = docs.join(per_doc, docs[doc_seq] == per_doc["__dseq"], "left")
+    within = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
+
+    grams = d.select("__dseq", F.explode(_grams(F.col("__text"), sizes)).alias("__g"))
+    reps = (grams.join(index, "__g").select("__dseq", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new"))
+            .where(within).distinct())
     empty = F.array().cast("array<struct<__mseq:bigint,__old:string,__new:string>>")
+    while True:
+        reps = cut_lineage(reps)
+        per_doc = reps.groupBy("__dseq").agg(F.array_sort(F.collect_list(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
+        steps = (d.join(per_doc, "__dseq").select("__dseq", F.explode(_fold(F.col("__text"), F.col("__reps"), reach)["steps"]).alias("__s"))
+                 .select("__dseq", F.col("__s.s").alias("__after"), F.explode(_grams(F.col("__s.w"), sizes)).alias("__g")))
+        found = steps.join(index, "__g").select("__dseq", "__after", "__old").distinct()
+        later = (found.join(m, "__old").where(F.col("__mseq") > F.col("__after")).where(within)
+                 .groupBy("__dseq", "__after", "__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f"))
+                 .select("__dseq", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new")).distinct())
+        fresh = cut_lineage(later.join(reps, ["__dseq", "__mseq", "__old"], "left_anti"))
+        if not fresh.limit(1).count():
+            break
+        reps = reps.unionByName(fresh.select(*reps.columns))
+    out = docs.join(per_doc, docs[doc_seq] == per_doc["__dseq"], "left")
+    # a null list changes nothing
     folded = F.aggregate(F.coalesce(F.col("__reps"), empty), F.col(text_col),
                          lambda acc, r: F.replace(acc, r["__old"], r["__new"]))
     return out.withColumn(text_col, folded).drop("__dseq", "__reps")
@@ -419,10 +445,11 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, keys=None, keep_duplicates: bool = True) -> DataFrame:
     """Requested minus known (SET-3): ``left_anti`` keeps duplicates of ``a``;
-    otherwise a distinct ``EXCEPT``."""
+    otherwise a distinct ``EXCEPT``.  In both, null equals null."""
     if keep_duplicates:
         k = _cols(keys) if keys else a.columns
-        return a.join(b.select(*k).distinct(), k, "left_anti")
+        known = b.select(*[F.col(c).alias(f"__k_{c}") for c in k]).distinct()
+        return a.join(known, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in k], "left_anti")
     return a.subtract(b)
 
 

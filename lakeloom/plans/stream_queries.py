@@ -30,8 +30,8 @@ def operation_events(spark, sf):
 @query("terminal_state", sql=f"""
 WITH e AS (SELECT user_id, ts, {_STATE_SQL} AS st FROM events),
 a AS (SELECT user_id, min(ts) AS first_ts,
-             min(ts) FILTER (WHERE st IN ('Succeeded', 'Failed', 'Cancelled')) AS term_ts,
-             arg_min(st, ts) FILTER (WHERE st IN ('Succeeded', 'Failed', 'Cancelled')) AS term_st FROM e GROUP BY 1)
+             min(ts) FILTER (WHERE st IN ('Succeeded', 'Failed')) AS term_ts,
+             arg_min(st, ts) FILTER (WHERE st IN ('Succeeded', 'Failed')) AS term_st FROM e GROUP BY 1)
 SELECT user_id, first_ts,
   CASE WHEN term_ts <= first_ts + INTERVAL {TRACK_TIMEOUT_S} SECOND THEN term_st ELSE 'TimedOut' END AS final_status,
   CASE WHEN term_ts <= first_ts + INTERVAL {TRACK_TIMEOUT_S} SECOND THEN term_ts
@@ -42,6 +42,43 @@ def q_terminal_state(spark, sf):
     return tracking.terminal_state_batch(operation_events(spark, sf), "user_id", "ts", "state", TRACK_TIMEOUT_S)
 
 
+def run_in_batches(spark, events, build, keys: str, parts: int = 4):
+    """Feed ``events`` to a stream in ``parts`` runs by time, then one event far ahead under a null
+    key that moves the watermark past all of them; returns what the stream emitted for real keys."""
+    root = scratch_dir(spark, "batches")
+    folder, sink, ckpt = (os.path.join(root, x) for x in ("in", "out", "ckpt"))
+    low, high = (int(x) for x in events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first())
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.least(F.floor((at - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    last = events.limit(1).withColumns({keys: F.lit(None).cast(events.schema[keys].dataType),
+                                        "ts": F.timestamp_micros(F.lit(high + 90 * 86_400_000_000)).cast("timestamp_ntz")})
+    for batch in [*(events.where(part == i) for i in range(parts)), last, last]:
+        batch.write.mode("append").parquet(folder)
+        out = build(spark.readStream.schema(events.schema).parquet(folder))
+        q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(sink).where(F.col(keys).isNotNull())
+
+
+@query("terminal_state_stream", sql=f"""
+WITH e AS (SELECT user_id, ts, {_STATE_SQL} AS st FROM events),
+a AS (SELECT user_id, min(ts) AS first_ts,
+             min(ts) FILTER (WHERE st IN ('Succeeded', 'Failed')) AS term_ts,
+             arg_min(st, ts) FILTER (WHERE st IN ('Succeeded', 'Failed')) AS term_st FROM e GROUP BY 1)
+SELECT user_id,
+  CASE WHEN term_ts <= first_ts + INTERVAL {TRACK_TIMEOUT_S} SECOND THEN term_st ELSE 'TimedOut' END AS final_status,
+  CASE WHEN term_ts <= first_ts + INTERVAL {TRACK_TIMEOUT_S} SECOND THEN term_ts
+       ELSE first_ts + INTERVAL {TRACK_TIMEOUT_S} SECOND END AS decided_at
+FROM a
+""")
+def q_terminal_state_stream(spark, sf):
+    events = operation_events(spark, sf).select("user_id", "ts", "state")
+    found = run_in_batches(spark, events, lambda s: tracking.track_until_terminal(
+        s, "user_id", "ts", "state", TRACK_TIMEOUT_S, watermark="1 hour"), "user_id")
+    return found.withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz"))
+
+
 @query("refresh_status", sql=f"""
 WITH latest AS (SELECT user_id, arg_max({_STATE_SQL}, ts) AS st FROM events GROUP BY user_id)
 SELECT c.c_custkey,

@@ -7,8 +7,8 @@ only holds the few session-level settings the operators rely on:
   and the streaming operators cast them to ``timestamp`` before watermarks);
 * adaptive query execution with skew-join splitting is on, so hot keys found at
   run time are split instead of landing in one task;
-* broadcast joins are chosen only by AQE from measured shuffle sizes, never
-  from planner estimates;
+* small tables are broadcast by Spark's own rules; joins with an exploded side,
+  whose size the planner underestimates, ask for a merge join instead;
 * lineage is cut with ``DataFrame.checkpoint()`` into the shared folder named by
   ``spark.checkpoint.dir``.  The cluster sets it; only tests set their own.
 """
@@ -26,10 +26,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Never broadcast from planner estimates (an exploded or filtered side can
-    # be estimated small and be huge); AQE broadcasts a side only after its
-    # shuffle has run and its real size is known to be under the limit.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -62,13 +58,12 @@ def apply_sql_defaults(spark: SparkSession) -> None:
     """Apply the library's runtime SQL settings to an existing session.
 
     Used by the registered queries, which receive a session they did not
-    create; only SQL settings are touched (they are per-session and can be
-    changed at run time).
+    create; settings that the caller has made are kept.
     """
+    own = spark.conf.getAll
     for k, v in SQL_DEFAULTS.items():
-        if k == "spark.sql.execution.arrow.pyspark.enabled":
-            continue
-        spark.conf.set(k, v)
+        if k not in own:
+            spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -76,7 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ABFS);
     we read it and never replace it.  Tests and local tools have none, so a
-    fresh folder under the system temp dir is used there.
+    fresh folder under the system temp dir is used there; a cluster session
+    without one raises ``ValueError``.
     """
     conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
@@ -88,6 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="lakeloom-ckpt-")
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir

@@ -21,13 +21,19 @@ def _fs(spark, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p  # noqa: SLF001
 
 
+def path_exists(spark, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> DataFrame:
     """Full overwrite of a table that ``df`` may itself read (SNK-1).
 
     Spark cannot overwrite a path it is reading, so the result is written to a
-    sibling staging folder first, the old folder is removed and the staging
-    folder renamed into place (a metadata-only move on HDFS/ABFS).  Returns
-    the re-read table.
+    sibling staging folder first.  The old folder is then moved aside, the
+    staging folder renamed into place (metadata-only moves on HDFS/ABFS) and the
+    old one removed; if the second move fails the old table is put back.
+    Returns the re-read table.
     """
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}.__staging_{uuid.uuid4().hex}"
@@ -37,10 +43,16 @@ def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by
     w.save(staging)
     fs, target = _fs(spark, path)
     _, stage = _fs(spark, staging)
-    if fs.exists(target):
-        fs.delete(target, True)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(stage, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staging} to {path}")
+    if had:
+        fs.delete(aside, True)
     return spark.read.format(fmt).load(path)
 
 
@@ -74,11 +86,13 @@ def register(new: DataFrame, catalog: DataFrame, policy: str = "Abort",
              keys=("path", "name")) -> DataFrame:
     """Apply requested entries to a catalog under a conflict policy (SNK-4).
 
-    * ``Abort``: any request whose key exists raises.
+    * ``Abort``: any request whose key exists, or is requested twice, raises.
     * ``GenerateUniqueName``: conflicting requests get ``name_<k>``, numbered
-      in request order after the highest ``_<k>`` suffix the catalog already
-      uses for that name in the same path.
-    * ``CreateOrOverwrite``: requests replace existing rows with the key.
+      in request order after the highest ``_<k>`` suffix that the catalog or a
+      request uses for that name in the same path; of several requests for a
+      free key the first keeps it.
+    * ``CreateOrOverwrite``: requests replace existing rows with the key; of
+      several for one key the last in order of the columns counts.
     * ``OverwriteOnly``: like CreateOrOverwrite, but every request must
       target an existing row, else it raises.
 
@@ -90,7 +104,14 @@ def register(new: DataFrame, catalog: DataFrame, policy: str = "Abort",
     keys = list(keys)
     cols = catalog.columns
     existing_keys = catalog.select(*keys).distinct().withColumn("__hit", F.lit(True))
-    req = new.join(existing_keys, keys, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    requests = new
+    if policy in ("CreateOrOverwrite", "OverwriteOnly"):
+        requests = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in new.columns if c not in keys])).alias("__last")) \
+            .select(*keys, "__last.*") if len(new.columns) > len(keys) else new.distinct()
+    elif policy == "Abort":
+        twice = new.groupBy(*keys).count().where("count > 1").select(*keys).withColumn("__hit", F.lit(True))
+        existing_keys = existing_keys.unionByName(twice).distinct()
+    req = requests.join(existing_keys, keys, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     if policy == "Abort":
         checked = req.withColumn("__ok", F.when(F.col("__hit"), F.raise_error(
             F.concat(F.lit("entry exists: "), F.concat_ws("/", *[F.col(k) for k in keys])))).otherwise(True))
@@ -104,20 +125,20 @@ def register(new: DataFrame, catalog: DataFrame, policy: str = "Abort",
         return kept.unionByName(req.select(*cols))
     # GenerateUniqueName: candidates name_1, name_2, ... per conflicting request.
     path_key, name_key = keys[0], keys[1]
-    conflicts = req.where("__hit")
     order = [F.col(c) for c in new.columns]
-    numbered = rank_within_groups(conflicts, [path_key, name_key], order, out="__k")
+    numbered = rank_within_groups(req, [path_key, name_key], order, out="__k")
+    fresh = numbered.where((~F.col("__hit")) & (F.col("__k") == 1))
+    numbered = numbered.where(F.col("__hit") | (F.col("__k") > 1)).withColumn("__k", F.when(F.col("__hit"), F.col("__k")).otherwise(F.col("__k") - 1))
     # Existing suffixed names under the same base name shift the numbering.
     taken = (catalog.select(path_key, F.col(name_key).alias("__taken"))
-             .where(F.col("__taken").rlike(r"_[0-9]+$")))
+             .unionByName(new.select(path_key, F.col(name_key).alias("__taken"))).where(F.col("__taken").rlike(r"_[0-9]+$")))
     base_taken = taken.select(path_key,
                               F.regexp_replace("__taken", r"_[0-9]+$", "").alias(name_key),
-                              F.regexp_extract("__taken", r"_([0-9]+)$", 1).cast("int").alias("__used"))
+                              F.regexp_extract("__taken", r"_([0-9]+)$", 1).try_cast("decimal(38,0)").alias("__used"))
     offset = base_taken.groupBy(path_key, name_key).agg(F.max("__used").alias("__max_used"))
     renamed = (numbered.join(offset, [path_key, name_key], "left")
                .withColumn(name_key, F.concat(F.col(name_key), F.lit("_"),
                                               (F.col("__k") + F.coalesce("__max_used", F.lit(0))).cast("string"))))
-    fresh = req.where(~F.col("__hit"))
     return catalog.unionByName(fresh.select(*cols)).unionByName(renamed.select(*cols))
 
 

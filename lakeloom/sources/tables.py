@@ -5,6 +5,8 @@ Everything is a DataFrame reader; file bodies never pass through the driver.
 
 from __future__ import annotations
 
+import uuid
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,11 +39,16 @@ def scan_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
 CORRUPT = "_corrupt_record"
 
 
-def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",",
+def csv_to_table(spark: SparkSession, path: str, schema: T.StructType | None = None, delimiter: str = ",",
                  use_first_row_as_header: bool = True, skip_files_with_errors: bool = True,
                  staging: str | None = None) -> DataFrame:
     """Convert a folder of CSV files to a table (SRC-2).
 
+    With a header its names decide which column is which: ``schema`` gives types
+    by name (columns that it lacks are dropped, those that the files lack are
+    null), and without a schema all columns are strings.  The files of a folder
+    share one header.  Without a header the schema is taken by position.
+
     With ``skip_files_with_errors`` one malformed row drops its whole file.
     Rows are parsed once in PERMISSIVE mode with the corrupt-record column and
     the source file path, staged to parquet (Spark refuses queries that touch
@@ -49,7 +56,12 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, delimiter
     with a ``left_anti`` join on the file path -- a shuffle on a key with one
     value per file, so it holds for any number of rows.
     """
-    read_schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+    fields = list(schema.fields) if schema else []
+    if use_first_row_as_header or not fields:
+        named = {f.name: f.dataType for f in fields}
+        header = spark.read.option("header", str(bool(use_first_row_as_header)).lower()).option("sep", delimiter).csv(path).columns
+        fields = [T.StructField(c, named.get(c, T.StringType())) for c in header]
+    read_schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)])
     raw = (spark.read.schema(read_schema)
            .option("header", str(bool(use_first_row_as_header)).lower())
            .option("sep", delimiter)
@@ -57,9 +69,13 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, delimiter
            .option("columnNameOfCorruptRecord", CORRUPT)
            .csv(path)
            .withColumn("_file", F.col("_metadata.file_path")))
+    if schema:
+        have = {f.name for f in fields}
+        raw = raw.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
+                         CORRUPT, "_file")
     if not skip_files_with_errors:
         return raw.drop(CORRUPT, "_file")
-    staging = staging or scratch_path(spark, f"csv_stage_{abs(hash(path))}")
+    staging = staging or scratch_path(spark, f"csv_stage_{uuid.uuid4().hex}")
     raw.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
     bad = staged.where(F.col(CORRUPT).isNotNull()).select("_file").distinct()
@@ -190,15 +206,18 @@ def flatten_pages(pages: DataFrame, body_col: str, record_schema: T.StructType,
     """Concatenate the records of every page (SRC-7).
 
     A page is ``{"value": [...], "continuationToken": ...}``; a bare array or
-    a single object is accepted too.  One output row per record; pages are
+    a single object is accepted too.  One output row per record; a page that is
+    no JSON object or array, or whose ``value`` is no list, has none.  Pages are
     parsed and exploded in parallel, never gathered.
     """
     body = js_trim(F.col(body_col))
     arr_t = T.ArrayType(record_schema)
     wrapped = F.from_json(body, T.StructType([T.StructField("value", arr_t, True)]))
+    names = F.json_object_keys(body)  # null unless the page is a JSON object
     records = (F.when(body.startswith("["), F.from_json(body, arr_t))
                .when(wrapped["value"].isNotNull(), wrapped["value"])
-               .otherwise(F.array(F.from_json(body, record_schema))))
+               .when(names.isNotNull() & ~F.array_contains(names, "value"), F.array(F.from_json(body, record_schema)))
+               .otherwise(F.array().cast(arr_t)))
     keep = keep or []
     return (pages.select(*keep, F.explode(records).alias("__r"))
             .select(*keep, "__r.*"))
@@ -217,8 +236,9 @@ def resolve_payload(parts: DataFrame, files: DataFrame, type_col: str = "payload
 
     ``InlineBase64`` keeps the payload; ``AssetLink``, ``Link`` and
     ``OneLake`` payloads are paths into ``files`` (staged beforehand -- the
-    job does no network I/O); any other type raises.  One equi-join on the
-    path for the linked rows; inline rows skip the join entirely.
+    job does no network I/O); any other type raises, and so does a path without
+    content.  One equi-join on the path for the linked rows; inline rows skip the
+    join entirely.  Of several contents of a path the smallest is taken.
     """
     t = F.col(type_col)
     checked = parts.withColumn(
@@ -226,8 +246,10 @@ def resolve_payload(parts: DataFrame, files: DataFrame, type_col: str = "payload
             F.raise_error(F.concat(F.lit("Unsupported payload type: "), F.coalesce(t, F.lit("null"))))))
     inline = checked.where(F.col("__t") == "InlineBase64").withColumn("content", F.col(payload_col))
     linked = checked.where(F.col("__t") != "InlineBase64")
-    f = files.select(F.col(file_path_col).alias("__p"), F.col(file_content_col).alias("content"))
-    resolved = linked.join(f, linked[payload_col] == f["__p"], "left").drop("__p")
+    f = files.groupBy(F.col(file_path_col).alias("__p")).agg(F.min(file_content_col).alias("__found"))
+    missing = F.raise_error(F.concat(F.lit("No content for payload: "), F.coalesce(F.col(payload_col), F.lit("null"))))
+    resolved = (linked.join(f, linked[payload_col] == f["__p"], "left")
+                .withColumn("content", F.coalesce(F.col("__found"), missing)).drop("__p", "__found"))
     return inline.unionByName(resolved).drop("__t")
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.status import CANCELLED, FAILED, SUCCEEDED
+from ..functions.status import FAILED, SUCCEEDED
 from ..operators.relational import merge_updates
 
-TERMINAL = (SUCCEEDED, FAILED, CANCELLED)
+TERMINAL = (SUCCEEDED, FAILED)
 TIMED_OUT = "TimedOut"
 
 # Polling limits of the reference clients, in seconds.
@@ -59,43 +59,50 @@ def terminal_state_batch(events: DataFrame, key: str, ts: str, status: str,
                       F.when(ok, F.col("__term.t")).otherwise(deadline).alias("decided_at"))
 
 
-def _tracker(key_col: str, ts_col: str, status_col: str, timeout_ms: int, terminal: tuple):
+def _microseconds(t: pd.Series) -> pd.Series:
+    t = pd.to_datetime(t)
+    if t.dt.tz is not None:
+        t = t.dt.tz_convert("UTC").dt.tz_localize(None)
+    return t.astype("datetime64[us]").astype("int64")
+
+
+def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, terminal: tuple):
+    """State per key: first event, earliest terminal event and its status, whether the outcome is out."""
+    def outcome(k, first, best, status) -> pd.DataFrame:
+        on_time = best is not None and best <= first + timeout_us
+        at = best if on_time else first + timeout_us
+        return pd.DataFrame({key_col: [k], "final_status": [status if on_time else TIMED_OUT],
+                             "decided_at": [pd.Timestamp(at, unit="us")]})
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        k = key[0]
+        first, best, status, done = state.get if state.exists else (None, None, None, False)
+        if done:
+            return
         if state.hasTimedOut:
-            first_ms, done = state.get
-            if not done:
-                deadline = pd.Timestamp(first_ms + timeout_ms, unit="ms")
-                yield pd.DataFrame({key_col: [k], "final_status": [TIMED_OUT], "decided_at": [deadline]})
-            state.remove()
+            state.update((first, best, status, True))
+            yield outcome(key[0], first, best, status)
             return
-        first_ms, done = state.get if state.exists else (None, False)
-        best = None
         for pdf in pdfs:
-            if done or pdf.empty:
+            if pdf.empty:
                 continue
-            t = pd.to_datetime(pdf[ts_col])
-            ms = (t.astype("int64") // 1_000_000).to_numpy() if t.dt.tz is None else \
-                (t.dt.tz_convert("UTC").dt.tz_localize(None).astype("int64") // 1_000_000).to_numpy()
-            mn = int(ms.min())
-            first_ms = mn if first_ms is None else min(first_ms, mn)
-            term = pdf[status_col].isin(terminal).to_numpy()
-            if term.any():
-                i = int(ms[term].argmin())
-                cand = (int(ms[term][i]), pdf[status_col].to_numpy()[term][i])
-                best = cand if best is None or cand[0] < best[0] else best
-        if done:
-            return
-        if best is not None and best[0] <= first_ms + timeout_ms:
-            yield pd.DataFrame({key_col: [k], "final_status": [best[1]],
-                                "decided_at": [pd.Timestamp(best[0], unit="ms")]})
-            state.update((first_ms, True))
-            # keep a tombstone until the watermark passes the deadline, so
-            # later events for the key are ignored, then drop it
-            state.setTimeoutTimestamp(first_ms + timeout_ms + 1)
+            us = _microseconds(pdf[ts_col])
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+            ends = pdf[status_col].isin(terminal)
+            if ends.any():
+                at = int(us[ends].min())
+                name = min(pdf[status_col][ends & (us == at)])
+                if best is None or (at, name) < (best, status):
+                    best, status = at, name
+        if first is None:
             return
-        state.update((first_ms, False))
-        state.setTimeoutTimestamp(first_ms + timeout_ms + 1)
+        # due once the watermark has passed the outcome's time: no earlier event can come then
+        due_ms = min(first + timeout_us, best if best is not None else first + timeout_us) // 1000 + 1
+        if due_ms <= state.getCurrentWatermarkMs():
+            state.update((first, best, status, True))
+            yield outcome(key[0], first, best, status)
+        else:
+            state.update((first, best, status, False))
+            state.setTimeoutTimestamp(due_ms)
 
     return fn
 
@@ -103,21 +110,21 @@ def _tracker(key_col: str, ts_col: str, status_col: str, timeout_ms: int, termin
 def track_until_terminal(stream: DataFrame, key: str, ts: str, status: str,
                          timeout_s: int = OPERATION_TIMEOUT_S, watermark: str = "10 minutes",
                          terminal: Sequence[str] = TERMINAL) -> DataFrame:
-    """Emit each operation's outcome once (STM-1): its first terminal status
-    if seen within ``timeout_s`` of its **first** event, else ``TimedOut``
-    when the event-time watermark passes the deadline.
-
-    State per key is two numbers and is removed after the deadline, so it is
-    bounded by the number of open operations.  The deadline runs from the
-    first event, which is why a session window (gap from the last event) is
-    not used.
+    """Emit each operation's outcome once (STM-1): its earliest terminal status
+    within ``timeout_s`` of its **first** event, else ``TimedOut``.
+
+    The outcome is emitted when the event-time watermark has passed it, so events
+    out of order within the watermark count as in the batch twin; later ones are
+    late and dropped.  State per key is three small values.  It is kept after
+    the outcome, so that a key's later events never start it anew.
     """
     key_type = stream.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("final_status", T.StringType()),
                                T.StructField("decided_at", T.TimestampType())])
-    state_schema = T.StructType([T.StructField("first_ms", T.LongType()), T.StructField("done", T.BooleanType())])
+    state_schema = T.StructType([T.StructField("first", T.LongType()), T.StructField("best", T.LongType()),
+                                 T.StructField("status", T.StringType()), T.StructField("done", T.BooleanType())])
     s = event_time(stream, ts).withWatermark(ts, watermark)
-    fn = _tracker(key, ts, status, int(timeout_s) * 1000, tuple(terminal))
+    fn = _tracker(key, ts, status, int(timeout_s) * 1_000_000, tuple(terminal))
     return s.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout")
 
 
@@ -127,11 +134,16 @@ def track_until_terminal(stream: DataFrame, key: str, ts: str, status: str,
 
 def refresh_status_batch(base: DataFrame, updates: DataFrame, key: str, status: str, ts: str,
                          open_statuses: Sequence[str]) -> DataFrame:
-    """Batch twin: apply the latest update per key to the open rows only."""
-    latest = updates.groupBy(key).agg(F.max_by(status, ts).alias("__new"))
-    upd = (base.where(F.col(status).isin(*open_statuses)).join(latest, key)
-           .withColumn(status, F.col("__new")).drop("__new"))
-    return merge_updates(base, upd, key)
+    """Batch twin: apply the latest update per key to the open rows only.
+
+    Where ``base`` has a column ``ts``, the time of its last update, updates that
+    are not newer are ignored and the column is kept current.
+    """
+    latest = updates.groupBy(key).agg(F.max(F.struct(F.col(ts).alias("t"), F.col(status).alias("s"))).alias("__new"))
+    upd = base.where(F.col(status).isin(*open_statuses)).join(latest, key)
+    if ts in base.columns:
+        upd = upd.where(F.col(ts).isNull() | (F.col("__new.t") > F.col(ts))).withColumn(ts, F.col("__new.t").cast(base.schema[ts].dataType))
+    return merge_updates(base, upd.withColumn(status, F.col("__new.s")).drop("__new"), key)
 
 
 def refresh_status_stream(stream: DataFrame, table_path: str, key: str, status: str, ts: str,
@@ -141,18 +153,15 @@ def refresh_status_stream(stream: DataFrame, table_path: str, key: str, status:
     ``foreachBatch``: per micro-batch take the latest update per key, merge
     it into the open rows, and write the table through a staged swap.  The
     last applied batch id is stored next to the table, so a replayed batch
-    after a failure is skipped (idempotent).
+    after a failure is skipped.  Give the table a column ``ts`` to ignore updates
+    that arrive after newer ones.
     """
-    from ..sources.sinks import overwrite_table
+    from ..sources.sinks import overwrite_table, path_exists
 
     def apply(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         marker = f"{table_path.rstrip('/')}.__batch"
-        try:
-            last = spark.read.parquet(marker).first()["batch_id"]
-        except Exception:  # noqa: BLE001 - no marker yet
-            last = -1
-        if batch_id <= last:
+        if path_exists(spark, marker) and batch_id <= spark.read.parquet(marker).first()["batch_id"]:
             return
         base = spark.read.parquet(table_path)
         merged = refresh_status_batch(base, batch, key, status, ts, open_statuses)
