@@ -168,12 +168,128 @@ PACKAGE_SCHEMA = T.StructType([
 ])
 
 
+# Fields of the package format's objects (name: kind), required fields and enumerations.
+SHAPES = {
+    "package": ({"$schema": "string", "id": "string", "displayName": "string", "description": "string", "icon": "string",
+                 "deploymentConfig": "object", "items": "array", "data": "array"}, ()),
+    "deploymentConfig": ({"type": "string", "location": "string", "deploymentFile": "object", "suffixItemNames": "boolean",
+                          "parameters": "object", "globalInterceptors": "object", "onFinishJobs": "array"}, ()),
+    "deploymentFile": ({"payloadType": "string", "payload": "string"}, ("payloadType", "payload")),
+    "parameter": ({"type": "string", "value": "string", "displayName": "string", "description": "string"}, ("type",)),
+    "onFinishJob": ({"workspaceId": "string", "itemId": "string", "jobType": "string", "deploymentPolicy": "string", "executionData": "any"},
+                    ("itemId", "jobType", "deploymentPolicy")),
+    "item": ({"type": "string", "displayName": "string", "description": "string", "installType": "string", "definition": "object",
+              "data": "object", "creationPayload": "any", "schedules": "array", "shortcuts": "array"}, ()),
+    "definition": ({"format": "string", "parts": "array", "interceptor": "object", "creationMode": "string"}, ()),
+    "data": ({"files": "array", "interceptor": "object"}, ()),
+    "packageData": ({"files": "array", "interceptor": "object", "workspaceId": "string", "itemId": "string", "shortcuts": "array"}, ()),
+    "part": ({"payloadType": "string", "payload": "string", "path": "string"}, ("payload", "path")),
+    "file": ({"payloadType": "string", "payload": "string", "path": "string"}, ("payloadType", "payload", "path")),
+    "schedule": ({"enabled": "boolean", "jobType": "string", "configuration": "any"}, ("enabled", "jobType", "configuration")),
+    "shortcut": ({"conflictPolicy": "string", "configuration": "any"}, ("configuration",)),
+    "interceptor": ({"type": "string", "config": "object"}, ("config",)),
+}
+ENUMS = {
+    ("item", "installType"): ("Default", "OnFinishJob"),
+    ("definition", "creationMode"): ("WithoutDefinition", "WithDefinition", "CreateAndUpdateDefinition"),
+    ("deploymentFile", "payloadType"): PAYLOAD_TYPES,
+    ("file", "payloadType"): PAYLOAD_TYPES,
+    ("onFinishJob", "deploymentPolicy"): DEPLOYMENT_POLICIES,
+}
+
+
+def _of(v: Column, field: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$['{field}']", kind)
+
+
+def _is_kind(v: Column, kind: str) -> Column:
+    found = F.schema_of_variant(v)
+    return found.startswith(kind.upper()) if kind in ("object", "array") else found == kind.upper()
+
+
+def _shape(v: Column, where: Column, name: str) -> Column:
+    """Messages on one object: unknown keys, missing required fields, wrong kinds, values outside an enumeration."""
+    fields, required = SHAPES[name]
+    keys = F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+    unknown = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, fields)))), lambda k: F.concat(where, F.lit(": unknown key: "), k))
+    checks = [F.when(_of(v, f).isNull(), F.concat(where, F.lit(f": missing {f}"))) for f in required]
+    checks += [F.when(_of(v, f).isNotNull() & ~_is_kind(_of(v, f), kind), F.concat(where, F.lit(f": {f} must be of type {kind}")))
+               for f, kind in fields.items() if kind != "any"]
+    checks += [F.when(~_of(v, f, "string").isin(*values), F.concat(where, F.lit(f": invalid {f} "), _of(v, f, "string")))
+               for (own, f), values in ENUMS.items() if own == name]
+    return F.when(_is_kind(v, "object"), F.concat(unknown, F.array(*checks) if checks else F.array().cast("array<string>")) if name != "package"
+                  else F.array(*checks))
+
+
+def _each(v: Column, field: str, check) -> Column:
+    """``check(element, number)`` for each element of an array field."""
+    none = F.try_variant_get(F.parse_json(F.lit("[]")), "$", "array<variant>")
+    return F.flatten(F.transform(F.coalesce(_of(v, field, "array<variant>"), none), check))
+
+
+def _interceptor(v: Column, where: Column, known: Column) -> Column:
+    """Messages on an interceptor: its shape, what its type asks of ``config``, and whether a reference resolves."""
+    config = _of(v, "config")
+    kind, ref = _of(v, "type", "string"), _of(config, "id", "string")
+    values = F.map_values(F.try_variant_get(config, "$.replacements", "map<string,variant>"))
+    say = lambda text: F.concat(where, F.lit(f": {text}"))
+    return F.when(v.isNotNull(), F.concat(_shape(v, where, "interceptor"), F.array(
+        F.when((kind == "Reference") & ref.isNull(), say("reference without an id")),
+        F.when((kind == "Reference") & ref.isNotNull() & ~F.array_contains(known, ref), F.concat(say("no global interceptor "), ref)),
+        F.when((kind == "StringReplacement") & values.isNull(), say("replacements must be of type object")),
+        F.when((kind == "StringReplacement") & F.exists(values, lambda x: F.schema_of_variant(x) != "STRING"), say("replacement values must be strings")))))
+
+
+def package_structure(raw: Column) -> Column:
+    """Messages on the structure of a package below its top level (part of VAL-3)."""
+    v = F.try_parse_json(raw)
+    config = _of(v, "deploymentConfig")
+    known = F.coalesce(F.json_object_keys(F.to_json(_of(config, "globalInterceptors"))), F.array().cast("array<string>"))
+    label = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    num = lambda i: i.cast("string")
+    none = F.array().cast("array<string>")
+    some = lambda *lists: F.concat(*[F.coalesce(x, none) for x in lists])
+
+    def named(field: str, check) -> Column:
+        entries = F.map_entries(F.try_variant_get(config, f"$.{field}", "map<string,variant>"))
+        return F.flatten(F.transform(F.array_sort(F.map_keys(F.try_variant_get(config, f"$.{field}", "map<string,variant>"))),
+                                     lambda k: check(F.filter(entries, lambda e: e["key"] == k)[0]["value"], k)))
+
+    def content(d: Column, where: Column, shape: str) -> Column:
+        return some(F.when(d.isNotNull(), _shape(d, where, shape)),
+                    _each(d, "files", lambda x, i: F.coalesce(_shape(x, label(where, " file ", num(i)), "file"), none)),
+                    _interceptor(_of(d, "interceptor"), label(where, " interceptor"), known))
+
+    def item(x: Column, i: Column) -> Column:
+        where, definition = label("item ", num(i)), _of(x, "definition")
+        return some(F.coalesce(_shape(x, where, "item"), F.array(label(where, " must be of type object"))),
+                    F.when(definition.isNotNull(), _shape(definition, label(where, " definition"), "definition")),
+                    _each(definition, "parts", lambda p, j: F.coalesce(_shape(p, label(where, " part ", num(j)), "part"), none)),
+                    _interceptor(_of(definition, "interceptor"), label(where, " interceptor"), known),
+                    content(_of(x, "data"), label(where, " data"), "data"),
+                    _each(x, "schedules", lambda s, j: F.coalesce(_shape(s, label(where, " schedule ", num(j)), "schedule"), none)),
+                    _each(x, "shortcuts", lambda s, j: F.coalesce(_shape(s, label(where, " shortcut ", num(j)), "shortcut"), none)))
+
+    found = some(_shape(v, F.lit("package"), "package"),
+                 F.when(config.isNotNull(), _shape(config, F.lit("deploymentConfig"), "deploymentConfig")),
+                 F.when(_of(config, "deploymentFile").isNotNull(), _shape(_of(config, "deploymentFile"), F.lit("deploymentFile"), "deploymentFile")),
+                 named("parameters", lambda x, k: F.coalesce(_shape(x, label("parameter ", k), "parameter"), none)),
+                 named("globalInterceptors", lambda x, k: F.coalesce(_interceptor(x, label("global interceptor ", k), known), none)),
+                 _each(config, "onFinishJobs", lambda x, i: F.coalesce(_shape(x, label("onFinishJob ", num(i)), "onFinishJob"), none)),
+                 _each(v, "items", item),
+                 _each(v, "data", lambda x, i: some(content(x, label("data ", num(i)), "packageData"), _each(
+                     x, "shortcuts", lambda s, j: F.coalesce(_shape(s, label("data ", num(i), " shortcut ", num(j)), "shortcut"), none)))))
+    return F.when(_is_kind(v, "object"), found).otherwise(none)
+
+
 def validate_package(raw: Column | str) -> Column:
     """Array of violation messages for one package JSON text, fixed order (VAL-3).
 
     Checks: parse, required ``id``/``displayName``, id pattern, unknown
     top-level keys, deployment type and location enums, each item's required
-    fields and each part's payload type, interceptor type.
+    fields and each part's payload type, interceptor type; then unknown keys,
+    required fields, kinds and enumerations of everything below, interceptor
+    configurations, and that references name a global interceptor.
     """
     r = _c(raw)
     doc = F.from_json(r, PACKAGE_SCHEMA, {"mode": "PERMISSIVE"})
@@ -211,7 +327,7 @@ def validate_package(raw: Column | str) -> Column:
             F.concat(F.lit("item "), i.cast("string"), F.lit(": invalid payloadType "),
                      F.coalesce(p["payloadType"], F.lit("null"))))),
     )))
-    return F.filter(F.concat(fixed, unknown, item_msgs), lambda m: m.isNotNull())
+    return F.filter(F.concat(fixed, unknown, item_msgs, package_structure(r)), lambda m: m.isNotNull())
 
 
 class PackageConfigError(ValueError):

@@ -39,6 +39,13 @@ def read_role_rows(names: DataFrame, kind_col: str, name_col: str) -> DataFrame:
                         F.explode(paths).alias("path"), F.lit(READ).alias("action"))
 
 
+def custom_role_rows(roles: DataFrame, role_col: str = "role", paths_col: str = "paths", actions_col: str = "actions") -> DataFrame:
+    """Rules of custom roles (ACL-1): one row per (role, path, action) of a role's
+    path and action lists; a role with an empty list permits nothing."""
+    each = roles.select(F.col(role_col).alias("role"), F.explode(F.array_distinct(paths_col)).alias("path"), F.col(actions_col).alias("__a"))
+    return each.select("role", F.lit(PERMIT).alias("effect"), "path", F.explode(F.array_distinct("__a")).alias("action"))
+
+
 def rule_rows(roles: DataFrame, role_col: str = "name", rules_col: str = "decisionRules") -> DataFrame:
     """Flatten nested roles to ``(role, rule_no, path, action)`` rows.
 

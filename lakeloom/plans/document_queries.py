@@ -74,7 +74,7 @@ def _package_json(spark, sf):
     dc = F.struct(F.when(lang == "de", F.lit("Remote")).otherwise(F.lit("UX")).alias("type"),
                   F.lit("Default").alias("location"))
     part_type = F.when(F.col("source") == "src3", F.lit("Ftp")).otherwise(F.lit("InlineBase64"))
-    item = F.struct(F.lit("Notebook").alias("type"), F.substring("text", 1, 12).alias("displayName"),
+    item = F.struct(F.lit("Notebook").alias("type"), F.col("text").alias("displayName"),
                     F.when(lang != "es", F.lit("d")).alias("description"),
                     F.struct(F.array(F.struct(F.lit("a.py").alias("path"), F.lit("eA==").alias("payload"),
                                               part_type.alias("payloadType"))).alias("parts")).alias("definition"))

@@ -86,6 +86,11 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType | None = N
 # Whole files (SRC-3, SRC-4, SRC-5)
 # ---------------------------------------------------------------------------
 
+def _plain_path(path) -> Column:
+    """A path without percent-encoding, as ``binaryFile`` gives it."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+
+
 def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """File metadata without reading contents (``content`` is pruned).
 
@@ -100,7 +105,7 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, glob: str
     files = r.load(root)
     meta = files.select("path", "length", "modificationTime")
     indexed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
-        F.regexp_replace("path", "^file:///", "file:/").alias("path"))
+        _plain_path(F.col("path")).alias("path"))
     empty = indexed.join(meta.select("path"), "path", "left_anti").select(
         "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
     return meta.unionByName(empty)
@@ -116,7 +121,7 @@ def scan_text(spark: SparkSession, root: str, recursive: bool = True, glob: str
         r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    text = r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    text = r.text(root, wholetext=True).select(_plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
     files = list_files(spark, root, recursive, glob).select("path")
     return files.join(text, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
 

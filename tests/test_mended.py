@@ -130,3 +130,35 @@ def test_caller_settings_are_kept(spark):
     assert spark.conf.get(key) == "7MB"
     spark.conf.set(key, before)
     assert F is not None
+
+
+def test_package_rules(spark):
+    import json
+    from lakeloom.functions.documents import validate_package
+    item = {"type": "N", "displayName": "x", "description": ""}
+    good = {"id": "ab", "displayName": "d", "deploymentConfig": {"globalInterceptors": {"g": {"type": "StringReplacement", "config": {"replacements": {"a": "b"}}}}},
+            "items": [{**item, "installType": "Default", "definition": {"creationMode": "WithDefinition", "parts": [{"path": "p", "payload": "x", "payloadType": "Link"}],
+                       "interceptor": {"type": "Reference", "config": {"id": "g"}}}, "schedules": [{"enabled": True, "jobType": "j", "configuration": {}}]}], "data": [{"files": []}]}
+    bad = [{**good, "deploymentConfig": {"nope": 1}}, {**good, "items": [{**item, "installType": "Later"}]}, {**good, "items": [{**item, "definition": {"creationMode": "x"}}]},
+           {**good, "items": [{**item, "definition": {"parts": [{"payload": "x", "payloadType": "Link"}]}}]}, {**good, "items": [{**item, "definition": {"interceptor": {"type": "Reference", "config": {"id": "z"}}}}]},
+           {**good, "items": "none"}, {**good, "items": [{**item, "definition": {"interceptor": {"type": "StringReplacement", "config": {"replacements": {"a": 1}}}}}]},
+           {**good, "items": [{**item, "shortcuts": [{}]}]}, {**good, "items": [{**item, "what": 1}]}, {**good, "data": [{"files": [{"path": "p"}]}]},
+           {**good, "deploymentConfig": {"onFinishJobs": [{"itemId": "i", "jobType": "j", "deploymentPolicy": "Maybe"}]}}, {**good, "deploymentConfig": {"parameters": {"p": {}}}}]
+    got = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate([good, *bad])], "i long, raw string").select("i", validate_package("raw").alias("m")).orderBy("i").collect()
+    assert got[0].m == [] and all(r.m for r in got[1:]), [(r.i, r.m) for r in got]
+
+
+def test_names_with_spaces_and_signs(spark, tmp_dir):
+    names = {"x dir/a b.txt": "one", "x dir/c%20d+e.txt": "two", "\u00e9/f.txt": ""}
+    for n, t in names.items():
+        os.makedirs(os.path.dirname(os.path.join(tmp_dir, "r", n)), exist_ok=True)
+        with open(os.path.join(tmp_dir, "r", n), "w") as f:
+            f.write(t)
+    got = {r.path.split("/r/", 1)[1]: r.content for r in tables.scan_text(spark, f"{tmp_dir}/r").collect()}
+    assert got == names
+    assert {r.name for r in tables.list_paths(spark, f"{tmp_dir}/r").collect()} == {*names, "x dir", "\u00e9"}
+
+
+def test_custom_roles(spark):
+    roles = spark.createDataFrame([("r", ["/a", "/b"], ["Read", "Write"]), ("none", [], ["Read"])], "role string, paths array<string>, actions array<string>")
+    assert access.custom_role_rows(roles).count() == 4
