@@ -246,8 +246,9 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
 
     A replacement can bring another id into being, within the new id or across
     its edges.  So the text around each spot that changed is searched like the
-    documents, for mappings later in order; what is found joins the candidates
-    and the fold is repeated until nothing new is found.  The result is that of
+    documents, for mappings later in order whose old id shares a character with
+    some new id; what is found joins the candidates and the fold is repeated
+    until nothing new is found.  The result is that of
     applying every mapping in turn.  With ``ordered=False`` every mapping applies
     to every document (still in mapping order), as when capturing a package.
     Null new ids count as empty; ``doc_seq`` must be unique.
@@ -280,9 +281,19 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     reps = (grams.join(index, "__g").select("__dseq", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new"))
             .where(within).distinct())
     empty = F.array().cast("array<struct<__mseq:bigint,__old:string,__new:string>>")
+    # an id that comes into being overlaps a new id, so it shares a character with one
+    # (an empty new id joins what stands around it)
+    chars = "".join(r[0] for r in m.select(F.explode(F.array_distinct(F.split("__new", "")))).distinct().collect())
+    made = F.translate("__old", chars, "") != F.col("__old") if chars else F.lit(False)
+    if m.where("__new = ''").limit(1).count():
+        made = F.lit(True)
+    index = index.where(made)
+    chained = index.limit(1).count() > 0
     while True:
         reps = cut_lineage(reps)
         per_doc = reps.groupBy("__dseq").agg(F.array_sort(F.collect_list(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
+        if not chained:
+            break
         steps = (d.join(per_doc, "__dseq").select("__dseq", F.explode(_fold(F.col("__text"), F.col("__reps"), reach)["steps"]).alias("__s"))
                  .select("__dseq", F.col("__s.s").alias("__after"), F.explode(_grams(F.col("__s.w"), sizes)).alias("__g")))
         found = steps.join(index, "__g").select("__dseq", "__after", "__old").distinct()
