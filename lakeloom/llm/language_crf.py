@@ -228,8 +228,11 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     rows = rows.filter("__id is not null and __lang is not null and __text is not null").filter(usable("__id"))
     order = F.xxhash64("__id", "__lang")
-    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(order, "__id"))
-    picked = rows.select("__id", "__lang").distinct().withColumn("__n", nth).filter(F.col("__n") <= SAMPLE_TEXTS).drop("__n")
+    picked = rows.select("__id", "__lang").distinct().withColumn("__part", F.pmod(order, F.lit(256)))
+    for keys in (["__lang", "__part"], ["__lang"]):  # first within parts, as one language may have most of the rows
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "__id"))
+        picked = picked.withColumn("__n", nth).filter(F.col("__n") <= SAMPLE_TEXTS).drop("__n")
+    picked = picked.drop("__part")
     size = F.length("__text")
     piece = F.substr("__text", F.when(size > SAMPLE_CHARS, F.pmod(order, size - SAMPLE_CHARS + 1) + 1).otherwise(1).cast("int"), F.lit(SAMPLE_CHARS))
     rows = rows.withColumn("__text", piece).join(F.broadcast(picked), ["__id", "__lang"])
