@@ -18,21 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default sentiment lexicons of the built-in scorer.
-POSITIVE_WORDS = (
-    "love", "loved", "amazing", "excellent", "great", "good", "delicious", "pleasant",
-    "cozy", "happy", "best", "wonderful", "perfect", "fantastic", "helpful", "nice",
-    "solved", "exceeded", "enjoy", "like",
-)
-NEGATIVE_WORDS = (
-    "hate", "worst", "bad", "terrible", "awful", "disappointed", "crashes", "bugs",
-    "anxious", "crowded", "poor", "slow", "broken", "angry", "sad", "fail", "failed",
-    "problem", "waiting", "heavy",
-)
-
-
-# Frequent English words: their count is a cheap signal of English prose.
-FREQUENT_ENGLISH_WORDS = ("the", "and", "that", "for", "was", "with", "this", "are", "from")
+#: Small general lexicons of the built-in scorer; pass others for other kinds of text.
+POSITIVE_WORDS = ("good", "great", "excellent", "wonderful", "fantastic", "perfect", "best", "beautiful", "brilliant",
+                  "love", "loved", "enjoy", "enjoyed", "happy", "pleased", "nice", "friendly", "helpful", "easy",
+                  "reliable", "recommend")
+NEGATIVE_WORDS = ("bad", "worse", "worst", "terrible", "awful", "horrible", "poor", "ugly", "hate", "hated", "sad",
+                  "angry", "unhappy", "disappointing", "broken", "slow", "useless", "unreliable", "wrong", "fail",
+                  "failed")
 
 
 class Scorer(Protocol):
@@ -53,16 +45,13 @@ def lexicon_hits(text: Column, words: Sequence[str]) -> Column:
 class LexiconScorer:
     """Counts positive and negative lexicon words; label by the larger count.
 
-    Output struct: ``sentiment`` (positive, negative, mixed or neutral),
-    ``positive`` and ``negative`` hit counts, and ``common`` -- hits of the
-    frequent-word list (how much of the text reads as English prose).
+    Output struct: ``sentiment`` (positive, negative, mixed or neutral) and the
+    ``positive`` and ``negative`` hit counts.
     """
 
-    def __init__(self, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
-                 common: Sequence[str] = FREQUENT_ENGLISH_WORDS):
+    def __init__(self, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS):
         self.positive = tuple(positive)
         self.negative = tuple(negative)
-        self.common = tuple(common)
 
     def expr(self, text: Column) -> Column:
         pos = lexicon_hits(text, self.positive)
@@ -70,8 +59,7 @@ class LexiconScorer:
         label = (F.when(pos > neg, "positive").when(neg > pos, "negative")
                  .when(pos > 0, "mixed").otherwise("neutral"))
         return F.when(text.isNotNull(), F.struct(label.alias("sentiment"), pos.alias("positive"),
-                                                  neg.alias("negative"),
-                                                  lexicon_hits(text, self.common).alias("common")))
+                                                  neg.alias("negative")))
 
     def score(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         return df.withColumn(out_col, self.expr(F.col(text_col)))

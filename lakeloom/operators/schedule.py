@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import WINDOWS_TO_IANA
-
-
-def _zone(z: Column) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in WINDOWS_TO_IANA.items() for x in kv])
-    return F.coalesce(m[z], z, F.lit("UTC"))
+from ..functions.dates import known_zone
 
 
 def expand_schedule(schedules: DataFrame, key: str, window_from=None, window_to=None) -> DataFrame:
@@ -21,7 +16,8 @@ def expand_schedule(schedules: DataFrame, key: str, window_from=None, window_to=
     zone), ``interval`` (minutes, Cron), ``times`` (``HH:mm`` list) and
     ``weekdays`` (day names).  Output: ``key``, ``fire_local``, ``fire_utc``.
     Bounds are inclusive; ``window_from``/``window_to`` clip the expansion so
-    the output is bounded by the period asked for.
+    the output is bounded by the period asked for.  ``fire_utc`` is null where
+    the zone's name is not known.
     """
     s = schedules.where(F.coalesce(F.col("enabled"), F.lit(False)))
     lo, hi = F.col("start"), F.col("end")
@@ -50,7 +46,7 @@ def expand_schedule(schedules: DataFrame, key: str, window_from=None, window_to=
         F.col("__day").cast("string"), F.lit(" "), F.col("__time"), F.lit(":00"))).alias("fire_local"))
     cal = cal.where(F.col("fire_local").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     out = cron.unionByName(cal)
-    utc = F.to_utc_timestamp(F.col("fire_local").cast("timestamp"), _zone(F.col("tz")))
+    utc = F.to_utc_timestamp(F.col("fire_local").cast("timestamp"), known_zone(F.col("tz")))
     return out.select(key, "fire_local", utc.cast("timestamp_ntz").alias("fire_utc"))
 
 

@@ -183,6 +183,28 @@ def q_expand_schedule(spark, sf):
     return schedule.expand_schedule(_schedules(spark, sf), "o_orderkey")
 
 
+@query("schedule_zones", sql="""
+SELECT o_orderkey, o_orderdate + INTERVAL 10 HOUR AS fire_local,
+  CASE o_orderpriority WHEN '1-URGENT' THEN timezone('UTC', timezone('America/Chicago', o_orderdate + INTERVAL 10 HOUR))
+    WHEN '2-HIGH' THEN timezone('UTC', timezone('Australia/Adelaide', o_orderdate + INTERVAL 10 HOUR))
+    WHEN '3-MEDIUM' THEN timezone('UTC', timezone('Asia/Kathmandu', o_orderdate + INTERVAL 10 HOUR))
+    WHEN '4-NOT SPECIFIED' THEN timezone('UTC', timezone('Europe/Berlin', o_orderdate + INTERVAL 10 HOUR)) END AS fire_utc
+FROM orders
+""")
+def q_schedule_zones(spark, sf):
+    """DTE-4 in local zones: Windows names, an IANA name, and one that no clock knows (null UTC time)."""
+    o = table(spark, sf, "orders")
+    zones = {"1-URGENT": "Central Standard Time", "2-HIGH": "Cen. Australia Standard Time", "3-MEDIUM": "Nepal Standard Time",
+             "4-NOT SPECIFIED": "Europe/Berlin", "5-LOW": "Nowhere Standard Time"}
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
+    s = o.select("o_orderkey", F.lit(True).alias("enabled"), F.lit("Daily").alias("type"), day.alias("start"),
+                 (day + F.make_dt_interval(hours=F.lit(23))).alias("end"),
+                 F.create_map(*[F.lit(x) for kv in zones.items() for x in kv])[F.col("o_orderpriority")].alias("tz"),
+                 F.lit(None).cast("int").alias("interval"), F.array(F.lit("10:00")).alias("times"),
+                 F.lit(None).cast("array<string>").alias("weekdays"))
+    return schedule.expand_schedule(s, "o_orderkey")
+
+
 @query("missed_runs", sql="""
 WITH b AS (SELECT event_type, date_trunc('hour', min(ts)) AS lo, max(ts) AS hi FROM events GROUP BY 1),
 e AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS fire FROM b),

@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
-from ..functions.status import JOB_STATUS_TO_STATUS
 from ..functions.text import format_log, map_lookup
 from ..operators.relational import now_lit
 from .jobs import catalog_inventory, deployment_report, log_analytics, text_enrichment
 from .registry import query, table
 from .relational_queries import NOW
-from .scalar_queries import EVENT_JOB_STATUS, event_job_status_sql
-from .sqlfrag import HOST, UPATH, case_map
-
-
-def _in_list(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
+from .scalar_queries import EVENT_JOB_STATUS
+from .sqlfrag import DEPLOYMENT_STATUS, HOST, UPATH
 
 _TOKENS = "regexp_split_to_array(lower(text), '[^a-z]+')"
-_POS = f"CAST(len(list_filter({_TOKENS}, lambda x: x IN ({_in_list(POSITIVE_WORDS)}))) AS BIGINT)"
-_NEG = f"CAST(len(list_filter({_TOKENS}, lambda x: x IN ({_in_list(NEGATIVE_WORDS)}))) AS BIGINT)"
+_POS = (f"CAST(len(list_filter({_TOKENS}, lambda x: x IN ('good', 'great', 'excellent', "
+        "'wonderful', 'fantastic', 'perfect', 'best', 'beautiful', 'brilliant', 'love', 'loved', 'enjoy', 'enjoyed', "
+        "'happy', 'pleased', 'nice', 'friendly', 'helpful', 'easy', 'reliable', 'recommend'))) AS BIGINT)")
+_NEG = (f"CAST(len(list_filter({_TOKENS}, lambda x: x IN ('bad', 'worse', 'worst', 'terrible', "
+        "'awful', 'horrible', 'poor', 'ugly', 'hate', 'hated', 'sad', 'angry', 'unhappy', 'disappointing', 'broken', "
+        "'slow', 'useless', 'unreliable', 'wrong', 'fail', 'failed'))) AS BIGINT)")
 
 
 @query("text_enrichment", sql=f"""
@@ -80,7 +77,7 @@ def q_catalog_files(spark, sf):
 
 # ---------------------------------------------------------------- JOB-4
 @query("deployment_report", sql=f"""
-WITH j AS (SELECT user_id, ts, {case_map(event_job_status_sql(), JOB_STATUS_TO_STATUS, "'InProgress'")} AS st,
+WITH j AS (SELECT user_id, ts, {DEPLOYMENT_STATUS} AS st,
                   value FROM events),
 f AS (SELECT user_id,
         COALESCE(arg_max(st, ts) FILTER (WHERE st IN ('Failed', 'Cancelled') AND value < 400),

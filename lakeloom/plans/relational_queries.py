@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import status, text
 from ..operators import access, project, relational as rel
 from .registry import query, table
-from .scalar_queries import EVENT_JOB_STATUS, event_job_status_sql, host_col, upath_col
-from .sqlfrag import HOST, UPATH, case_map
+from .scalar_queries import EVENT_JOB_STATUS, host_col, upath_col
+from .sqlfrag import DEPLOYMENT_STATUS, HOST, JOB_STATUS, UPATH
 
 NOW = "2024-01-30 12:00:00"
 
@@ -441,12 +441,8 @@ def q_group_tables_order(spark, sf):
     return rel.group_tables(_tables(spark, sf), "schema", "name", "pos")[0].select("schema", "name", "position")
 
 
-_JOB = event_job_status_sql()
-_DEP = case_map(_JOB, status.JOB_STATUS_TO_STATUS, "'InProgress'")
-
-
 @query("status_fold", sql=f"""
-WITH j AS (SELECT user_id, ts, {_DEP} AS st FROM events WHERE value < 400),
+WITH j AS (SELECT user_id, ts, {DEPLOYMENT_STATUS} AS st FROM events WHERE value < 400),
 f AS (SELECT user_id,
         COALESCE(arg_max(st, ts) FILTER (WHERE st IN ('Failed', 'Cancelled')),
                  arg_max(st, ts) FILTER (WHERE st IN ('Pending', 'InProgress')), 'Succeeded') AS fold
@@ -538,7 +534,7 @@ def q_running_progress(spark, sf):
 
 
 @query("latest_state", sql=f"""
-SELECT user_id, arg_max({_JOB}, ts) AS state, max(ts) AS ts FROM events GROUP BY user_id
+SELECT user_id, arg_max({JOB_STATUS}, ts) AS state, max(ts) AS ts FROM events GROUP BY user_id
 """)
 def q_latest_state(spark, sf):
     e = table(spark, sf, "events").select("user_id", "ts", text.map_lookup(F.col("event_type"), EVENT_JOB_STATUS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, status, text, validate
 from ..sources.tables import parse_json_col
 from .registry import query, table
-from .sqlfrag import HOST, UPATH, case_map, q, replace_first
+from .sqlfrag import DEPLOYMENT_STATUS, HOST, JOB_STATUS, UPATH, replace_first
 
 def host_col():
     return F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
@@ -118,8 +118,14 @@ _EXT = f"lower(string_split(string_split({UPATH}, '/')[-1], '.')[-1])"
 
 
 @query("file_language", sql=f"""
-SELECT page_id, {case_map(_EXT, text.LANGUAGE_BY_EXTENSION, "'plaintext'")} AS language
-FROM pages
+WITH e AS (SELECT page_id, {_EXT} AS x FROM pages)
+SELECT page_id, CASE
+  WHEN x IN ('js', 'jsx') THEN 'javascript' WHEN x IN ('ts', 'tsx') THEN 'typescript' WHEN x = 'ipynb' THEN 'jupyter'
+  WHEN x = 'py' THEN 'python' WHEN x = 'md' THEN 'markdown' WHEN x IN ('yml', 'yaml') THEN 'yaml' WHEN x = 'sh' THEN 'shell'
+  WHEN x = 'ps1' THEN 'powershell' WHEN x = 'cs' THEN 'csharp' WHEN x = 'rb' THEN 'ruby' WHEN x = 'rs' THEN 'rust'
+  WHEN x IN ('html', 'css', 'scss', 'sass', 'json', 'xml', 'sql', 'java', 'cpp', 'c', 'php', 'go') THEN x
+  ELSE 'plaintext' END AS language
+FROM e
 """)
 def q_file_language(spark, sf):
     p = table(spark, sf, "pages")
@@ -142,6 +148,20 @@ def q_extract_id(spark, sf):
     return p.select("page_id", text.extract_id(loc).alias("job_id"))
 
 
+@query("extract_connection", sql="""
+WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE
+  ' in Sql.Database("' || source || '",' || repeat(' ', doc_id % 4) || '"end-' || doc_id || '")' END AS t FROM documents)
+SELECT doc_id, nullif(regexp_extract(t, 'Sql\\.Database\\("([^"]+)",\\s*"([^"]+)"\\)', 1), '') AS database,
+  nullif(regexp_extract(t, 'Sql\\.Database\\("([^"]+)",\\s*"([^"]+)"\\)', 2), '') AS endpoint FROM t
+""")
+def q_extract_connection(spark, sf):
+    d = table(spark, sf, "documents")
+    conn = F.concat(F.lit(' in Sql.Database("'), "source", F.lit('",'), F.repeat(F.lit(" "), (F.col("doc_id") % 4).cast("int")),
+                    F.lit('"end-'), F.col("doc_id").cast("string"), F.lit('")'))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise(conn))
+    return d.select("doc_id", text.extract_connection(t).alias("c")).select("doc_id", "c.database", "c.endpoint")
+
+
 # ---------------------------------------------------------------- STR-10
 _LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'debug' ELSE 'info' END"
 
@@ -204,13 +224,10 @@ def q_parse_list(spark, sf):
 
 
 # ---------------------------------------------------------------- STR-15
-_ORDER_STATE = "CASE o_orderstatus WHEN 'O' THEN 'InProgress' WHEN 'F' THEN 'Succeeded' ELSE 'NotStarted' END"
-
-
-@query("label_status", sql=f"""
+@query("label_status", sql="""
 SELECT o_orderkey,
-       {case_map(_ORDER_STATE, status.SESSION_STATE_LABELS, _ORDER_STATE)} AS label,
-       {case_map(f"lower({_ORDER_STATE})", status.JOB_STATUS_COLOURS, q(status.DEFAULT_COLOUR))} AS colour
+       CASE o_orderstatus WHEN 'O' THEN 'In Progress' WHEN 'F' THEN 'Succeeded' ELSE 'Not Started' END AS label,
+       CASE o_orderstatus WHEN 'O' THEN '#0078D4' WHEN 'F' THEN '#107C10' ELSE '#605E5C' END AS colour
 FROM orders
 """)
 def q_label_status(spark, sf):
@@ -248,8 +265,8 @@ def q_describe_schedule(spark, sf):
 
 # ---------------------------------------------------------------- MTH-1
 def _tier_sql(col: str) -> str:
-    whens = " ".join(f"WHEN starts_with({col}, {q(p)}) THEN {q(t)}" for p, t in status.PRICING_TIERS)
-    return f"CASE {whens} ELSE 'Unknown' END"
+    return (f"CASE WHEN starts_with({col}, 'F') THEN 'Fabric' WHEN starts_with({col}, 'P') THEN 'Premium' "
+            f"WHEN starts_with({col}, 'A') THEN 'Azure' ELSE 'Unknown' END")
 
 
 @query("tier", sql=f"""
@@ -274,15 +291,10 @@ def event_job_status(col="event_type"):
     return text.map_lookup(F.col(col), EVENT_JOB_STATUS)
 
 
-def event_job_status_sql(col="event_type"):
-    return case_map(col, EVENT_JOB_STATUS, "NULL")
-
-
 @query("map_state", sql=f"""
-SELECT event_id, {event_job_status_sql()} AS job_status,
-  {case_map(event_job_status_sql(), status.JOB_STATUS_TO_STATUS, "'InProgress'")} AS deployment_status,
-  {case_map(case_map("event_type", EVENT_BATCH_STATE, "NULL"), status.BATCH_STATE_TO_STATUS, "'InProgress'")}
-    AS batch_status
+SELECT event_id, {JOB_STATUS} AS job_status, {DEPLOYMENT_STATUS} AS deployment_status,
+  CASE event_type WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Pending'
+       ELSE 'InProgress' END AS batch_status
 FROM events
 """)
 def q_map_state(spark, sf):

@@ -1,27 +1,10 @@
-"""Small DuckDB SQL fragment builders for the oracle strings.
+"""Small DuckDB SQL fragments of the oracle strings, written out by hand.
 
-They generate the independent SQL side of a check from the same fixed values
-the Spark functions use (lexicons, label maps), so the two cannot drift.
+They name no constant of the engine, so a wrong entry there shows as a mismatch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-
-def q(s: str) -> str:
-    """SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
-
-
-def in_list(words) -> str:
-    return ", ".join(q(w) for w in words)
-
-
-def case_map(expr: str, mapping: Mapping[str, str], default: str) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
-    return f"(CASE {expr} {whens} ELSE {default} END)"
-
 
 def replace_first(s: str, search: str, repl: str) -> str:
     return (f"(CASE WHEN strpos({s}, {search}) > 0 THEN substr({s}, 1, strpos({s}, {search}) - 1) || {repl} "
@@ -31,3 +14,8 @@ def replace_first(s: str, search: str, repl: str) -> str:
 # URL parts used to derive lake-style paths from pages.url.
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 UPATH = "regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1)"
+
+# Job and deployment status that the test queries give an event.
+JOB_STATUS = ("(CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'NotStarted' "
+              "WHEN 'view' THEN 'InProgress' WHEN 'click' THEN 'Running' END)")
+DEPLOYMENT_STATUS = "(CASE event_type WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END)"

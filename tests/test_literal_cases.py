@@ -220,3 +220,9 @@ def test_expand_schedule_window_clips_cron(spark):
                  .collect())
     # 2000-01-01 00:00 + k * 90 min is on the grid at 2024-01-01 00:00, then every 90 minutes
     assert out == [dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=90 * i) for i in range(5)]
+
+
+def test_zone_names(spark):
+    from lakeloom.functions.dates import known_zone
+    z = spark.createDataFrame([("Cen. Australia Standard Time",), ("Asia/Tokyo",), ("Nowhere",), (None,)], "z string")
+    assert [r[0] for r in z.select(known_zone(F.col("z"))).collect()] == ["Australia/Adelaide", "Asia/Tokyo", None, "UTC"]
