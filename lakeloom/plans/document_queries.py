@@ -269,6 +269,7 @@ WITH items AS (
   FROM nation)
 SELECT name, 'workload name mismatch' AS error FROM items WHERE starts_with(parent, 'Other')
 UNION ALL SELECT name, 'item name lacks prefix' FROM items WHERE NOT starts_with(name, parent || '.')
+UNION ALL SELECT name, 'job name lacks prefix: Run.' || name FROM items
 """)
 def q_manifest_names(spark, sf):
     """VAL-5 over XML item manifests written from the nation table: each
@@ -282,10 +283,11 @@ def q_manifest_names(spark, sf):
     parent = F.when(F.col("n_nationkey") == 7, F.lit("Other")).otherwise(wl)
     xml = F.concat(F.lit("<?xml version='1.0' encoding='utf-8'?><ItemManifestConfiguration SchemaVersion=\"2.0.0\">"
                          "<Item TypeName=\""), name, F.lit("\" Category=\"Data\"><Workload WorkloadName=\""), parent,
-                   F.lit("\" /></Item></ItemManifestConfiguration>"))
+                   F.lit("\" /><JobScheduler><ItemJobTypes><ItemJobType Name=\""), name, F.lit(".Refresh\" /><ItemJobType Name=\"Run."),
+                   name, F.lit("\" /></ItemJobTypes></JobScheduler></Item></ItemManifestConfiguration>"))
     # one manifest document per file, as the build folder holds them
     n.select(F.col("n_regionkey").cast("string").alias("r"), F.col("n_nationkey").cast("string").alias("k"),
              xml.alias("x")).write.partitionBy("r", "k").text(root)
     items = read_item_manifests(spark, root).withColumn(
         "expected", F.concat(F.lit("Wl"), F.regexp_extract("file", r"r=([0-9]+)/", 1)))
-    return docs.check_manifest_names(items, F.col("expected"), "name", "workload")
+    return docs.check_manifest_names(items, F.col("expected"), "name", "workload", "jobs")

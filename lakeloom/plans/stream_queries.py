@@ -119,3 +119,20 @@ def q_tail_log(spark, sf):
     # new files arrive; the second run reads only them (checkpoint = offset)
     second_half.select("line").write.text(os.path.join(folder, "b"))
     return tracking.tail_log(spark, folder + "/*", sink, ckpt, glob="part-*").select("line")
+
+
+@query("log_page", sql="""
+SELECT run, line_no, line FROM (
+  SELECT user_id % 16 AS run, CAST(row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS BIGINT) AS line_no,
+         CAST(event_id AS VARCHAR) || ' ' || event_type AS line FROM events)
+WHERE line_no BETWEEN 4 AND 23
+""")
+def q_log_page(spark, sf):
+    """STM-5 with offset and size: 20 lines of each run's log file after the first three."""
+    root = scratch_dir(spark, "logs")
+    e = table(spark, sf, "events").withColumn("line", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type"))
+    e = e.withColumn("run", F.col("user_id") % 16)
+    files = e.repartition("run").sortWithinPartitions("run", "event_id")
+    files.select("run", F.col("line").alias("value")).write.partitionBy("run").text(root)
+    page = tracking.log_page(tracking.numbered_lines(spark, root, glob="part-*"), 3, 20)
+    return page.select(F.regexp_extract("file", "/run=([0-9]+)/", 1).cast("long").alias("run"), "line_no", "line")

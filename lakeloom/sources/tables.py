@@ -165,15 +165,21 @@ def list_paths(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 
 def read_item_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Item manifests (XML) as rows ``(name, workload, file)``, read with
-    Spark's XML source, one row per ``<Item>`` element; input of the
-    manifest name checks (VAL-5)."""
+    """Item manifests (XML) as rows ``(name, workload, file, jobs)``, read with
+    Spark's XML source, one row per ``<Item>`` element; input of the manifest
+    name checks (VAL-5).  ``jobs`` are the names of all ``<ItemJobType>``
+    elements of the manifest, wherever they stand (empty if there are none)."""
     schema = T.StructType([
         T.StructField("_TypeName", T.StringType()),
         T.StructField("Workload", T.StructType([T.StructField("_WorkloadName", T.StringType())]))])
     raw = spark.read.format("xml").option("rowTag", "Item").schema(schema).load(path)
-    return raw.select(F.col("_TypeName").alias("name"), F.col("Workload._WorkloadName").alias("workload"),
-                      F.col("_metadata.file_path").alias("file"))
+    items = raw.select(F.col("_TypeName").alias("name"), F.col("Workload._WorkloadName").alias("workload"),
+                       F.col("_metadata.file_path").alias("file"))
+    named = T.StructType([T.StructField("_Name", T.StringType())])
+    jobs = spark.read.format("xml").option("rowTag", "ItemJobType").schema(named).load(path).where(F.col("_Name").isNotNull())
+    jobs = jobs.select(F.col("_metadata.file_path").alias("file"), "_Name").groupBy("file").agg(
+        F.array_sort(F.collect_set("_Name")).alias("jobs"))
+    return items.join(jobs, "file", "left").select("name", "workload", "file", F.coalesce("jobs", F.array().cast("array<string>")).alias("jobs"))
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.status import FAILED, SUCCEEDED
+from ..operators.ranking import rank_within_groups
 from ..operators.relational import merge_updates
 
 TERMINAL = (SUCCEEDED, FAILED)
@@ -203,3 +204,36 @@ def tail_log(spark, folder: str, sink: str, checkpoint: str, glob: str = "*.log"
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+def numbered_lines(spark, folder: str, glob: str = "*.log") -> DataFrame:
+    """``file, line_no, line`` of the log files below ``folder``; line numbers begin at 1.
+
+    Lines are numbered by their place in the file (block, then order within the
+    block) with the skew-safe ranking, so a huge file is not numbered in one task.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"),
+                     F.monotonically_increasing_id().alias("__nth"), F.col("value").alias("line")))
+    return rank_within_groups(lines, ["file"], ["__block", "__nth"], out="line_no").select("file", "line_no", "line")
+
+
+def log_page(lines: DataFrame, offset: int = 0, size: int | None = None) -> DataFrame:
+    """Of each file the lines after the first ``offset``, at most ``size`` of them (STM-5)."""
+    page = lines.where(F.col("line_no") > offset)
+    return page if size is None else page.where(F.col("line_no") <= offset + size)
+
+
+def tail_lines(spark, folder: str, sink: str, glob: str = "*.log") -> DataFrame:
+    """Append to ``sink`` (parquet) the lines that it doesn't have yet, also those added to files read before.
+
+    The offset of each file is the last line number in the sink, so a run that
+    failed before its commit is simply run again.
+    """
+    from ..sources.sinks import path_exists
+    new = numbered_lines(spark, folder, glob)
+    if path_exists(spark, sink):
+        known = spark.read.parquet(sink).groupBy("file").agg(F.max("line_no").alias("__last"))
+        new = new.join(known, "file", "left").where(F.col("line_no") > F.coalesce("__last", F.lit(0))).drop("__last")
+    new.write.mode("append").parquet(sink)
+    return spark.read.parquet(sink)

@@ -84,3 +84,15 @@ def test_refresh_status_stream_matches_batch(spark, tmp_dir):
                                            "k", "status", "ts", ["InProgress", "Pending"])
     want = {r.k: r.status for r in second.collect()}
     assert got == want
+
+
+def test_lines_added_to_known_files_are_read(spark, tmp_dir):
+    from lakeloom.streaming.tracking import tail_lines
+    folder, sink = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    os.makedirs(folder)
+    for text, expected in (("a\nb\n", ["a", "b"]), ("c\n", ["a", "b", "c"]), ("", ["a", "b", "c"])):
+        with open(f"{folder}/run.log", "a") as f:
+            f.write(text)
+        rows = tail_lines(spark, folder, sink).orderBy("line_no").collect()
+        assert [r.line for r in rows] == expected
+        assert [r.line_no for r in rows] == list(range(1, len(expected) + 1))
