@@ -393,7 +393,7 @@ def register_interceptor(type_name: str):
 
 
 @register_interceptor("StringReplacement")
-def _string_replacement(config: Mapping, variables: Mapping[str, str] | None = None) -> Interceptor:
+def _string_replacement(config: Mapping, variables: Mapping[str, str | Column] | None = None) -> Interceptor:
     reps = config.get("replacements") or {}
     return lambda col: replace_many(col, reps, variables)
 
@@ -402,23 +402,30 @@ class InterceptorError(ValueError):
     pass
 
 
+def resolve_definition(definition: Mapping, global_interceptors: Mapping[str, Mapping] | None = None) -> Mapping:
+    """The definition that a chain of ``Reference`` definitions ends in; cycles and unknown ids are errors."""
+    seen: list[str] = []
+    while definition.get("type") == "Reference":
+        ref = (definition.get("config") or {}).get("id")
+        if ref in seen:
+            raise InterceptorError(f"interceptor reference cycle: {' -> '.join((*seen, ref))}")
+        target = (global_interceptors or {}).get(ref)
+        if target is None:
+            raise InterceptorError(f"global interceptor not found: {ref}")
+        seen.append(ref)
+        definition = target
+    return definition
+
+
 def build_interceptor(definition: Mapping, global_interceptors: Mapping[str, Mapping] | None = None,
-                      variables: Mapping[str, str] | None = None, _seen: tuple = ()) -> Interceptor:
+                      variables: Mapping[str, str | Column] | None = None) -> Interceptor:
     """Resolve an interceptor definition to a Column function before planning.
 
-    ``Reference`` points at a global interceptor by id (resolved
-    recursively, cycles rejected); an unknown type or id is an error.
+    ``Reference`` points at a global interceptor by id; an unknown type or id is
+    an error.  A variable may be a column with a value for each row.
     """
-    t = definition.get("type")
-    cfg = definition.get("config") or {}
-    if t == "Reference":
-        ref = cfg.get("id")
-        if ref in _seen:
-            raise InterceptorError(f"interceptor reference cycle: {' -> '.join((*_seen, ref))}")
-        target = (global_interceptors or {}).get(ref)
-        if target is None:
-            raise InterceptorError(f"global interceptor not found: {ref}")
-        return build_interceptor(target, global_interceptors, variables, (*_seen, ref))
+    final = resolve_definition(definition, global_interceptors)
+    t = final.get("type")
     if t not in _FACTORIES:
         raise InterceptorError(f"Unsupported interceptor type: {t}")
-    return _FACTORIES[t](cfg, variables)
+    return _FACTORIES[t](final.get("config") or {}, variables)

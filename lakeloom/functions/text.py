@@ -39,10 +39,19 @@ def ordered_entries(replacements: Mapping[str, str] | Sequence[tuple[str, str]])
     return [(k, v) for k, v in replacements]
 
 
-def resolve_values(entries: Sequence[tuple[str, str]], variables: Mapping[str, str] | None) -> list[tuple[str, str]]:
-    """A replacement value that names a non-empty variable is replaced by it."""
-    variables = variables or {}
-    return [(k, variables[v] if variables.get(v) else v) for k, v in entries]
+def resolve_values(entries: Sequence[tuple[str, str]], variables: Mapping[str, str | Column] | None) -> list[tuple[str, str | Column]]:
+    """A replacement value that names a non-empty variable is replaced by it.
+
+    A variable may be a column: it then has its own value in each row, and where
+    that is null or empty the replacement value stays.
+    """
+    def value(v: str) -> str | Column:
+        found = (variables or {}).get(v)
+        if isinstance(found, Column):
+            return F.coalesce(F.nullif(found, F.lit("")), F.lit(v))
+        return found or v
+
+    return [(k, value(v)) for k, v in entries]
 
 
 def require_text(text: ColumnOrName, message: str = "Content to intercept cannot be empty") -> Column:
@@ -51,7 +60,7 @@ def require_text(text: ColumnOrName, message: str = "Content to intercept cannot
     return F.when(t.isNull() | (t == F.lit("")), F.raise_error(F.lit(message))).otherwise(t)
 
 
-def replace_many(text: ColumnOrName, replacements, variables: Mapping[str, str] | None = None,
+def replace_many(text: ColumnOrName, replacements, variables: Mapping[str, str | Column] | None = None,
                  check_empty: bool = True) -> Column:
     """Apply literal replacements in order, each to the previous output (STR-1).
 

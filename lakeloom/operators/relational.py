@@ -324,15 +324,19 @@ def group_tables(tables: DataFrame, schema_col: str, name_col: str, pos_col: str
     """Tables grouped by schema (AGG-2); a null schema is its own group.
 
     Returns ``(ordered, summary)``: every table with its 1-based position in
-    the group (source order, skew-safe ranking), and one row per group with
-    its size and first/last table.  No group is gathered into one row.
+    the group (source order, skew-safe ranking, which writes a checkpoint), and
+    :func:`summarize_tables`.  No group is gathered into one row.
     """
     ordered = rank_within_groups(tables, [schema_col], [F.col(pos_col)], out="position")
-    summary = tables.groupBy(schema_col).agg(
+    return ordered, summarize_tables(tables, schema_col, name_col, pos_col)
+
+
+def summarize_tables(tables: DataFrame, schema_col: str, name_col: str, pos_col: str) -> DataFrame:
+    """One row per schema (AGG-2) with its number of tables and the first and last of them."""
+    return tables.groupBy(schema_col).agg(
         F.count(F.lit(1)).alias("n_tables"),
         F.min_by(name_col, pos_col).alias("first_table"),
         F.max_by(name_col, pos_col).alias("last_table"))
-    return ordered, summary
 
 
 def status_fold(jobs: DataFrame, key: str, status_col: str, seq_col: str, policy_col: str | None,

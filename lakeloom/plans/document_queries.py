@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents as docs
+from ..functions.text import text_to_base64
 from ..operators import schedule
 from ..operators.project import exclude_types
-from .jobs import capture_references, render_parts
+from .jobs import capture_references, package_items, render_parts
 from .registry import query, table
 
 # ---------------------------------------------------------------- STR-3
@@ -237,9 +238,10 @@ def q_render_package(spark, sf):
     items = d.select(F.col("source").alias("pkg"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("n"),
                      "doc_id")
     variables = docs.build_variables(deployments, items, "pkg", "n", "doc_id", "doc_id", "dep", "pkg", "ws")
-    parts = d.select("doc_id", F.col("source").alias("pkg"), "text")
-    return render_parts(parts, variables, "pkg", "text", RENDER_REPLACEMENTS).select(
-        "doc_id", F.col("text").alias("rendered"))
+    parts = d.select("doc_id", F.col("source").alias("pkg"), text_to_base64("text").alias("payload"))
+    shared = {"Default": {"type": "StringReplacement", "config": {"replacements": RENDER_REPLACEMENTS}}}
+    done = render_parts(parts, variables, "pkg", "payload", {"type": "Reference", "config": {"id": "Default"}}, shared)
+    return done.select("doc_id", F.decode(F.unbase64("payload"), "UTF-8").alias("rendered"))
 
 
 # ---------------------------------------------------------------- JOB-7
@@ -247,7 +249,7 @@ _CID = "'cust-' || lpad(CAST({x} AS VARCHAR), 8, '0')"
 
 
 @query("capture_package", sql=f"""
-SELECT o.o_orderkey, replace('order ' || CAST(o.o_orderkey AS VARCHAR) || ' owner ' || {_CID.format(x='o.o_custkey')},
+SELECT o.o_orderkey, replace('order ' || CAST(o.o_orderkey AS VARCHAR) || ' in {{{{WORKSPACE_ID}}}} owner ' || {_CID.format(x='o.o_custkey')},
                              {_CID.format(x='o.o_custkey')}, '{{{{' || c.c_name || '}}}}') AS captured
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 WHERE o.o_orderstatus <> 'P'
@@ -255,13 +257,35 @@ WHERE o.o_orderstatus <> 'P'
 def q_capture_package(spark, sf):
     o = exclude_types(table(spark, sf, "orders"), "o_orderstatus", ["P"])
     cid = lambda c: F.concat(F.lit("cust-"), F.lpad(F.col(c).cast("string"), 8, "0"))
-    parts = o.select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" owner "),
+    parts = o.select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" in 6f0c-ws owner "),
                                             cid("o_custkey")).alias("content"))
     items = table(spark, sf, "customer").select(cid("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return capture_references(parts, "o_orderkey", "content", items, "id", "name").select(
+    return capture_references(parts, "o_orderkey", "content", items, "id", "name", "6f0c-ws").select(
         "o_orderkey", F.col("content").alias("captured"))
 
 
+@query("package_items", sql=r"""
+WITH i AS (SELECT page_id, 'p ' || url AS name, CASE WHEN page_id % 5 = 0 THEN 'Lakehouse' ELSE 'Notebook' END AS type,
+             substr(rtrim(ltrim(regexp_replace(regexp_replace(regexp_replace('p ' || url, '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'),
+               '_{2,}', '_', 'g'), '_'), '_'), 1, 100) AS folder FROM pages)
+SELECT page_id, 'My_Sales_Reports_All' AS package_id,
+  CASE WHEN type = 'Lakehouse' THEN '' ELSE 'Files/packages/My_Sales_Reports_All/' || folder || '/definitions/a.json|Files/packages/My_Sales_Reports_All/'
+    || folder || '/definitions/src/main.py' END AS part_paths,
+  name AS display_name, CASE WHEN type = 'Lakehouse' THEN NULL ELSE 'Default' END AS interceptor
+FROM i
+""")
+def q_package_items(spark, sf):
+    """JOB-7: one document entry per page taken as an item with two parts."""
+    p = table(spark, sf, "pages")
+    items = p.select("page_id", F.concat(F.lit("p "), "url").alias("name"),
+                     F.when(F.col("page_id") % 5 == 0, "Lakehouse").otherwise("Notebook").alias("type"),
+                     F.array(F.lit("a.json"), F.lit("src/main.py")).alias("paths"))
+    done = package_items(items, "My Sales: Reports / All")
+    return done.select("page_id", "package_id", F.array_join("part_paths", "|").alias("part_paths"),
+                       F.get_json_object("entry", "$.displayName").alias("display_name"),
+                       F.get_json_object("entry", "$.definition.interceptor.config.id").alias("interceptor"))
+
+
 @query("manifest_names", sql="""
 WITH items AS (
   SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE 'Wl' || CAST(n_regionkey AS VARCHAR) || '.' || n_name END AS name,

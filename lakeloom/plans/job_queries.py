@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import format_log, map_lookup
-from ..operators.relational import now_lit
-from .jobs import catalog_inventory, deployment_report, log_analytics, text_enrichment
+from ..operators.relational import now_lit, summarize_tables
+from .jobs import catalog_inventory, catalog_tree, deployment_report, log_analytics, text_enrichment
 from .registry import query, table
 from .relational_queries import NOW
 from .scalar_queries import EVENT_JOB_STATUS
@@ -75,6 +75,37 @@ def q_catalog_files(spark, sf):
     return catalog_inventory(_listing(spark, sf), "item1")[1].select("name", "path")
 
 
+@query("catalog_schemas", sql=f"""
+WITH t AS (
+  SELECT {_SEGS}[2] AS name, {_SEGS}[1] AS schema, {_SEGS}[1] || '/' || {_SEGS}[2] AS p FROM pages WHERE len({_SEGS}) >= 2
+  UNION ALL
+  SELECT split_part({HOST}, '.', 1) || '.' || split_part({HOST}, '.', 2), NULL, split_part({HOST}, '.', 1) || '.' || split_part({HOST}, '.', 2)
+  FROM pages WHERE starts_with({HOST}, 'blog.'))
+SELECT schema, count(*) AS n_tables, arg_min(name, p) AS first_table, arg_max(name, p) AS last_table FROM t GROUP BY schema
+""")
+def q_catalog_schemas(spark, sf):
+    """JOB-3: the catalog's tables by schema."""
+    return summarize_tables(catalog_inventory(_listing(spark, sf), "item1")[0], "schema", "name", "path")
+
+
+@query("catalog_tree", sql=f"""
+WITH f AS (SELECT {HOST} || {UPATH} AS path, false AS d FROM pages UNION ALL SELECT DISTINCT {HOST}, true FROM pages),
+s AS (SELECT path, d, list_filter(string_split(path, '/'), lambda s: s <> '') AS s FROM f),
+l AS (SELECT path, d, string_split(path, '/')[-1] AS name,
+        CASE WHEN len(s) > 1 AND array_to_string(s[1:len(s) - 1], '/') IN (SELECT {HOST} FROM pages)
+             THEN array_to_string(s[1:len(s) - 1], '/') END AS parent FROM s)
+SELECT path, parent, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN d THEN 0 ELSE 1 END, name, path) AS rank FROM l
+""")
+def q_catalog_tree(spark, sf):
+    """JOB-3: the catalog's files below their folders, ranked among their siblings."""
+    hosts = _listing(spark, sf).where(F.col("name").startswith("item1/Files/")).select(F.concat(
+        F.lit("item1/Files/"), F.split("name", "/").getItem(2)).alias("name")).distinct()
+    folders = hosts.select("name", F.lit(True).alias("isDirectory"), F.lit(False).alias("isShortcut"),
+                           F.lit(None).cast("string").alias("accountType"))
+    files = catalog_inventory(_listing(spark, sf).unionByName(folders), "item1")[1]
+    return catalog_tree(files).select("path", "parent", "rank")
+
+
 # ---------------------------------------------------------------- JOB-4
 @query("deployment_report", sql=f"""
 WITH j AS (SELECT user_id, ts, {DEPLOYMENT_STATUS} AS st,

@@ -429,7 +429,7 @@ SELECT {_SCHEMA} AS schema, CAST(count(*) AS BIGINT) AS n_tables,
 FROM part GROUP BY 1
 """)
 def q_group_tables(spark, sf):
-    return rel.group_tables(_tables(spark, sf), "schema", "name", "pos")[1]
+    return rel.summarize_tables(_tables(spark, sf), "schema", "name", "pos")
 
 
 @query("group_tables_order", sql=f"""

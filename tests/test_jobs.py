@@ -44,3 +44,28 @@ def test_lexicon_scorer_struct(spark):
     df = spark.createDataFrame([("The good, the good and the bad",)], ["t"])
     r = LexiconScorer().score(df, "t", "s").first()["s"]
     assert (r.sentiment, r.positive, r.negative) == ("positive", 2, 1)
+
+
+def test_render_takes_each_deployments_variables(spark):
+    from lakeloom.functions.text import text_to_base64
+    from lakeloom.plans.jobs import render_parts
+    parts = spark.createDataFrame([(1, "d1", "at A"), (2, "d2", "at A"), (3, "d3", "at A"), (4, "d1", ""), (5, "d1", None)],
+                                  "id int, dep string, t string").withColumn("p", text_to_base64("t"))
+    variables = spark.createDataFrame([("d1", "{{W}}", "one"), ("d2", "{{W}}", ""), ("d1", "{{X}}", "x")], "dep string, name string, value string")
+    shared = {"g": {"type": "Reference", "config": {"id": "h"}}, "h": {"type": "StringReplacement", "config": {"replacements": {"A": "{{W}}"}}}}
+    out = render_parts(parts, variables, "dep", "p", {"type": "Reference", "config": {"id": "g"}}, shared)
+    got = {r.id: r.t for r in out.select("id", F.decode(F.unbase64("p"), "UTF-8").alias("t")).collect()}
+    assert got == {1: "at one", 2: "at {{W}}", 3: "at {{W}}", 4: "", 5: None}
+
+
+def test_package_entries(spark):
+    import json
+
+    from lakeloom.plans.jobs import package_items
+    items = spark.createDataFrame([("Sales: May", "Notebook", ["a/b.py"]), ("Lake", "Lakehouse", ["x"])], "name string, type string, paths array<string>")
+    rows = {r.name: r for r in package_items(items, "A package with a long name of many words").collect()}
+    assert rows["Lake"].package_id == "A_package_with_a_long_nam"
+    assert json.loads(rows["Sales: May"].entry)["definition"] == {
+        "parts": [{"path": "a/b.py", "payload": "Files/packages/A_package_with_a_long_nam/Sales_May/definitions/a/b.py", "payloadType": "OneLake"}],
+        "interceptor": {"type": "Reference", "config": {"id": "Default"}}}
+    assert json.loads(rows["Lake"].entry) == {"displayName": "Lake", "type": "Lakehouse"} and rows["Lake"].part_paths == []
