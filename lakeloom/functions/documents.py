@@ -122,7 +122,7 @@ def build_variables(deployments: DataFrame, items: DataFrame, key: str, item_nam
 
 def invert_references(items: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Rows ``(search, value)`` mapping an item id to ``{{name}}`` (STR-13),
-    ready to feed :func:`replace_many_col` when capturing a package."""
+    ready for ``ordered_remap`` when capturing a package."""
     return items.select(F.col(id_col).cast("string").alias("search"),
                         F.concat(F.lit("{{"), F.col(name_col), F.lit("}}")).alias("value"))
 

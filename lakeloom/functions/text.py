@@ -76,16 +76,6 @@ def replace_many(text: ColumnOrName, replacements, variables: Mapping[str, str |
     return out
 
 
-def replace_many_col(text: ColumnOrName, entries: ColumnOrName, key: str = "key",
-                     value: str = "value", check_empty: bool = True) -> Column:
-    """Per-row ordered replacement: ``entries`` is an array of structs already
-    sorted by sequence; the fold runs inside the JVM with ``aggregate``."""
-    start = require_text(text) if check_empty else _c(text)
-    return F.aggregate(
-        _c(entries), start,
-        lambda acc, e: F.when(F.length(e[key]) > 0, F.replace(acc, e[key], e[value])).otherwise(acc))
-
-
 # ---------------------------------------------------------------------------
 # Base64 content interception (STR-2)
 # ---------------------------------------------------------------------------
@@ -308,8 +298,3 @@ def parse_list(s: ColumnOrName, prefix: str | None = None, sep: str = ",") -> Co
     if prefix is None:
         return items
     return F.transform(items, lambda x: F.concat(F.lit(prefix), x))
-
-
-def word_list(s: ColumnOrName) -> Column:
-    """Space-separated list as an array (empty parts kept, like ``split(' ')``)."""
-    return F.split(_c(s), " ")
