@@ -7,7 +7,8 @@ of its words' vectors and goes into a linear softmax.  Embeddings and softmax
 are trained together: first every window of a toxic text counts as toxic, then
 only the window that the model finds worst (the others may well be clean).  A
 text scores by its worst window, through a logistic fit on sample texts that
-the training left aside.
+the training left aside; their worst windows are found in the tasks, over whole
+texts of any length.
 
 As the softmax is linear, a trained model is one number for each n-gram, and
 scoring a text is a running sum over its words.
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import appended, crc_mod, query, read, slices
+from .shared import appended, crc_mod, query, read, slices, written
 from .subwords import LETTERS, Adam, WordTable, logistic_fit, ngram_ids, sigmoid
 
 BITS, LO, HI, DIM = 17, 3, 5, 8
 WINDOW, STRIDE = 2, 1
 #: An n-gram counts if so many texts of the sample have it.
 LEAST_TEXTS = 5
-#: Bound of the labelled sample, per label, and of a text in it: a piece of a longer one may lack what made it toxic.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 2000, 6_000
+#: Bounds of the labelled sample, per label: whole texts, since a piece of one may lack what made it toxic.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
+#: Of a label, training takes whole texts of about this many characters for each that the sample may have, but TRAIN_LEAST texts at least.
+TRAIN_CHARS, TRAIN_LEAST = 6_000, 2 * LEAST_TEXTS
 #: Texts are scored some characters at a time.
 CALL_CHARS = 2_000_000
 
@@ -89,27 +92,51 @@ def sorted_ngrams(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def set_aside(y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Of each label a fifth, for the logistic fit."""
+    aside = np.zeros(len(y), bool)
+    for v in (0, 1):
+        own = np.flatnonzero(y == v)
+        aside[rng.permutation(own)[: len(own) // 5]] = True
+    return aside
+
+
+def rejects_nothing() -> ToxicityModel:
+    """What a sample without texts of both labels gives: every text scores (next to) 0."""
+    return ToxicityModel(np.full(1 << BITS, np.nan), 0.0, 1.0, -60.0)
+
+
+def calibrate(model: ToxicityModel, worst: np.ndarray, y: np.ndarray, aside: np.ndarray) -> ToxicityModel:
+    """Fit the logistic cut on texts left aside, or on all if those lack a label."""
+    held = aside if 0 < y[aside].sum() < aside.sum() else np.ones(len(y), bool)
+    model.slope, model.intercept = logistic_fit(worst[held], y[held])
+    return model
+
+
 def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int = 25, rate: float = 0.15, seed: int = 3) -> ToxicityModel:
-    """Fit a model; without texts of both labels it scores every text by the share of toxic ones."""
+    """Fit a model; without texts of both labels it rejects nothing."""
     y = np.asarray(labels, float)
-    unknown = np.full(1 << BITS, np.nan)
-    share = (y.sum() + 0.5) / (len(y) + 1)
     if not 0 < y.sum() < len(y):
-        return ToxicityModel(unknown, 0.0, 1.0, float(np.log(share / (1 - share))))
+        return rejects_nothing()
     rng = np.random.default_rng(seed)
-    aside = np.zeros(len(y), bool)  # of each label a fifth, for the logistic fit
-    for v in (0, 1):
-        own = np.flatnonzero(y == v)
-        aside[rng.permutation(own)[: len(own) // 5]] = True
+    aside = set_aside(y, rng)
+    model = embed([t for t, left in zip(texts, aside, strict=True) if not left], y[~aside], rng, first=first, steps=steps, rate=rate)
+    words = WordTable(model.word_scores, 1 << 16)
+    worst = np.concatenate([model.worst(part, words) for part in slices(texts, CALL_CHARS // 4)])
+    return calibrate(model, worst, y, aside)
+
+
+def embed(texts: list[str], y: np.ndarray, rng: np.random.Generator, *, first: int = 10, steps: int = 25, rate: float = 0.15) -> ToxicityModel:
+    """Embeddings and softmax, without the logistic cut, from texts of both labels."""
     vocabulary: dict[str, int] = {}
     runs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in LETTERS.findall(t.lower())), np.int32) for t in texts]
-    counts, word = np.array([len(r) for r in runs]), np.concatenate(runs)
+    counts, word = np.array([len(r) for r in runs], np.int64), np.concatenate(runs)
     doc = np.repeat(np.arange(len(y)), counts)
 
     # n-grams that enough training texts have
     ids, owner = sorted_ngrams(list(vocabulary))
     reach = np.bincount(owner, minlength=len(vocabulary))
-    seen = np.unique(doc[~aside[doc]] * len(vocabulary) + word[~aside[doc]].astype(np.int64))
+    seen = np.unique(doc * len(vocabulary) + word.astype(np.int64))
     starts = np.cumsum(reach) - reach
     texts_of = np.zeros(1 << BITS, np.int64)
     for part in np.array_split(seen, max(1, len(seen) // 20_000)):
@@ -128,20 +155,19 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
 
     params = {"e": rng.normal(0, 0.1, (len(known), DIM)), "w": rng.normal(0, 0.5, DIM), "b": np.zeros(1)}
     adam = Adam(params, rate)
-    begin, size, text = windows(np.where(aside, 0, counts))  # those of the texts to fit, as places among their own words
-    fitted = word[~np.repeat(aside, counts)]
+    begin, size, text = windows(counts)
     begin, size, text = begin.astype(np.int32), size.astype(np.int32), text.astype(np.int32)
     at = np.repeat(begin - (np.cumsum(size, dtype=np.int32) - size), size)
     at += np.arange(len(at), dtype=np.int32)
-    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), fitted[at]
-    del at, word, runs
+    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), word[at]
+    del at, runs
     toxic = y[text] == 1
     first_window = np.flatnonzero(np.diff(text, prepend=-1))
     per_text = np.diff(first_window, append=len(text))
     for step in range(first + steps):
         # the softmax is linear: every sum over vectors is a sum over one number for each n-gram
         of_word = np.bincount(owner, (params["e"] @ params["w"])[gram], len(vocabulary)) * share_of
-        total = np.concatenate([[0.0], np.cumsum(of_word[fitted])])
+        total = np.concatenate([[0.0], np.cumsum(of_word[word])])
         z = (total[begin + size] - total[begin]) / size + params["b"][0]
         del total
         weight = np.ones(len(z), np.float32)
@@ -156,42 +182,68 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
         spread = np.bincount(word_of[pick], d[window_of[pick]], len(vocabulary))
         of_gram = np.bincount(gram, (spread * share_of)[owner], len(known))
         adam.step({"e": np.outer(of_gram, params["w"]) + 1e-6 * params["e"], "w": of_gram @ params["e"] + 1e-6 * params["w"], "b": np.array([bias])})
-    table = unknown.copy()
+    table = np.full(1 << BITS, np.nan)
     table[known] = params["e"] @ params["w"]
-    model = ToxicityModel(table, float(params["b"][0]), 1.0, 0.0)
-    held = np.flatnonzero(aside) if 0 < y[aside].sum() < aside.sum() else np.arange(len(y))
-    words = WordTable(model.word_scores, 1 << 16)
-    worst = np.concatenate([model.worst(part, words) for part in slices([texts[i] for i in held], CALL_CHARS // 4)])
-    model.slope, model.intercept = logistic_fit(worst, y[held])
-    return model
+    return ToxicityModel(table, float(params["b"][0]), 1.0, 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, bounds: dict[int, int],
-                    usable, chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a sample that doesn't depend on the order of rows, collected.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, bounds: dict[int, int], usable) -> DataFrame:
+    """Whole texts (``__id``, ``__y``, ``__text``) of a sample that doesn't depend on the order of rows, written.
 
-    Of each label value the rows with the smallest id hashes, at most
-    ``bounds[value]`` ids.  Ids with conflicting labels, null labels, null texts
-    and texts of more than ``chars`` characters are not used.
+    Of each label value the ids with a text that have the smallest hashes, at
+    most ``bounds[value]`` of them.  Ids with conflicting labels, null labels and
+    null texts are not used.
     """
+    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null and __text is not null")
     own = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).alias("__y")).filter("__id is not null and __y is not null")
            .filter(usable("__id")).groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).filter("__y = __z"))
+    own = own.join(text.select("__id"), "__id", "left_semi")
     order = F.xxhash64("__id")
-    picks = [own.filter(F.col("__y") == v).orderBy(order, "__id").limit(n).select("__id", "__y") for v, n in bounds.items()]
+    picks = [own.filter(F.col("__y") == v).orderBy(order, "__id").limit(n).select("__id", F.col("__y").cast("int").alias("__y")) for v, n in bounds.items()]
     picked = picks[0]
     for p in picks[1:]:
         picked = picked.unionAll(p)
-    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text") <= chars)
     # one text of an id: repeated rows are no further evidence
-    rows = text.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy("__id").collect()
-    return [r["__text"] for r in rows], np.array([r["__y"] for r in rows])
+    rows = text.join(F.broadcast(written(picked, "picked")), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    return written(rows, "sample")
+
+
+def to_train(sizes: np.ndarray, y: np.ndarray, aside: np.ndarray, bounds: dict[int, int]) -> np.ndarray:
+    """The texts to train on, in the order given: of each label up to its characters, those left aside excepted."""
+    taken = np.zeros(len(y), bool)
+    for v, n in bounds.items():
+        own = np.flatnonzero((y == v) & ~aside)
+        before = np.cumsum(sizes[own]) - sizes[own]
+        taken[own] = (before < n * TRAIN_CHARS) | (np.arange(len(own)) < TRAIN_LEAST)
+    return taken
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                  usable=lambda c: crc_mod(c, 5) != 0) -> ToxicityModel:
-    """Train on a bounded sample of the rows that ``usable`` admits."""
-    texts, y = labelled_sample(docs, labels, "toxic", id_col, text_col, {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}, usable, SAMPLE_CHARS)
-    return train(texts, y)
+    """Train on a bounded sample of the rows that ``usable`` admits.
+
+    Training collects whole texts up to a number of characters; the others of the
+    sample stay in the tasks and serve the logistic fit, whatever their length.
+    Without texts of both labels the model rejects nothing.
+    """
+    bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
+    sample = labelled_sample(docs, labels, "toxic", id_col, text_col, bounds, usable)
+    rows = sample.select("__id", "__y", F.length("__text").alias("size")).orderBy(F.xxhash64("__id"), "__id").collect()
+    ids, y = np.array([r["__id"] for r in rows], np.int64), np.array([r["__y"] for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return rejects_nothing()
+    rng = np.random.default_rng(3)
+    taken = to_train(np.array([r["size"] for r in rows], np.int64), y, set_aside(y, rng), bounds)
+    texts = {r["__id"]: r["__text"] for r in sample.filter(F.col("__id").isin(ids[taken].tolist())).select("__id", "__text").collect()}
+    model = embed([texts.pop(i) for i in ids[taken].tolist()], y[taken], rng)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        words = WordTable(shipped.value.word_scores, 1 << 16)
+        return lambda batch: [pa.array(np.concatenate([shipped.value.worst(part, words) for part in slices(batch.column("__text").to_pylist(), CALL_CHARS // 4)]), pa.float64())]
+
+    found = dict(appended(sample, {}, make, "worst double").select("__id", "worst").collect())
+    return calibrate(model, np.array([found[i] for i in ids.tolist()]), y, ~taken)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:

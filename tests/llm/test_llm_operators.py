@@ -240,6 +240,31 @@ def test_misspelt_toxic_words_share_n_grams():
     assert p[0] > 0.5 > p[1] and 0 <= p[2] <= 1 and rng
 
 
+def test_toxicity_learns_from_long_texts_and_ids_that_have_one(spark):
+    def text(i):
+        return f"{words(i, 1500)} {'horribleperson' if i % 3 == 0 else 'w1'} {words(i + 5000, 1500)}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(180)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(20_000)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, own)
+    got = toxicity.score_toxicity(docs, model, out="p").select("doc_id", "p").collect()
+    assert np.mean([(r.p >= 0.5) == (r.doc_id % 3 == 0) for r in got]) >= 0.95
+
+
+def test_toxicity_without_both_labels_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, words(i, 30)) for i in range(40)], "doc_id long, text string")
+    for own in ([(1_000_000, 1)], [(i, 1) for i in range(40)], [(i, 0) for i in range(40)]):
+        model = toxicity.fit_toxicity(docs, spark.createDataFrame(own, "doc_id long, toxic int"))
+        assert all(r.p < 0.5 for r in toxicity.score_toxicity(docs, model, out="p").collect())
+
+
+def test_every_sampled_text_is_trained_on_or_left_for_the_logistic_fit():
+    sizes, y = np.array([20_000_000, 10] * 40), np.array([1.0] * 40 + [0.0] * 40)
+    aside = toxicity.set_aside(y, np.random.default_rng(1))
+    taken = toxicity.to_train(sizes, y, aside, {1: 1000, 0: 2000})
+    assert aside.sum() == 16 and not (taken & aside).any()
+    assert taken[y == 1].sum() == taken[y == 0].sum() == toxicity.TRAIN_LEAST
+
+
 # ---- quality rules -------------------------------------------------------------------
 
 def test_rule_counts_and_cutoffs(spark, odd, labels):
