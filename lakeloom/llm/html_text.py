@@ -10,6 +10,10 @@ counts as a child) have the largest sum is the core of the article; the lowest
 density on the path from it to the body is the threshold that further subtrees
 of the page must reach to be taken too.  A core inside an ``article`` or
 ``main`` element stands for that whole element.
+
+A class name or id alone cuts nothing out of an article: inside an ``article``,
+``main`` or the core, and for headings, paragraphs and sections whose words also
+name topics, a part goes only if its links or its density speak against it too.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -52,8 +56,8 @@ ENDS = {tag: (_set(own), _set(stop)) for tag, (own, stop) in ENDS.items()}
 SCOPE = _set("button td th caption table html object template")
 
 #: Elements, roles and class words that are no article text.
-SKIP = _set("head script style noscript template title textarea iframe object embed svg canvas math audio video map nav footer aside "
-            "button select datalist dialog menu input label legend fieldset xmp noembed noframes")
+SKIP = _set("head script style noscript template title textarea iframe object embed svg canvas audio video map nav footer aside "
+            "button select datalist dialog menu input label legend fieldset xmp noembed noframes annotation annotation-xml")
 ROLES = _set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar")
 CLASSES = _set("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos "
                "promoted promotion sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar "
@@ -61,17 +65,28 @@ CLASSES = _set("ad ads adv advert adverts advertisement advertisements advertisi
                "disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe widget widgets "
                "toolbar pagination pager login signup search copyright")
 COMMENT = _set("comment comments commentlist reply replies respond disqus")
+#: Words of CLASSES that also name what an article is about or how it is set, and those that page builders give to any part.
+TOPICS = _set("header notice notices notification notifications alert related recommended recommendations widget widgets search "
+              "menu menus promotion copyright overlay sharing social")
+FRAMES = _set("widget widgets")
+HEADINGS = _set("h1 h2 h3 h4 h5 h6")
+TEXTUAL = HEADINGS | _set("p section")
 MODIFIERS = _set("has with no without is not")
 
 
-def _class_words(attributes: str) -> tuple[set[str], str]:
-    """Words that begin or end a class name or the id, and the role."""
+def _class_words(tag: str, attributes: str) -> tuple[set[str], str]:
+    """Words that begin or end a class name or the id (but a heading's id names its topic), and the role."""
     words, role = set(), ""
-    for name, *values in NAMES.findall(attributes):
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id", "role"):
+            continue
         value = next(filter(None, values), "")
-        if name.lower() == "role":
+        if name == "role":
             role = value.strip().lower()
             continue
+        if name == "id" and tag in HEADINGS:
+            continue
         for part in value.split():
             own = [w.lower() for w in WORD.findall(part)]
             if own and own[0] not in MODIFIERS:
@@ -122,7 +137,7 @@ class Page:
         self.parent.append(self.stack[-1])
         self.end.append(node + 1)
         if "=" in attributes:
-            words, role = _class_words(attributes)
+            words, role = _class_words(tag, attributes)
             if words:
                 self.words[node] = words
             if role:
@@ -174,33 +189,44 @@ class Page:
                     at = stop.start()
 
 
-def _left_out(page: Page) -> list[bool]:
-    """For each node whether it or an ancestor is no article text."""
+def _marks(page: Page) -> tuple[list[bool], dict[int, bool]]:
+    """For each node whether it is no article text for sure; and the other lexicon matches, whether each is to be judged by its text."""
     n = len(page.tag)
     words = page.words
     core = [t in ("article", "main") and not words.get(i, frozenset()) & COMMENT for i, t in enumerate(page.tag)]
-    holds = core[:]
+    holds = [c or t == "h1" for c, t in zip(core, page.tag, strict=True)]
     for i in range(n - 1, 0, -1):
-        holds[page.parent[i]] = holds[page.parent[i]] or holds[i] or page.tag[i] == "h1"
+        holds[page.parent[i]] = holds[page.parent[i]] or holds[i]
     within = [False] * n
-    out = [False] * n
+    sure, matched = [False] * n, {}
     for i in range(1, n):
         p, tag = page.parent[i], page.tag[i]
         within[i] = within[p] or core[i]
-        if out[p]:
-            out[i] = True
-        elif tag in ("html", "body", "main"):
+        if tag in ("html", "body", "main"):
             continue
         elif tag in SKIP:
-            out[i] = True
+            sure[i] = True
         elif tag == "form":
-            out[i] = not holds[i]
+            sure[i] = not holds[i]
         elif tag == "header":
-            out[i] = not within[i]
+            sure[i] = not within[i]
         elif page.role.get(i) in ROLES:
-            out[i] = not holds[i]
+            sure[i] = not holds[i]
         elif i in words:
-            out[i] = bool(words[i] & COMMENT) if tag == "article" else bool(words[i] & CLASSES) and not holds[i]
+            found = words[i] & (COMMENT if tag == "article" else CLASSES)
+            if found and (tag == "article" or not holds[i]):
+                if found & COMMENT:
+                    sure[i] = True
+                else:
+                    matched[i] = within[p] or found <= FRAMES or tag in TEXTUAL and found <= TOPICS
+    return sure, matched
+
+
+def _below(page: Page, cut: list[bool]) -> list[bool]:
+    """For each node whether it or an ancestor is cut."""
+    out = cut[:]
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[page.parent[i]]
     return out
 
 
@@ -213,40 +239,75 @@ def _density(chars: float, tags: float, link_chars: float, link_tags: float, bod
     return chars / max(tags, 1) * math.log(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)) / scale
 
 
+class Measures:
+    """Characters, tags and densities of every node over what is not left out."""
+
+    def __init__(self, page: Page, out: list[bool], sizes: list[int], linked: list[bool]):
+        n, parent = len(page.tag), page.parent
+        self.chars, self.tags, self.link_chars, self.link_tags = ([0] * n for _ in range(4))
+        chars, tags, link_chars, link_tags = self.chars, self.tags, self.link_chars, self.link_tags
+        for i in range(n - 1, -1, -1):
+            if out[i]:
+                continue
+            chars[i] += sizes[i]
+            link_chars[i] += sizes[i] if linked[i] else 0
+            if i:
+                p = parent[i]
+                chars[p] += chars[i]
+                link_chars[p] += link_chars[i]
+                tags[p] += tags[i] + 1
+                link_tags[p] += link_tags[i] + (page.tag[i] == "a")
+        self.density, self.total = [0.0] * n, [0.0] * n
+        if not chars[0]:
+            return
+        ratio = link_chars[0] / chars[0]
+        for i in range(n - 1, -1, -1):
+            if not out[i]:
+                self.density[i] = _density(chars[i], tags[i], link_chars[i], link_tags[i], ratio)
+                self.total[i] += _density(sizes[i], 1, sizes[i] if linked[i] else 0, linked[i], ratio)
+                if i:
+                    self.total[parent[i]] += self.density[i]
+
+
 def main_text(source: str) -> str:
     """The article's blocks in page order, one per line; empty if there are none."""
     page = Page(source)
-    n, parent = len(page.tag), page.parent
-    out = _left_out(page)
-    own, chars, tags, link_chars, link_tags = ([0] * n for _ in range(5))
-    linked = [False] * n
+    n = len(page.tag)
+    sizes, linked = [0] * n, [False] * n
     for i in range(1, n):
-        linked[i] = linked[parent[i]] or page.tag[i] == "a"
+        linked[i] = linked[page.parent[i]] or page.tag[i] == "a"
     for node, _, text in page.pieces:
-        if not out[node]:
-            size = len(text) if " " not in text and "\n" not in text else len(" ".join(text.split()))
-            own[node] += size
-    for i in range(n - 1, -1, -1):
-        if out[i]:
-            continue
-        chars[i] += own[i]
-        link_chars[i] += own[i] if linked[i] else 0
-        if i:
-            p = parent[i]
-            chars[p] += chars[i]
-            link_chars[p] += link_chars[i]
-            tags[p] += tags[i] + 1
-            link_tags[p] += link_tags[i] + (page.tag[i] == "a")
+        sizes[node] += len(text) if " " not in text and "\n" not in text else len(" ".join(text.split()))
+    sure, matched = _marks(page)
+    if not matched:
+        out = _below(page, sure)
+        return _lines(page, out, _chosen(page, out, Measures(page, out, sizes, linked))[0])
+    whole = Measures(page, _below(page, sure), sizes, linked)
+    cut = sure[:]
+    for i, judged in matched.items():
+        # words that name topics too: only links tell
+        cut[i] = not (judged and page.words[i] & CLASSES <= TOPICS) or 2 * whole.link_chars[i] >= whole.chars[i]
+    out = _below(page, cut)
+    chosen, core, limit = _chosen(page, out, Measures(page, out, sizes, linked))
+    inside = range(core, page.end[core]) if core >= 0 and page.tag[core] not in ("#root", "html", "body") else ()
+    back = False
+    for i, judged in matched.items():
+        if cut[i] and (judged or i in inside):
+            topic = page.words[i] & CLASSES <= TOPICS
+            if 2 * whole.link_chars[i] < whole.chars[i] if topic else whole.density[i] >= limit > 0:
+                cut[i], back = False, True
+    if back:
+        out = _below(page, cut)
+        chosen = _chosen(page, out, Measures(page, out, sizes, linked))[0]
+    return _lines(page, out, chosen)
+
+
+def _chosen(page: Page, out: list[bool], measures: Measures) -> tuple[set[int], int, float]:
+    """The nodes to take, the core among them (-1 if there is no text), and the density that further ones must reach."""
+    n, parent = len(page.tag), page.parent
+    chars, density, total = measures.chars, measures.density, measures.total
     if not chars[0]:
-        return ""
-    ratio = link_chars[0] / chars[0]
-    density, total = [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        if not out[i]:
-            density[i] = _density(chars[i], tags[i], link_chars[i], link_tags[i], ratio)
-            total[i] += _density(own[i], 1, own[i] if linked[i] else 0, linked[i], ratio)
-            if i:
-                total[parent[i]] += density[i]
+        return set(), -1, 0.0
 
     def best(top: int) -> int:
         """The node of the largest sum below ``top``, the innermost of equals, or the article around it."""
@@ -262,7 +323,8 @@ def main_text(source: str) -> str:
         limit = min(limit, density[i])
         i = parent[i]
     body = max(i, 0)
-    chosen = {best(body)}
+    main = best(body)
+    chosen = {main}
     i = body + 1
     while i < page.end[body]:
         if out[i] or not chars[i]:
@@ -274,7 +336,11 @@ def main_text(source: str) -> str:
             i = page.end[i]
         else:
             i += 1
-    taken = [False] * n
+    return chosen, main, limit
+
+
+def _lines(page: Page, out: list[bool], chosen: set[int]) -> str:
+    taken = [False] * len(page.tag)
     for c in chosen:
         taken[c : page.end[c]] = [True] * (page.end[c] - c)
     blocks: dict[int, list[str]] = {}

@@ -381,6 +381,25 @@ def test_articles_of_the_test_pages():
         assert html_text.main_text(source) == "\n".join(filter(None, blocks)), page
 
 
+def test_lexicon_words_cut_no_article_text():
+    long = " ".join(["word"] * 60)
+    page = lambda inner: f"<body><article><h1>T</h1><p>{long}</p>{inner}<p>{long}</p></article></body>"
+    kept = [('<section id="related-work"><h2>Related work</h2><p>Short text.</p><p>More text here.</p></section>', "Related work\nShort text.\nMore text here."),
+            ('<h2 id="how-to-search">How to search</h2>', "How to search"), ('<p class="notice">Note this.</p>', "Note this."),
+            (f'<div class="sidebar-layout"><p>{long}</p><p>{long} {long}</p></div>', f"{long}\n{long} {long}"),
+            ('<p data-id="ad" title="x id=ad">Data.</p>', "Data."), ("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then.</p>", "If x=2 then."),
+            ('<div class="elementor-widget elementor-widget-text"><p>Plain.</p></div>', "Plain.")]
+    for inner, want in kept:
+        assert html_text.main_text(page(inner)) == f"T\n{long}\n{want}\n{long}", inner
+    for inner in ('<div class="ad">Buy now.</div>', '<p class="ad">Buy now.</p>', '<div class="related"><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>',
+                  f'<div id="comments"><p>{long}</p></div>'):
+        assert html_text.main_text(page(inner)) == f"T\n{long}\n{long}", inner
+    assert html_text.main_text(f'<body><h1 class="page-header">Title</h1><div><p>{long}</p><h2 id="search">S</h2><p>{long}</p></div></body>').endswith(f"{long}\nS\n{long}")
+    assert "Title" in html_text.main_text(f'<body><div><h1 class="page-header">Title</h1><p>{long}</p></div></body>')
+    built = "".join(f'<div class="elementor-element elementor-widget"><p>{long}</p></div>' for _ in range(3))
+    assert html_text.main_text(f"<body><div class=ad>buy</div><div>{built}</div></body>") == "\n".join([long] * 3)
+
+
 # ---- pipeline and registry -----------------------------------------------------------
 
 def test_stages_on_odd_and_empty_tables(spark, odd, labels, tmp_dir):
