@@ -8,7 +8,9 @@ the Jaccard similarity of an item with a window that contains it is therefore
 bounded below, and the number of MinHash values (one-value bands) follows from
 that bound and the chosen miss probability.  A window that shares a value with
 an item makes the document a candidate for it; the candidate is confirmed by the
-containment of the item's shingles in the whole document's set.
+containment of the item's shingles in the whole document's set.  Items of the
+smallest class have too few shingles for that bound and are looked up exactly, by
+as many of their shingles as make sure that a document containing the item has one.
 
 The items are a stated query set.  They are indexed in blocks of at most about
 ``BLOCK_SHINGLES`` shingles (some 100 MB with their signatures), each block is
@@ -41,7 +43,8 @@ def size_class(n: int) -> int:
 def values_needed(containment: float, miss: float) -> int:
     """MinHash values for which the least similar window is missed with probability ``miss`` at most.
 
-    The smallest item of a class has u / (2 * SLACK) shingles against a window of 2u.
+    The smallest item of a class has u / (2 * SLACK) shingles against a window of 2u;
+    of the class SMALLEST, whose items may be smaller, no values are used.
     """
     q = 1 / (2 * SLACK)
     low = containment * q / (q + 2 - containment * q)
@@ -60,8 +63,17 @@ def block_minima(seq: np.ndarray, u: int, a: np.ndarray, b: np.ndarray, chunk: i
     return np.concatenate(out, axis=1)
 
 
+def _items_at(value: np.ndarray, item: np.ndarray, wanted: np.ndarray) -> set[int]:
+    """Items that have one of the wanted values; ``value`` is sorted."""
+    left, right = np.searchsorted(value, wanted, "left"), np.searchsorted(value, wanted, "right")
+    found: set[int] = set()
+    for x, y in zip(left[left < right], right[left < right], strict=True):
+        found.update(item[x:y].tolist())
+    return found
+
+
 class ItemIndex:
-    """MinHash values of one block of items, by size class, with the items' shingle sets."""
+    """MinHash values of one block of items, by size class (short ones: shingles), with the items' shingle sets."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], containment: float, miss: float):
         self.containment = containment
@@ -70,7 +82,15 @@ class ItemIndex:
         self.sets = [s for _, s in items]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.classes = {}
-        for u in sorted({size_class(len(s)) for s in self.sets}):
+        short = [k for k, s in enumerate(self.sets) if size_class(len(s)) == SMALLEST]
+        keys = [self.sets[k][: len(self.sets[k]) - max(math.ceil(containment * len(self.sets[k]) - 1e-9), 1) + 1] for k in short]
+        key = np.concatenate([np.empty(0, np.uint64), *keys])
+        item = np.repeat(np.array(short, np.int64), [len(x) for x in keys])
+        order = np.argsort(key, kind="stable")
+        self.short = key[order], item[order]
+        self.short_filter = np.zeros(1 << FILTER_BITS, bool)
+        self.short_filter[key & np.uint64((1 << FILTER_BITS) - 1)] = True
+        for u in sorted({size_class(len(s)) for s in self.sets} - {SMALLEST}):
             own = [k for k, s in enumerate(self.sets) if size_class(len(s)) == u]
             value = np.concatenate([block_minima(self.sets[k], 1 << 62, self.a, self.b)[:, 0] for k in own])
             item = np.repeat(np.array(own), len(self.a))
@@ -79,8 +99,10 @@ class ItemIndex:
             self.filter[value & ((1 << FILTER_BITS) - 1)] = True
 
     def candidates(self, seq: np.ndarray) -> set[int]:
-        """Items that share a value of the same size class with a window of the sequence."""
+        """Items that share a value of the same size class with a window of the sequence, and short ones that share a key shingle."""
         found: set[int] = set()
+        if len(self.short[0]):
+            found |= _items_at(*self.short, np.unique(seq[self.short_filter[seq & np.uint64((1 << FILTER_BITS) - 1)]]))
         base, minima = None, None
         for u, (value, item) in self.classes.items():
             if base is None:
@@ -95,9 +117,7 @@ class ItemIndex:
             windows = np.minimum(minima[:, :-1], minima[:, 1:]) if minima.shape[1] > 1 else minima
             flat = windows.reshape(-1)
             flat = np.unique(flat[self.filter[flat & ((1 << FILTER_BITS) - 1)]])
-            left, right = np.searchsorted(value, flat, "left"), np.searchsorted(value, flat, "right")
-            for x, y in zip(left[left < right], right[left < right], strict=True):
-                found.update(item[x:y].tolist())
+            found |= _items_at(value, item, flat)
         return found
 
     def hits(self, seq: np.ndarray) -> list[tuple[int, int, int]]:

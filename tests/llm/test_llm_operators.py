@@ -133,6 +133,19 @@ def test_contained_items(spark, odd):
     assert decontaminate.contained_items(empty(docs), items, out="found").count() == 0
 
 
+def test_shortest_items_are_found_without_a_miss():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 1 + i % 6, dtype=np.uint64)) for i in range(6000)]
+    index = decontaminate.ItemIndex(list(enumerate(sets)), 0.8, 1e-6)
+    for i, own in enumerate(sets):
+        n = len(own)
+        need = math.ceil(0.8 * n - 1e-9)
+        some = rng.permutation(own)
+        for hit in (need, need - 1):
+            seq = rng.permutation(np.concatenate([some[:hit], rng.integers(1 << 63, 1 << 64, 16 - hit, dtype=np.uint64)]))
+            assert index.hits(seq) == ([(i, n, hit)] if hit == need else [])
+
+
 # ---- web archives --------------------------------------------------------------------
 
 def test_archive_round_trip(spark, tmp_dir):
