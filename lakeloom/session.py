@@ -118,3 +118,9 @@ def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
         return df
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that the library itself wrote below the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop's file system, for any store
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
