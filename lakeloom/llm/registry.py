@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (decontaminate, html_text, language_crf, near_dup, quality_net, quality_rules, sentencepiece_ops,  # noqa: F401
-               token_counts, toxicity, warc)
+               token_counts, toxicity, vector_codes, warc)
 from .shared import ORACLES, QUERIES
 
 

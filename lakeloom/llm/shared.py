@@ -39,9 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage like ``checkpoint()`` and survives lost executors, in
     columns that later steps can prune.
     """
+    return scratch_table(df, name)[0]
+
+
+def scratch_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like :func:`written`, with the folder's path, for tables that go before the query ends."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
