@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, html_text, language_crf, near_dup, quality_net, quality_rules, sentencepiece_ops, spelling_variants,  # noqa: F401
+from . import (decontaminate, html_text, language_crf, near_dup, pitman_yor, quality_net, quality_rules, sentencepiece_ops, spelling_variants,  # noqa: F401
                token_counts, toxicity, vector_codes, warc)
 from .shared import ORACLES, QUERIES
 
