@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import appended, crc_mod, query, read, slices
-from .subwords import LETTERS, Adam, WordTable, ngram_ids
+from .subwords import Adam, WordTable, letter_runs, ngram_ids
 
 BITS, LO, HI = 17, 2, 4
 #: Training sample: so many texts per language, a piece of so many characters of each.
@@ -128,7 +128,7 @@ def marginals(emit: np.ndarray, counts: np.ndarray, transitions: np.ndarray, sta
 
 def predict(texts: list[str | None], model: LanguageModel, words: WordTable) -> tuple[list[str], np.ndarray]:
     """Language and score of each text: the language's share of the letters' probability."""
-    tokens = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    tokens = [letter_runs(t.lower()) if t else [] for t in texts]
     counts = np.array([len(t) for t in tokens], np.int64)
     flat = [w for t in tokens for w in t]
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -168,7 +168,7 @@ def _gradient(emit: np.ndarray, gold: np.ndarray, transitions: np.ndarray, start
 
 def train(texts: list[str], langs: list[str], *, steps: int = 60, rate: float = 0.5, seed: int = 5) -> LanguageModel:
     """Fit the field; the languages are those of the sample's texts with letters."""
-    tokens = [LETTERS.findall(t.lower()) for t in texts]
+    tokens = [letter_runs(t.lower()) for t in texts]
     own = [(t, g) for t, g in zip(tokens, langs, strict=True) if t]
     languages = sorted({g for _, g in own})
     labels = len(languages)
@@ -240,13 +240,13 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return train([r["__text"] for r in sample], [r["__lang"] for r in sample])
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from the whole text alone.
+def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``out`` and ``score``, from the whole text alone.
 
-    Null texts and texts without letters are ``und`` with score 0.  Ties go to
-    the first language in order.  Every column passes through, so the two names
-    must not be among them; repeated rows are each predicted; an empty table
-    gives no rows.
+    Null texts and texts without letters (Unicode category L) are ``und`` with
+    score 0.  Ties go to the first language in order.  Every column passes
+    through; the two names must not be among them (``ValueError``); repeated rows
+    are each predicted; an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -262,7 +262,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
         return run
 
-    return appended(docs, {"__text": F.col(text_col)}, make, "lang_pred string, score double")
+    return appended(docs, {"__text": F.col(text_col)}, make, f"`{out}` string, `{score}` double")
 
 
 @query("op4_language")

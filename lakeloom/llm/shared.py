@@ -92,10 +92,13 @@ def appended(df: DataFrame, inputs: dict[str, Column], make: Callable, fields: s
 
     ``make()`` is called once per task and returns a function from a batch of the
     input columns to a list of arrow arrays, one for each field of ``fields``.
-    Input names must not be columns of ``df`` (operators prefix theirs with
-    ``__``); all columns of ``df`` pass through untouched.
+    All columns of ``df`` pass through untouched; a name of ``inputs`` or
+    ``fields`` among them (in any case) raises ``ValueError``.
     """
     own = df.columns
+    given = {c.lower() for c in own}
+    if clash := [c for c in (*inputs, *T.StructType.fromDDL(fields).names) if c.lower() in given]:
+        raise ValueError(f"the table already has columns named {', '.join(clash)}; rename them or choose other names")
     full = df.withColumns(inputs)
     out = T.StructType.fromDDL(fields).names
 

@@ -6,8 +6,23 @@ import re
 
 import numpy as np
 
-#: Runs of letters; digits and marks make no word.
+#: Runs of letters, and of number signs that are no digits (superscripts, fractions), which ``letter_runs`` takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs from a letter to the last letter or digit: digits and the marks that are put for letters belong to the word, marks between words don't.
+MARKED = re.compile(r"""[^\W\d_](?:[^\s.,;:?/()\[\]{}"'<>|\u2010-\u2026-]*[^\W_])?""")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (Unicode category L)."""
+    found = LETTERS.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
+def marked_words(text: str) -> list[str]:
+    """Words with their digits and marks, outer punctuation left off."""
+    return MARKED.findall(text)
 
 
 def ngram_ids(words: list[str], lo: int, hi: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the embeddings of its character n-grams (and of
-itself) that the training sample has often enough, so misspellings share
-vectors with the words they vary.  A window of neighbouring words is the mean
+Words run from white space to white space without outer punctuation, so digits
+and marks put for letters stay in them.  A word's vector is the mean of the
+embeddings of its character n-grams (and of itself) that the training sample has
+often enough, so misspellings share vectors with the words they vary.  A window of neighbouring words is the mean
 of its words' vectors and goes into a linear softmax.  Embeddings and softmax
 are trained together: first every window of a toxic text counts as toxic, then
 only the window that the model finds worst (the others may well be clean).  A
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import appended, crc_mod, query, read, slices, written
-from .subwords import LETTERS, Adam, WordTable, logistic_fit, ngram_ids, sigmoid
+from .subwords import Adam, WordTable, logistic_fit, marked_words, ngram_ids, sigmoid
 
 BITS, LO, HI, DIM = 17, 3, 5, 8
 WINDOW, STRIDE = 2, 1
@@ -53,7 +54,7 @@ class ToxicityModel:
 
     def worst(self, texts: list[str], words: WordTable) -> np.ndarray:
         """The softmax's log-odds of each text's worst window."""
-        tokens = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        tokens = [marked_words(t.lower()) if t else [] for t in texts]
         counts = np.array([len(t) for t in tokens], np.int64)
         index = words.index([w for t in tokens for w in t])
         worst = np.full(len(texts), self.bias)
@@ -129,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
 def embed(texts: list[str], y: np.ndarray, rng: np.random.Generator, *, first: int = 10, steps: int = 25, rate: float = 0.15) -> ToxicityModel:
     """Embeddings and softmax, without the logistic cut, from texts of both labels."""
     vocabulary: dict[str, int] = {}
-    runs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in LETTERS.findall(t.lower())), np.int32) for t in texts]
+    runs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in marked_words(t.lower())), np.int32) for t in texts]
     counts, word = np.array([len(r) for r in runs], np.int64), np.concatenate(runs)
     doc = np.repeat(np.arange(len(y)), counts)
 
