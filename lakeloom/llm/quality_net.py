@@ -1,10 +1,12 @@
 """Text quality: random-indexing word vectors pooled per document, a two-layer network, calibrated.
 
-Every token (hashed to a row) has a sparse random index vector: +1 in one
-dimension and -1 in another.  Its context vector is the sum of the index vectors
-of the tokens up to two places away, over every text of the corpus: tasks sum
-what they have seen and Spark adds the rows up, so the statistics grow with the
-corpus while the table keeps its size.  Centred and scaled, context vectors are
+Every token has a sparse random index vector: +1 in one dimension and -1 in
+another.  Its context vector is the sum of the index vectors of the tokens up to
+two places away, over every text of the corpus: tasks sum what they have seen
+and Spark adds the vectors up.  The most frequent tokens of the corpus have a
+vector each (their number is a parameter, so that the table can be shipped);
+rarer ones share ``SHARED`` further vectors by hash, since a token seen a few
+times has no context to speak of.  Centred and scaled, context vectors are
 averaged over a text, together with the tokens' own index vectors and the spread
 of both.  A two-layer network in numpy is fitted on a bounded labelled sample,
 and one temperature, chosen on sample texts that the fit left aside, calibrates
@@ -14,6 +16,7 @@ its probabilities.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 from .shared import appended, crc_mod, query, read, written
 from .subwords import Adam, sigmoid
 
-ROWS, DIM, SEED = 8192, 32, 17
+OWN, SHARED, DIM, SEED = 1 << 15, 8192, 32, 17
+ROWS = OWN + SHARED
+#: Tokens that a task counts before it hands them on.
+HELD_TOKENS = 1 << 19
 OFFSETS = (1, 2)
 HIDDEN = 32
 #: Bounds of the labelled sample, per label.
@@ -33,7 +39,7 @@ SAMPLE_GOOD, SAMPLE_POOR = 4000, 4000
 #: Words, numbers, and runs of other marks.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Texts are gathered into pieces of about this many tokens, and so many texts at most.
-PIECE, PIECE_TEXTS = 200_000, 256
+PIECE, PIECE_TEXTS = 200_000, 4096
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -43,23 +49,49 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return plus, (plus + rng.integers(1, DIM, ROWS)) % DIM
 
 
+def token_hash(token: str) -> int:
+    h = xxhash.xxh3_64_intdigest(token, seed=SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class TokenRows(dict):
-    """Token to row.  Words in capitals share rows by their last letter: their case is what they tell."""
+    """Token to row: below ``OWN`` the token's own, from there on one that it shares."""
+
+    def __init__(self, own: dict[int, int]):
+        super().__init__()
+        self.own = own
 
     def __missing__(self, token: str) -> int:
         if len(self) > 1 << 18:
             self.clear()
-        shape = token
-        if len(token) > 1 and token.isupper():
-            shape = "A" + token[-1:]
-        elif token.isdigit():
-            shape = f"0{min(len(token), 9)}"
-        elif not token[0].isalnum():
-            shape = token[-1] * min(len(token), 4)
-        value = self[token] = xxhash.xxh3_64_intdigest(shape.lower() if shape is token else f"\0{shape}", seed=SEED) % ROWS
+        h = token_hash(token)
+        value = self[token] = self.own.get(h, OWN + h % SHARED)
         return value
 
 
+def frequent_tokens(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
+    """Hash to row of the ``OWN`` most frequent tokens of all texts (ties: the smaller hash)."""
+    def counts(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for t in batch.column("__text").to_pylist():
+                if t:
+                    held.update(TOKEN.findall(t))
+            if len(held) > HELD_TOKENS:
+                yield flushed(held)
+        if held:
+            yield flushed(held)
+
+    def flushed(held: Counter) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(map(token_hash, held), pa.int64()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+        held.clear()
+        return out
+
+    parts = docs.select(F.col(text_col).alias("__text")).mapInArrow(counts, "token long, n long")
+    top = parts.repartition("token").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(OWN)
+    return {h: i for i, h in enumerate(sorted(r["token"] for r in top.collect()))}
+
+
 def token_rows(text: str, rows: TokenRows) -> np.ndarray:
     found = TOKEN.findall(text)
     return np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
@@ -89,12 +121,13 @@ def context_sums(tokens: np.ndarray, counts: np.ndarray, plus: np.ndarray, minus
     return total.reshape(ROWS, DIM)
 
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def context_vectors(docs: DataFrame, own: dict[int, int], text_col: str = "text") -> np.ndarray:
     """The corpus's word vectors (``ROWS`` x ``DIM``): sums over every text, centred and scaled to length 1."""
     names = [f"c{i}" for i in range(DIM)]
+    shipped = docs.sparkSession.sparkContext.broadcast(own)
 
     def sums(batches):
-        rows, (plus, minus) = TokenRows(), index_vectors()
+        rows, (plus, minus) = TokenRows(shipped.value), index_vectors()
         total, seen = np.zeros((ROWS, DIM), np.int64), np.zeros(ROWS, np.int64)
         for batch in batches:
             for tokens, counts in pieces(batch.column("__text").to_pylist(), rows):
@@ -104,42 +137,45 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), *(pa.array(total[at, i]) for i in range(DIM))], names=["row", "seen", *names])
 
     parts = docs.select(F.col(text_col).alias("__text")).mapInArrow(sums, "row long, seen long, " + ", ".join(f"{n} long" for n in names))
-    table = parts.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names]).collect()  # ROWS rows at most
+    table = parts.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names]).toArrow()  # ROWS rows at most
+    at = table.column("row").to_numpy()
     out, seen = np.zeros((ROWS, DIM)), np.zeros(ROWS)
-    for r in table:
-        out[r["row"]], seen[r["row"]] = [r[n] for n in names], r["seen"]
+    seen[at] = table.column("seen").to_numpy()
+    for i, n in enumerate(names):
+        out[at, i] = table.column(n).to_numpy()
     out /= np.maximum(seen, 1)[:, None]
     out -= (out * seen[:, None]).sum(axis=0) / max(seen.sum(), 1)
     out[seen == 0] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray, rows: TokenRows) -> np.ndarray:
     """Per text the mean and spread of its tokens' context vectors, the mean of their index vectors, and how many differ."""
     plus, minus = index_vectors()
-    index = np.zeros((ROWS, DIM))
-    index[np.arange(ROWS), plus] += 1
-    index[np.arange(ROWS), minus] -= 1
-    table = np.concatenate([vectors, vectors * vectors, index], axis=1).astype(np.float32)
     out = []
     for tokens, counts in pieces(texts, rows):
-        part = np.zeros((len(counts), table.shape[1] + 2))
+        n = len(counts)
+        part = np.zeros((n, 3 * DIM + 2))
         if len(tokens):
-            text = np.repeat(np.arange(len(counts)), counts)
-            often = np.bincount(text * ROWS + tokens, minlength=len(counts) * ROWS).reshape(-1, ROWS)
-            size = np.maximum(counts, 1)
-            part[:, :-2] = (often.astype(np.float32) @ table) / size[:, None]
-            part[:, -2] = np.count_nonzero(often, axis=1) / size
+            some = np.flatnonzero(counts)
+            starts = (np.cumsum(counts) - counts)[some]
+            size, text = counts[some, None], np.repeat(np.arange(n), counts)
+            # double sums, so that a text's figures don't depend on the texts around it
+            own = vectors[tokens].astype(float)
+            mean = np.add.reduceat(own, starts, axis=0) / size
+            square = np.add.reduceat(own * own, starts, axis=0) / size
+            part[some, :DIM], part[some, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
+            index = np.bincount(text * DIM + plus[tokens], minlength=n * DIM) - np.bincount(text * DIM + minus[tokens], minlength=n * DIM)
+            part[some, 2 * DIM : 3 * DIM] = index.reshape(n, DIM)[some] / size
+            part[:, -2] = np.bincount(np.unique(text * ROWS + tokens) // ROWS, minlength=n) / np.maximum(counts, 1)
             part[:, -1] = np.log1p(counts)
         out.append(part)
-    found = np.concatenate(out) if out else np.zeros((0, table.shape[1] + 2))
-    mean, square = found[:, :DIM], found[:, DIM : 2 * DIM]
-    found[:, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
-    return found
+    return np.concatenate(out) if out else np.zeros((0, 3 * DIM + 2))
 
 
 @dataclass
 class QualityModel:
+    own: dict[int, int]
     vectors: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
@@ -154,20 +190,19 @@ class QualityModel:
         return sigmoid(self.logits(pooled(texts, self.vectors, rows)) / self.temperature)
 
 
-def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, steps: int = 400, rate: float = 0.01, decay: float = 1e-3,
+def train(x: np.ndarray, y: np.ndarray, own: dict[int, int], vectors: np.ndarray, *, steps: int = 400, rate: float = 0.01, decay: float = 1e-3,
           seed: int = 9) -> QualityModel:
-    """Fit network and temperature; without rows of both labels every text scores the share of good ones."""
+    """Fit network and temperature; without rows of both labels nothing can be told apart, and every text scores (next to) 1."""
     y = np.asarray(y, float)
     wide = x.shape[1]
-    share = (y.sum() + 0.5) / (len(y) + 1)
     if not 0 < y.sum() < len(y):
-        flat = {"a": np.zeros((wide, 1)), "b": np.zeros(1), "c": np.zeros(1), "d": np.array([np.log(share / (1 - share))])}
-        return QualityModel(vectors, np.zeros(wide), np.ones(wide), flat, 1.0)
+        flat = {"a": np.zeros((wide, 1)), "b": np.zeros(1), "c": np.zeros(1), "d": np.array([60.0])}
+        return QualityModel(own, vectors, np.zeros(wide), np.ones(wide), flat, 1.0)
     rng = np.random.default_rng(seed)
     aside = np.zeros(len(y), bool)
     for v in (0, 1):
-        own = np.flatnonzero(y == v)
-        aside[rng.permutation(own)[: len(own) // 5]] = True
+        mine = np.flatnonzero(y == v)
+        aside[rng.permutation(mine)[: len(mine) // 5]] = True
     u, target = x[~aside], y[~aside]
     centre, scale = u.mean(axis=0), np.maximum(u.std(axis=0), 1e-4)
     u = np.clip((u - centre) / scale, -8, 8)
@@ -178,7 +213,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, steps: int = 400
         e = (sigmoid(h @ params["c"] + params["d"][0]) - target) / len(target)
         back = np.outer(e, params["c"]) * (1 - h * h)
         adam.step({"a": u.T @ back + decay * params["a"], "b": back.sum(axis=0), "c": h.T @ e + decay * params["c"], "d": np.array([e.sum()])})
-    model = QualityModel(vectors, centre, scale, params, 1.0)
+    model = QualityModel(own, vectors, centre, scale, params, 1.0)
     held = aside if 0 < y[aside].sum() < aside.sum() else np.ones(len(y), bool)
     z, n = model.logits(x[held]), y[held].sum()
     # targets a little inside 0 and 1, as a sample without errors would ask for certainty
@@ -198,21 +233,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Of each label the ids with the smallest hashes are taken, at most
     ``SAMPLE_GOOD`` and ``SAMPLE_POOR``; their whole texts are pooled in the tasks
-    and only the pooled vectors collected.  Ids with conflicting or null labels
+    and only the pooled vectors collected.  Without texts of both labels the model rejects nothing.  Ids with conflicting or null labels
     and rows with null ids are not used; an id's repeated rows count once.
     """
-    vectors = context_vectors(docs, text_col)
-    shipped = docs.sparkSession.sparkContext.broadcast(vectors)
+    words = frequent_tokens(docs, text_col)
+    vectors = context_vectors(docs, words, text_col)
+    shipped = docs.sparkSession.sparkContext.broadcast((words, vectors))
     own = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col("quality").alias("__y")).filter("__id is not null and __y is not null")
            .filter(usable("__id")).groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).filter("__y = __z"))
     order = F.xxhash64("__id")
     picked = [own.filter(F.col("__y") == v).orderBy(order, "__id").limit(n).select("__id", "__y") for v, n in ((1, SAMPLE_GOOD), (0, SAMPLE_POOR))]
 
     def pool(batches):
-        rows = TokenRows()
+        rows = TokenRows(shipped.value[0])
         for batch in batches:
             if batch.num_rows:
-                x = pooled(batch.column("__text").to_pylist(), shipped.value, rows).astype(np.float32)
+                x = pooled(batch.column("__text").to_pylist(), shipped.value[1], rows).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"__id": batch.column("__id"), "__y": batch.column("__y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
@@ -221,7 +257,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = found.groupBy("__id", "__y").agg(F.min("x").alias("x")).orderBy("__id").collect()
     wide = 3 * DIM + 2
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, wide).astype(float)
-    return train(x, np.array([r["__y"] for r in rows]), vectors)
+    return train(x, np.array([r["__y"] for r in rows]), words, vectors)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -234,7 +270,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        rows = TokenRows()
+        rows = TokenRows(shipped.value.own)
         return lambda batch: [pa.array(shipped.value.scores(batch.column("__text").to_pylist(), rows), pa.float64())]
 
     return appended(docs, {"__text": F.col(text_col)}, make, f"{out} double")
