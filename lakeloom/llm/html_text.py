@@ -14,6 +14,8 @@ of the page must reach to be taken too.  A core inside an ``article`` or
 A class name or id alone cuts nothing out of an article: inside an ``article``,
 ``main`` or the core, and for headings, paragraphs and sections whose words also
 name topics, a part goes only if its links or its density speak against it too.
+Parts of a line and of code, and paragraphs called comments, never go by name.
+A core without a heading of the first level takes the nearest heading before it.
 """
 
 from __future__ import annotations
@@ -67,7 +69,9 @@ CLASSES = _set("ad ads adv advert adverts advertisement advertisements advertisi
 COMMENT = _set("comment comments commentlist reply replies respond disqus")
 #: Words of CLASSES that also name what an article is about or how it is set, and those that page builders give to any part.
 TOPICS = _set("header notice notices notification notifications alert related recommended recommendations widget widgets search "
-              "menu menus promotion copyright overlay sharing social")
+              "menu menus promotion copyright overlay share sharing social")
+#: Roles that parts of an article may have, too.
+SOFT_ROLES = _set("alert alertdialog dialog complementary search form")
 FRAMES = _set("widget widgets")
 HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 TEXTUAL = HEADINGS | _set("p section")
@@ -197,26 +201,33 @@ def _marks(page: Page) -> tuple[list[bool], dict[int, bool]]:
     holds = [c or t == "h1" for c, t in zip(core, page.tag, strict=True)]
     for i in range(n - 1, 0, -1):
         holds[page.parent[i]] = holds[page.parent[i]] or holds[i]
-    within = [False] * n
+    within, code, block = [False] * n, [False] * n, [""] * n
     sure, matched = [False] * n, {}
     for i in range(1, n):
         p, tag = page.parent[i], page.tag[i]
         within[i] = within[p] or core[i]
+        code[i] = code[p] or tag in ("pre", "code")
+        block[i] = tag if tag in BLOCKS else block[p]
         if tag in ("html", "body", "main"):
             continue
         elif tag in SKIP:
-            sure[i] = True
+            # words of a sentence, and what an article shows without scripts
+            sure[i] = not (within[p] and (tag == "noscript" or tag in ("button", "label") and block[p] == "p"))
         elif tag == "form":
             sure[i] = not holds[i]
         elif tag == "header":
             sure[i] = not within[i]
-        elif page.role.get(i) in ROLES:
-            sure[i] = not holds[i]
-        elif i in words:
+        elif page.role.get(i) in ROLES and not holds[i]:
+            if within[p] and page.role[i] in SOFT_ROLES:
+                words.setdefault(i, set())
+                matched[i] = True
+            else:
+                sure[i] = True
+        elif i in words and tag in BLOCKS and not code[i]:  # a name cuts no part of a line or of code
             found = words[i] & (COMMENT if tag == "article" else CLASSES)
             if found and (tag == "article" or not holds[i]):
                 if found & COMMENT:
-                    sure[i] = True
+                    sure[i] = tag != "p" and tag not in HEADINGS
                 else:
                     matched[i] = within[p] or found <= FRAMES or tag in TEXTUAL and found <= TOPICS
     return sure, matched
@@ -281,7 +292,8 @@ def main_text(source: str) -> str:
     sure, matched = _marks(page)
     if not matched:
         out = _below(page, sure)
-        return _lines(page, out, _chosen(page, out, Measures(page, out, sizes, linked))[0])
+        chosen, core, _ = _chosen(page, out, Measures(page, out, sizes, linked))
+        return _lines(page, out, chosen | _title(page, out, core, linked))
     whole = Measures(page, _below(page, sure), sizes, linked)
     cut = sure[:]
     for i, judged in matched.items():
@@ -298,8 +310,16 @@ def main_text(source: str) -> str:
                 cut[i], back = False, True
     if back:
         out = _below(page, cut)
-        chosen = _chosen(page, out, Measures(page, out, sizes, linked))[0]
-    return _lines(page, out, chosen)
+        chosen, core, _ = _chosen(page, out, Measures(page, out, sizes, linked))
+    return _lines(page, out, chosen | _title(page, out, core, linked))
+
+
+def _title(page: Page, out: list[bool], core: int, linked: list[bool]) -> set[int]:
+    """The nearest heading of the first two levels before a core that has none of the first."""
+    if core < 0 or page.tag[core] in ("article", "main", "body", "html", "#root") or "h1" in page.tag[core : page.end[core]]:
+        return set()
+    before = (i for i in range(core - 1, 0, -1) if page.tag[i] in ("h1", "h2") and not out[i] and not linked[i])
+    return set(list(before)[:1])
 
 
 def _chosen(page: Page, out: list[bool], measures: Measures) -> tuple[set[int], int, float]:
@@ -357,8 +377,9 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text
     Character references are decoded, white space inside a block becomes one
     space, blocks are trimmed and joined by line feeds; a line break element is
     white space.  Null and empty pages give the empty text.  Every column passes
-    through, so ``out`` must not be one of them; repeated pages are each
-    extracted, and an empty table gives no rows.
+    through; ``out`` must not be one of them (``ValueError``).  Equal densities go
+    to the innermost, last node.  Repeated pages are each extracted, and an empty
+    table gives no rows.
     """
     def make():
         return lambda batch: [pa.array([main_text(h) if h else "" for h in batch.column("__html").to_pylist()], pa.string())]
