@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
@@ -12,14 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_model import SPACE, build_tokenizer, parse_model, words_are_independent
+from .sentencepiece_model import SPACE, build_tokenizer
 from .shared import appended, query, read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of one multithreaded call hold about this many characters (a longer text is a call of its own).
 CALL_CHARS = 1 << 20
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 1 << 19
 
 
 def load_model(path: str = MODEL_PATH) -> bytes:
@@ -28,91 +25,34 @@ def load_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def _tokenizer(model: bytes, threads: int, prefix: bool = True):
+def _tokenizer(model: bytes, threads: int):
     os.environ["RAYON_NUM_THREADS"] = str(threads)  # read when the library makes its pool
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    return build_tokenizer(model, prefix=prefix)
+    return build_tokenizer(model)
 
 
 class TextEncoder:
-    """Ids of texts; on request each is decoded again and compared with the sentencepiece library.
-
-    Where a text's ids are those of its words in turn (``words_are_independent``),
-    a task gives each word that it has not seen to the library once, all those of
-    a call together, and texts are put together from their words' ids; decoding
-    and comparing go word by word likewise.  Other models take whole texts.
-    """
+    """Ids of whole texts; on request each is decoded again and compared with the sentencepiece library."""
 
     def __init__(self, model: bytes, threads: int, verify: bool = False):
-        self.by_word = words_are_independent(parse_model(model))
-        self.tok = _tokenizer(model, threads, prefix=not self.by_word)
-        self.threads, self.verify = threads, verify
-        self.library = None
+        self.tok, self.threads, self.library = _tokenizer(model, threads), threads, None
         if verify:
             import sentencepiece
             self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.words = re.compile(" +[^ ]*|[^ ]+")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.back, self.same = np.zeros(0, bool), np.zeros(0, bool)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _checked(self, texts: list[str], ids: list[list[int]], prefix: str) -> tuple[list[bool], list[bool]]:
-        """Whether each text decodes to itself, and whether the library agrees on ids; ``prefix`` is what it adds itself."""
-        if not self.verify:
-            return [False] * len(texts), [False] * len(texts)
-        back = [a == t.replace(SPACE, " ") for a, t in zip(self.tok.decode_batch(ids, skip_special_tokens=False), texts, strict=True)]
-        theirs = self.library.encode([t[len(prefix):] for t in texts], num_threads=self.threads)
-        if prefix:  # a lone space ends a text after a word; by itself the library would not see it
-            theirs = [self.library.encode("a ")[len(self.library.encode("a")):] if t == prefix else x for t, x in zip(texts, theirs, strict=True)]
-        return back, [a == b for a, b in zip(ids, theirs, strict=True)]
-
-    def _learn(self, new: list[str]) -> None:
-        ids = self._encode(new)
-        back, same = self._checked(new, ids, " ")
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
-        self.back, self.same = np.concatenate([self.back, back]), np.concatenate([self.same, same])
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
-        """Ids, whether they decode to the text, and whether the library agrees, of each text."""
-        texts = [t or "" for t in texts]
-        if not self.by_word:
-            ids = self._encode(texts)
-            return [np.array(i, np.int32) for i in ids], *self._checked(texts, ids, "")
-        split = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        flat = list(chain.from_iterable(split))
-        new = list(set(flat).difference(self.row))
-        if len(self.row) + len(new) > KNOWN_WORDS:
-            self._forget()
-            new = list(set(flat))
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
-        size = self.ends[row + 1] - self.ends[row]
-        at = np.cumsum(size)
-        ids = self.ids[np.repeat(self.ends[row] - (at - size), size) + np.arange(at[-1] if len(at) else 0)]
-        count = np.cumsum([0, *map(len, split)])
-        cuts = np.concatenate([[0], at])[count]
-        some = np.diff(count) > 0
-        flags = []
-        for good in (self.back, self.same):
-            out = np.ones(len(texts), bool)
-            if len(row):
-                out[some] = np.logical_and.reduceat(good[row], count[:-1][some])
-            flags.append(out.tolist())
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], *flags
+
+    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+    def checked(self, texts: list[str | None], ids: list[list[int]]) -> tuple[list[bool], list[bool]]:
+        """Whether each text's ids decode to it (U+2581 is the space it stands for), and whether the library has the same ids for it."""
+        plain = [t or "" for t in texts]
+        back = [a == t.replace(SPACE, " ") for a, t in zip(self.tok.decode_batch(ids, skip_special_tokens=False), plain, strict=True)]
+        return back, [a == b for a, b in zip(ids, self.library.encode(plain, num_threads=self.threads), strict=True)]
 
 
 def _threads(docs: DataFrame, threads: int | None) -> int:
-    """Threads of a task's calls: by default the cores that Spark gives a task."""
-    return threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    """Threads of a task's calls: by default the cores that Spark gives a task, and two at least."""
+    return threads or max(2, int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
 
 
 def encode(docs: DataFrame, text_col: str = "text", *, model: bytes, out: str = "ids", threads: int | None = None) -> DataFrame:
@@ -127,9 +67,12 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: bytes, out: str =
         encoder = TextEncoder(model, threads)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids = [i for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS) for i in encoder(texts)[0]]
-            ends = np.cumsum([0, *map(len, ids)])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))]
+            parts, sizes = [], [0]
+            for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS):
+                ids = encoder(texts)
+                sizes += map(len, ids)
+                parts.append(np.fromiter(chain.from_iterable(ids), np.int32))
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))]
         return run
 
     return appended(docs, {"__text": F.col(text_col)}, make, f"{out} array<int>")
@@ -150,9 +93,9 @@ def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threads: int | None = None) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_hash`` (xxh3 of the ids as little-endian int32), ``round_trip``, ``parity``.
 
-    ``round_trip`` says that decoding gives the text back, with U+2581 read as the
-    space it stands for; ``parity`` that the sentencepiece library gives the same
-    ids.  Null and empty texts have no tokens and are true in both.  Repeated
+    ``round_trip`` says that decoding the whole text's ids gives it back, with
+    U+2581 read as the space it stands for; ``parity`` that the sentencepiece
+    library gives the same ids for the whole text.  Null and empty texts have no tokens and are true in both.  Repeated
     rows are each reported; other columns are not read; an empty table gives no rows.
     """
     threads = _threads(docs, threads)
@@ -163,9 +106,10 @@ def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             count, digest, back, same = [], [], [], []
             for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS):
-                ids, decoded, agreed = encoder(texts)
+                ids = encoder(texts)
+                decoded, agreed = encoder.checked(texts, ids)
                 count += map(len, ids)
-                digest += [xxhash.xxh3_64_hexdigest(i.astype("<i4").tobytes()) for i in ids]
+                digest += [xxhash.xxh3_64_hexdigest(np.array(i, "<i4").tobytes()) for i in ids]
                 back += decoded
                 same += agreed
             return [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back), pa.array(same)]
