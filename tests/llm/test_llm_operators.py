@@ -357,16 +357,6 @@ def test_sentencepiece_parity_and_round_trip(odd):
         parse_model(b"\x0a\xff\x01")
 
 
-def test_whole_texts_where_words_depend(monkeypatch):
-    model = sentencepiece_ops.load_model()
-    fast = sentencepiece_ops.TextEncoder(model, 1, verify=True)
-    monkeypatch.setattr(sentencepiece_ops, "words_are_independent", lambda m: False)
-    whole = sentencepiece_ops.TextEncoder(model, 1, verify=True)
-    texts = ["", " ", "a ", "  a  b\n c", "▁x ", words(1, 50), None]
-    for a, b in zip(fast(texts), whole(texts)):
-        assert [np.asarray(x).tolist() for x in a] == [np.asarray(x).tolist() for x in b]
-
-
 # ---- pages ---------------------------------------------------------------------------
 
 PAGES = [
@@ -404,6 +394,15 @@ def test_lexicon_words_cut_no_article_text():
             ('<div class="elementor-widget elementor-widget-text"><p>Plain.</p></div>', "Plain.")]
     for inner, want in kept:
         assert html_text.main_text(page(inner)) == f"T\n{long}\n{want}\n{long}", inner
+    kept += [('<pre><code>x = 1 <span class="hljs-comment"># one</span></code></pre>', "x = 1 # one"), ('<pre><span class="token comment">// c</span> f()</pre>', "// c f()"),
+             ('<p class="comment">An aside.</p>', "An aside."), ('<p>The <span class="reply">answer</span> came.</p>', "The answer came."),
+             ('<div class="share-prices"><p>Up.</p></div>', "Up."), ('<div role="alert"><p>Mind it.</p></div>', "Mind it."),
+             ("<p>Press <button>OK</button> or <label>Cancel</label>.</p>", "Press OK or Cancel."), ("<noscript><p>Plain.</p></noscript>", "Plain.")]
+    for inner, want in kept:
+        assert html_text.main_text(page(inner)) == f"T\n{long}\n{want}\n{long}", inner
+    for shell in ('<div class="post"><h2>Title</h2><div class="meta">by A</div><div class="body"><p>{0}</p><p>{0}</p></div></div>',
+                  '<div><div><h1>Title</h1></div><div class="meta">by A</div><div><p>{0}</p><p>{0}</p></div></div>'):
+        assert html_text.main_text(f"<body><nav><h2>Menu</h2></nav>{shell.format(long)}</body>").startswith("Title\n")
     for inner in ('<div class="ad">Buy now.</div>', '<p class="ad">Buy now.</p>', '<div class="related"><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>',
                   f'<div id="comments"><p>{long}</p></div>'):
         assert html_text.main_text(page(inner)) == f"T\n{long}\n{long}", inner
@@ -413,6 +412,16 @@ def test_lexicon_words_cut_no_article_text():
     assert html_text.main_text(f"<body><div class=ad>buy</div><div>{built}</div></body>") == "\n".join([long] * 3)
 
 
+def test_long_and_repeated_pages(spark):
+    long = "".join(f"<p>Sentence {i} of the text, as long as others are.</p>" for i in range(20_000))
+    source = f"<body><nav><a href=x>m</a></nav><article>{long}</article><footer>f</footer></body>"
+    df = spark.createDataFrame([(1, source), (1, source), (2, None)], "page_id long, html string")
+    texts = [r.text for r in html_text.extract_main_text(df).orderBy("page_id").collect()]
+    assert texts[0] == texts[1] and texts[0].count("\n") == 19_999 and texts[0].endswith("Sentence 19999 of the text, as long as others are.") and texts[2] == ""
+    with pytest.raises(ValueError):
+        html_text.extract_main_text(df.withColumn("TEXT", F.lit(1)))
+
+
 # ---- pipeline and registry -----------------------------------------------------------
 
 def test_stages_on_odd_and_empty_tables(spark, odd, labels, tmp_dir):
@@ -431,7 +440,7 @@ def test_stages_on_odd_and_empty_tables(spark, odd, labels, tmp_dir):
 def test_queries_against_their_oracles(spark, name):
     from lakeloom.llm.registry import llm_queries
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).to_arrow_table()
     columns = sorted(want.column_names)
