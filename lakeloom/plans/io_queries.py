@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_to_base64
+from ..sources import files
 from ..session import scratch_path
 from ..sources import sinks, tables
 from .registry import query, table
@@ -123,6 +124,32 @@ def q_list_paths(spark, sf):
     return listing.where("isDirectory").select("name", "isDirectory").join(below, "name", "left")
 
 
+@query("walk_paths", sql=f"""
+WITH p AS (SELECT split_part(ltrim({UPATH}, '/'), '/', 1) AS lang, page_id % 16 AS part, page_id, strlen(html) AS bytes FROM pages)
+SELECT DISTINCT 'in/' || lang AS name, CAST(0 AS BIGINT) AS contentLength, true AS isDirectory FROM p
+UNION ALL SELECT DISTINCT 'in/' || lang || '/' || part, CAST(0 AS BIGINT), true FROM p
+UNION ALL SELECT 'in/' || lang || '/' || part || '/' || page_id || '.html', CAST(bytes AS BIGINT), false FROM p
+UNION ALL SELECT 'in', CAST(0 AS BIGINT), true
+""")
+def q_walk_paths(spark, sf):
+    """SNK-3 and SRC-5: every page becomes a file of its own, then the tree is walked: files, folders, sizes."""
+    root = scratch_dir(spark, "walk")
+    p = table(spark, sf, "pages").select(F.split(F.regexp_replace(upath_col(), "^/", ""), "/").getItem(0).alias("lang"), "page_id", "html")
+    name = F.concat_ws("/", F.lit("in"), "lang", (F.col("page_id") % 16).cast("string"), F.concat(F.col("page_id").cast("string"), F.lit(".html")))
+    files.export_files(p.select(name.alias("name"), F.base64(F.encode("html", "UTF-8")).alias("content")), root, "name", "content")
+    return files.walk_paths(spark, root).select("name", "contentLength", "isDirectory")
+
+
+@query("export_files", sql="SELECT doc_id, text FROM documents")
+def q_export_files(spark, sf):
+    """SNK-3: one file per document, written in tasks and shown at the commit, and read back."""
+    root = scratch_dir(spark, "export")
+    d = table(spark, sf, "documents").select(F.format_string("%d/%d.txt", F.col("doc_id") % 32, F.col("doc_id")).alias("name"), F.base64(F.encode("text", "UTF-8")).alias("content"))
+    files.export_files(d, root, "name", "content")
+    back = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), F.col("value").alias("text"))
+
+
 # ---------------------------------------------------------------- SRC-6 (docs) / SRC-7
 _PAGE = 5
 

@@ -1,6 +1,6 @@
 """Registered queries for the streaming operators (STM-1, STM-3, STM-4,
-STM-5).  STM-1/3/4 register their batch twins (same answer on the static
-table); STM-5 runs the file stream to completion into a parquet sink."""
+STM-5).  STM-1, STM-3 and STM-4 have a query on the stream, fed in several
+batches, and one on their batch twin; STM-5 runs its streams into parquet sinks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import files
+from ..sources.bucketed import BucketedTable
 from ..streaming import tracking
 from .io_queries import scratch_dir
 from .registry import query, table
@@ -58,7 +60,8 @@ def run_in_batches(spark, events, build, keys: str, parts: int = 4):
         q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
              .trigger(availableNow=True).start())
         q.awaitTermination()
-    return spark.read.parquet(sink).where(F.col(keys).isNotNull())
+    out = spark.read.parquet(sink)
+    return out.where(F.col(keys).isNotNull()) if keys in out.columns else out
 
 
 @query("terminal_state_stream", sql=f"""
@@ -94,6 +97,90 @@ def q_refresh_status(spark, sf):
     return tracking.refresh_status_batch(base, upd, "c_custkey", "status", "ts", ["InProgress", "Pending"])
 
 
+#: Parts of the events by time in the order in which they arrive: the second before the first, and the first once more.
+ARRIVAL = (1, 0, 3, 2, 0, 4)
+OPEN = ("InProgress", "Pending", "Running")
+
+
+def _refresh_sql() -> str:
+    """Batch after batch: the latest update of a key counts if the row is open and has none as new."""
+    parts = f"""
+WITH e AS (SELECT user_id, ts, {_STATE_SQL} AS st, (epoch_us(ts) - lo) * 5 // (hi - lo + 1) AS part
+  FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)),
+s0 AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'InProgress' ELSE 'Succeeded' END AS status, CAST(NULL AS TIMESTAMP) AS ts FROM customer)"""
+    for i, part in enumerate(ARRIVAL):
+        parts += f""",
+u{i} AS (SELECT user_id, max(ts) AS ts, arg_max(st, ts) AS st FROM e WHERE part = {part} GROUP BY 1),
+s{i + 1} AS (SELECT k, CASE WHEN a THEN st ELSE status END AS status, CASE WHEN a THEN uts ELSE ts END AS ts FROM (
+  SELECT k, status, s.ts, st, u.ts AS uts, coalesce(u.ts IS NOT NULL AND status IN {OPEN} AND (s.ts IS NULL OR u.ts > s.ts), false) AS a
+  FROM s{i} s LEFT JOIN u{i} u ON s.k = u.user_id))"""
+    return parts + f" SELECT k AS c_custkey, status, ts AS updated FROM s{len(ARRIVAL)}"
+
+
+@query("refresh_status_stream", sql=_refresh_sql())
+def q_refresh_status_stream(spark, sf):
+    """STM-3 on the stream: six micro-batches, some late and one sent twice, merged into a bucketed table."""
+    root = scratch_dir(spark, "refresh")
+    c = table(spark, sf, "customer")
+    base = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "InProgress").otherwise("Succeeded").alias("status"),
+                    F.lit(None).cast("timestamp_ntz").alias("ts"))
+    held = BucketedTable.create(base, os.path.join(root, "table"), "k", buckets=8)
+    events = operation_events(spark, sf).select(F.col("user_id").alias("k"), F.col("state").alias("status"), "ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    for i, part in enumerate(ARRIVAL):
+        events.where(F.floor((at - low) * 5 / (high - low + 1)) == part).write.parquet(os.path.join(root, "in", f"p={i}"))
+        stream = spark.readStream.schema(events.schema).parquet(os.path.join(root, "in", "*"))
+        tracking.refresh_status_table(stream, held, "status", "ts", OPEN, os.path.join(root, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    return held.read().select(F.col("k").alias("c_custkey"), "status", F.col("ts").alias("updated"))
+
+
+@query("state_counts_stream", sql=f"""
+SELECT date_trunc('hour', ts) AS window_start,
+       CAST(count(*) FILTER (WHERE {_STATE_SQL} IN ('Running', 'InProgress', 'NotStarted')) AS BIGINT) AS n_running,
+       CAST(count(*) FILTER (WHERE {_STATE_SQL} = 'Failed') AS BIGINT) AS n_failed
+FROM events GROUP BY 1
+""")
+def q_state_counts_stream(spark, sf):
+    """STM-4 on the stream: windows come out when the watermark has passed them."""
+    events = operation_events(spark, sf).select("user_id", "ts", "state")
+    return run_in_batches(spark, events, lambda s: tracking.state_counts(s, "ts", "state", watermark="1 hour"), "user_id")
+
+
+@query("tail_bytes", sql="""
+SELECT user_id % 8 AS run, CAST(event_id AS VARCHAR) || ' ' || event_type AS line FROM events
+""")
+def q_tail_bytes(spark, sf):
+    """STM-5 by byte offset: files grow and new ones come between three runs; each run reads the new bytes."""
+    root = scratch_dir(spark, "bytes")
+    folder, sink, ckpt = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt")
+    e = table(spark, sf, "events").select((F.col("user_id") % 8).alias("run"), "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("line"))
+    for turn in range(3):
+        # runs 6 and 7 have no file before the last turn
+        new = e.where((F.when(F.col("run") >= 6, 2).otherwise(F.col("event_id") % 3)) == turn)
+        new.repartition("run").sortWithinPartitions("run", "event_id").select("run", "line").foreachPartition(_appender(folder))
+        out = files.tail_bytes(spark, folder, sink, ckpt, suffix=".log")
+    return out.select(F.regexp_extract("file", "run-([0-9]+)[.]log", 1).cast("long").alias("run"), "line")
+
+
+def _appender(folder: str):
+    """Appends the rows' lines to one log file per run; a run's rows are in one task."""
+    def run(rows):
+        fs, top = files.store(folder)
+        out, name = None, None
+        fs.create_dir(top, recursive=True)
+        for row in rows:
+            if row["run"] != name:
+                if out:
+                    out.close()
+                name = row["run"]
+                out = fs.open_append_stream(f"{top}/run-{name}.log")
+            out.write(f"{row['line']}\n".encode())
+        if out:
+            out.close()
+    return run
+
+
 @query("state_counts", sql=f"""
 SELECT date_trunc('hour', ts) AS window_start,
        CAST(count(*) FILTER (WHERE {_STATE_SQL} IN ('Running', 'InProgress', 'NotStarted')) AS BIGINT) AS n_running,

@@ -172,10 +172,34 @@ def refresh_status_stream(stream: DataFrame, table_path: str, key: str, status:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def refresh_status_table(stream: DataFrame, table, status: str, ts: str, open_statuses: Sequence[str], checkpoint: str):
+    """STM-3 on a :class:`~lakeloom.sources.bucketed.BucketedTable`: a micro-batch rewrites the buckets that hold its keys.
+
+    The batch id is committed with the data, so a replayed batch changes nothing;
+    with a column ``ts`` in the table, updates that arrive after newer ones don't
+    either.  Updates of keys that the table lacks are left out.
+    """
+    key = table.state()["key"]
+
+    def apply(batch: DataFrame, batch_id: int):
+        batch.persist()
+        try:
+            table.merge(batch, batch_id, lambda base, new: refresh_status_batch(base, new, key, status, ts, open_statuses))
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
 # ---------------------------------------------------------------------------
 # STM-4: running / failed counts over time
 # ---------------------------------------------------------------------------
 
+def late_rows(query) -> int:
+    """Rows that a finished or running stream has dropped because they came after the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def state_counts(events: DataFrame, ts: str, status: str, width: str = "1 hour",
                  running: Sequence[str] = ("Running", "InProgress", "NotStarted"),
                  failed: Sequence[str] = (FAILED,), watermark: str | None = None) -> DataFrame:
