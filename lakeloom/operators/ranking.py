@@ -32,8 +32,9 @@ _PID = "__pid"
 
 def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                        out: str = "rn", num_partitions: int | None = None,
-                       with_count: str | None = None) -> DataFrame:
-    """Add ``out`` = 1-based position of each row inside its key group.
+                       with_count: str | None = None, weight: Column | None = None) -> DataFrame:
+    """Add ``out`` = 1-based position of each row inside its key group, or with
+    ``weight`` the sum of the weights up to and with the row.
 
     ``order`` must make rows unique inside a group (add a tie-breaker), so
     the result is deterministic.  ``with_count`` also adds the group size.
@@ -48,8 +49,9 @@ def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     # of bounds; also what a lost executor recovers from)
     ranged = cut_lineage(ranged)
     local_w = W.partitionBy(_PID, *keys).orderBy(*order_cols)
-    local = ranged.withColumn("__local", F.row_number().over(local_w))
-    counts = ranged.groupBy(*keys, _PID).agg(F.count(F.lit(1)).alias("__cnt"))
+    upto = F.row_number().over(local_w) if weight is None else F.sum(weight).over(local_w.rowsBetween(W.unboundedPreceding, 0))
+    local = ranged.withColumn("__local", upto)
+    counts = ranged.groupBy(*keys, _PID).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__cnt"))
     prior_w = W.partitionBy(*keys).orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(prior_w), F.lit(0)))
     if with_count:

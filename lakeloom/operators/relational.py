@@ -187,6 +187,55 @@ def tree_rank(nodes: DataFrame, parent_col: str, name_col: str, dir_col: str, ti
     return rank_within_groups(nodes, [parent_col], order, out="rank")
 
 
+def tree_order(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, dir_col: str, tie: Sequence[str] = (),
+               collation: str = "UNICODE") -> DataFrame:
+    """Place of each node in the displayed tree (SRT-1): ``id``, ``depth``, ``size``, ``position``.
+
+    The tree is shown top-down, each folder followed by what is below it,
+    siblings as in :func:`tree_rank`.  ``size`` counts a node and all below it,
+    and ``position`` begins at 1.  Levels are found from the roots (no parent, or
+    one that is not listed), sizes added up from the leaves, and positions handed
+    down: a node stands after its parent and the subtrees of its earlier
+    siblings, whose sizes are summed up without gathering a folder's children in
+    one task.  Rounds grow with the depth, each over one level.  Nodes on or below
+    a cycle, and rows without an id, have no place and are left out.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.when(F.col(dir_col), 0).otherwise(1).alias("__d"),
+                       F.collate(F.col(name_col), collation).alias("__n"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(tie)])
+    own = cut_lineage(own.where(F.col("id").isNotNull()))
+    ids = own.select(F.col("id").alias("__i")).distinct()
+    roots = own.join(ids, own["parent"] == ids["__i"], "left").where(F.col("__i").isNull()).drop("__i")
+    level = cut_lineage(roots.withColumn("parent", F.lit(None).cast(own.schema["parent"].dataType)))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        above = level.select(F.col("id").alias("__i"))
+        level = cut_lineage(own.join(above, own["parent"] == above["__i"]).drop("__i"))
+    sized, below = [], None
+    for level in reversed(levels):
+        size = F.lit(1).cast("long")
+        if below is not None:
+            level = level.join(below.groupBy(F.col("parent").alias("__p")).agg(F.sum("size").alias("__s")), level["id"] == F.col("__p"), "left")
+            size = size + F.coalesce("__s", F.lit(0))
+        below = cut_lineage(level.withColumn("size", size).drop("__p", "__s"))
+        sized.insert(0, below)
+    placed, found = None, None
+    for depth, level in enumerate(sized, 1):
+        order = ["__d", "__n", *[f"__t{i}" for i in range(len(tie))], "id"]
+        level = rank_within_groups(level, ["parent"], order, out="__upto", weight=F.col("size"))
+        position = F.col("__upto") - F.col("size") + 1
+        if placed is not None:
+            above = placed.select(F.col("id").alias("__i"), F.col("position").alias("__at"))
+            level = level.join(above, level["parent"] == above["__i"])
+            position = position + F.col("__at")
+        placed = cut_lineage(level.select("id", F.lit(depth).alias("depth"), "size", position.cast("long").alias("position")))
+        found = placed if found is None else found.unionByName(placed)
+    if found is None:
+        found = own.select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("position"))
+    return found.withColumnRenamed("id", id_col)
+
+
 # ---------------------------------------------------------------------------
 # Ordered id remapping (JN-10)
 # ---------------------------------------------------------------------------
@@ -438,9 +487,17 @@ def limit_n(df: DataFrame, order: Sequence[str | Column], n: int | None) -> Data
 
 
 def slice_rows(df: DataFrame, order: Sequence[str | Column], start: int, size: int | None) -> DataFrame:
-    """Rows ``start .. start+size-1`` in ``order`` (LIM-2)."""
-    s = df.orderBy(*order).offset(int(start))
-    return s.limit(int(size)) if size else s
+    """Rows ``start .. start+size-1`` in ``order`` (LIM-2); without ``size`` all from ``start`` on.
+
+    With a size it is a top-k merge.  Without, rows are numbered over range
+    partitions and filtered, so nothing passes through one task; ``order`` should
+    then tell rows apart.
+    """
+    if size:
+        return df.orderBy(*order).offset(int(start)).limit(int(size))
+    if not start:
+        return df
+    return rank_within_groups(df, [], order, out="__place").where(F.col("__place") > int(start)).drop("__place")
 
 
 def preview(df: DataFrame, order: Sequence[str | Column], n: int = 5) -> DataFrame:

@@ -165,6 +165,23 @@ def q_flatten_pages(spark, sf):
     return tables.flatten_pages(paged, "body", schema, keep=["conv_id"])
 
 
+@query("chain_pages", sql="""
+SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS place, 'complete' AS chain_state
+FROM conversations
+""")
+def q_chain_pages(spark, sf):
+    """SRC-7: conversations cut into token-linked pages, shuffled; every record gets its place in the whole list."""
+    c = table(spark, sf, "conversations").withColumn("page", F.floor(F.col("turn") / 2))
+    body = c.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("value"))
+    last = body.groupBy("conv_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    token = lambda page: F.when(page.isNotNull(), F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), page.cast("string")), 256))
+    following = F.array_min(F.filter("pages", lambda p: p > F.col("page")))
+    pages = body.join(last, "conv_id").select("conv_id", token(F.col("page")).alias("token"), F.coalesce(token(following), F.lit("")).alias("next"), "value", F.size("value").alias("n"))
+    chained = tables.chain_pages(pages.orderBy("token"), "token", "next", "n")
+    return chained.select("conv_id", "offset", "chain_state", F.posexplode("value").alias("i", "v")).select(
+        "conv_id", "v.turn", "v.role", (F.col("offset") + F.col("i")).alias("place"), "chain_state")
+
+
 @query("scan_json_docs", sql="""
 SELECT user_id, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER))
        AS BIGINT) AS k_sum

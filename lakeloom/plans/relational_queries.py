@@ -282,6 +282,21 @@ def q_build_rules(spark, sf):
     return access.read_role_rows(names, "kind", "name").select("role", "path", "action").distinct()
 
 
+@query("custom_roles", sql="""
+WITH r AS (SELECT p_brand AS role, '/' || p_type AS path, CASE WHEN p_size % 2 = 0 THEN ['Read'] ELSE ['Read', 'ReadWrite'] END AS actions FROM part),
+a AS (SELECT role, path, unnest(actions) AS action FROM r)
+SELECT DISTINCT role, 'Permit' AS effect, path, action FROM a
+UNION ALL SELECT DISTINCT p_brand || 'Empty', 'Permit', '', '' FROM part WHERE false
+""")
+def q_custom_roles(spark, sf):
+    """ACL-1: custom roles, each path of a role with each of its actions; roles with an empty list permit nothing."""
+    p = table(spark, sf, "part")
+    actions = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Read"))).otherwise(F.array(F.lit("Read"), F.lit("ReadWrite"), F.lit("Read")))
+    roles = p.groupBy(F.col("p_brand").alias("role"), actions.alias("actions")).agg(F.collect_set(F.concat(F.lit("/"), "p_type")).alias("paths"))
+    empty = p.select(F.concat("p_brand", F.lit("Empty")).alias("role"), actions.alias("actions"), F.array().cast("array<string>").alias("paths"))
+    return access.custom_role_rows(roles.unionByName(empty)).distinct()
+
+
 # ---------------------------------------------------------------- JN-6 / SRT-1 / JN-7
 def _listing(spark, sf):
     p = table(spark, sf, "pages")
@@ -335,6 +350,24 @@ def q_tree_rank(spark, sf):
     return rel.tree_rank(named, "parent", "name", "isDirectory", tie=["path"]).select("path", "parent", "rank")
 
 
+@query("tree_order", sql=f"""
+WITH RECURSIVE {_LISTING_SQL},
+linked AS (SELECT w.path, w.is_dir, w.name, f.path AS parent
+           FROM withp w LEFT JOIN (SELECT DISTINCT path FROM listing WHERE is_dir) f ON w.pp = f.path),
+nodes AS (SELECT path, any_value(parent) AS parent, bool_or(is_dir) AS is_dir, any_value(name) AS name FROM linked GROUP BY path),
+ranked AS (SELECT path, parent, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, name, path) AS rank FROM nodes),
+walk(path, way, depth) AS (SELECT path, [rank], 1 FROM ranked WHERE parent IS NULL
+  UNION ALL SELECT r.path, list_append(walk.way, r.rank), depth + 1 FROM walk JOIN ranked r ON r.parent = walk.path)
+SELECT w.path, w.depth, CAST((SELECT count(*) FROM walk b WHERE list_slice(b.way, 1, w.depth) = w.way) AS BIGINT) AS size,
+       CAST(row_number() OVER (ORDER BY w.way) AS BIGINT) AS position FROM walk w
+""")
+def q_tree_order(spark, sf):
+    linked = rel.link_parents(_listing(spark, sf))
+    nodes = linked.groupBy("path").agg(F.min("parent").alias("parent"), F.max("isDirectory").alias("isDirectory"))
+    named = nodes.withColumn("name", F.try_element_at(F.filter(F.split("path", "/"), lambda s: s != ""), F.lit(-1)))
+    return rel.tree_order(named, "path", "parent", "name", "isDirectory")
+
+
 @query("ancestor_path", sql="""
 SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, r_name || '/' || n_name || '/' || c_name AS path,
        3 AS depth, false AS truncated
@@ -557,6 +590,11 @@ def q_slice_log(spark, sf):
     return rel.slice_rows(e, ["ts"], 100, 50)
 
 
+@query("slice_from", sql="SELECT event_id, ts FROM events ORDER BY ts OFFSET 100")
+def q_slice_from(spark, sf):
+    return rel.slice_rows(table(spark, sf, "events").select("event_id", "ts"), ["ts"], 100, None)
+
+
 @query("preview", sql="SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 5")
 def q_preview(spark, sf):
     return rel.preview(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.documents import PAYLOAD_TYPES
 from ..functions.text import _c, clean_base64, js_trim
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 
 def table_path(root: str, name: str, layout: str = "lake", fmt: str = "parquet") -> str:
@@ -234,6 +234,48 @@ def flatten_pages(pages: DataFrame, body_col: str, record_schema: T.StructType,
             .select(*keep, "__r.*"))
 
 
+def chain_pages(pages: DataFrame, token_col: str, next_col: str, count_col: str) -> DataFrame:
+    """Order pages that are linked by continuation tokens (SRC-7).
+
+    Adds to the pages ``chain`` (token of the first page), ``page_no`` (from 0),
+    ``offset`` (records on the pages before) and ``chain_state``: ``complete`` if
+    the last page has no continuation token (null or empty), ``broken`` if its
+    token leads nowhere.  Pages whose tokens run in a circle, and those after
+    them, have ``circular`` and no chain, number or offset.  Of pages with one
+    token all but the smallest row are dropped, as are those without a token; of
+    pages that lead to one page the smallest token is its predecessor.
+
+    List ranking by pointer jumping: each round a page takes over the pages and
+    records that its furthest known predecessor has before it, so rounds grow with
+    the logarithm of the longest chain.  Only pages that have not reached the
+    beginning of their chain are joined, and each round is checkpointed.
+    """
+    rest = [c for c in pages.columns if c != token_col]
+    once = pages.where(F.col(token_col).isNotNull()).groupBy(token_col).agg(F.min(F.struct(*rest)).alias("__r")).select(token_col, *[F.col("__r")[c].alias(c) for c in rest])
+    once = cut_lineage(once)
+    lead = F.nullif(F.col(next_col), F.lit(""))
+    links = once.where(lead.isNotNull()).groupBy(lead.alias("__to")).agg(F.min(F.struct(F.col(token_col).alias("t"), F.col(count_col).alias("n"))).alias("__prev"))
+    state = cut_lineage(once.join(links, once[token_col] == links["__to"], "left").select(
+        F.col(token_col).alias("id"), F.col("__prev.t").alias("far"), F.when(F.col("__prev").isNotNull(), 1).otherwise(0).cast("long").alias("page_no"),
+        F.coalesce("__prev.n", F.lit(0)).cast("long").alias("offset"), F.coalesce("__prev.t", token_col).alias("chain")))
+    left, total = state.where(F.col("far").isNotNull()).count(), state.count()
+    rounds = max(1, total.bit_length())
+    while left and rounds:
+        hop = state.select(F.col("id").alias("__i"), F.col("far").alias("__f"), F.col("page_no").alias("__p"), F.col("offset").alias("__o"), F.col("chain").alias("__c"))
+        open_ = state.where(F.col("far").isNotNull())
+        moved = open_.join(hop, F.col("far") == F.col("__i")).select("id", F.col("__f").alias("far"), (F.col("page_no") + F.col("__p")).alias("page_no"),
+                                                                    (F.col("offset") + F.col("__o")).alias("offset"), F.col("__c").alias("chain"))
+        state = cut_lineage(state.where(F.col("far").isNull()).unionByName(moved))
+        left, rounds = state.where(F.col("far").isNotNull()).count(), rounds - 1
+    whole = once.join(state, once[token_col] == state["id"])
+    circular = F.col("far").isNotNull()
+    whole = whole.withColumns({c: F.when(~circular, F.col(c)) for c in ("chain", "page_no", "offset")})
+    targets = once.select(F.col(token_col).alias("__t"))
+    ends = whole.where(~circular).join(targets, lead == F.col("__t"), "left").groupBy(F.col("chain").alias("__chain")).agg(F.max(lead.isNotNull() & F.col("__t").isNull()).alias("__broken"))
+    state_of = F.when(circular, "circular").when(F.col("__broken"), "broken").otherwise("complete")
+    return whole.join(ends, whole["chain"] == ends["__chain"], "left").withColumn("chain_state", state_of).drop("id", "far", "__chain", "__broken")
+
+
 # ---------------------------------------------------------------------------
 # Payload and shortcut target resolution (SRC-8, SRC-9)
 # ---------------------------------------------------------------------------
