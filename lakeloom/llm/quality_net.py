@@ -31,15 +31,15 @@ from .subwords import Adam, sigmoid
 OWN, SHARED, DIM, SEED = 1 << 15, 8192, 32, 17
 ROWS = OWN + SHARED
 #: Tokens that a task counts before it hands them on.
-HELD_TOKENS = 1 << 19
+HELD_TOKENS = 1 << 18
 OFFSETS = (1, 2)
 HIDDEN = 32
 #: Bounds of the labelled sample, per label.
 SAMPLE_GOOD, SAMPLE_POOR = 4000, 4000
 #: Words, numbers, and runs of other marks.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Texts are gathered into pieces of about this many tokens, and so many texts at most.
-PIECE, PIECE_TEXTS = 200_000, 4096
+#: Texts are gathered into pieces of about this many tokens, smaller ones to pool (a row of vectors each), and so many texts at most.
+PIECE, POOL_PIECE, PIECE_TEXTS = 200_000, 40_000, 4096
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +97,13 @@ def token_rows(text: str, rows: TokenRows) -> np.ndarray:
     return np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
 
 
-def pieces(texts: list[str | None], rows: TokenRows):
+def pieces(texts: list[str | None], rows: TokenRows, most: int = PIECE):
     """(rows of all tokens, tokens per text) of the texts, some at a time."""
     own, size = [], 0
     for i, t in enumerate(texts):
         own.append(token_rows(t, rows) if t else np.empty(0, np.int64))
         size += len(own[-1])
-        if size >= PIECE or len(own) == PIECE_TEXTS or i == len(texts) - 1:
+        if size >= most or len(own) == PIECE_TEXTS or i == len(texts) - 1:
             yield np.concatenate(own), np.array([len(x) for x in own])
             own, size = [], 0
 
@@ -153,7 +153,7 @@ def pooled(texts: list[str | None], vectors: np.ndarray, rows: TokenRows) -> np.
     """Per text the mean and spread of its tokens' context vectors, the mean of their index vectors, and how many differ."""
     plus, minus = index_vectors()
     out = []
-    for tokens, counts in pieces(texts, rows):
+    for tokens, counts in pieces(texts, rows, POOL_PIECE):
         n = len(counts)
         part = np.zeros((n, 3 * DIM + 2))
         if len(tokens):

@@ -16,7 +16,7 @@ from .shared import appended, query, read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of one multithreaded call hold about this many characters (a longer text is a call of its own).
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 18
 
 
 def load_model(path: str = MODEL_PATH) -> bytes:
