@@ -273,7 +273,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
         rows = TokenRows(shipped.value.own)
         return lambda batch: [pa.array(shipped.value.scores(batch.column("__text").to_pylist(), rows), pa.float64())]
 
-    return appended(docs, {"__text": F.col(text_col)}, make, f"{out} double")
+    return appended(docs, {"__text": text_col}, make, f"{out} double")
 
 
 @query("op6_quality")

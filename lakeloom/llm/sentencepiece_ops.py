@@ -75,7 +75,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: bytes, out: str =
             return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))]
         return run
 
-    return appended(docs, {"__text": F.col(text_col)}, make, f"{out} array<int>")
+    return appended(docs, {"__text": text_col}, make, f"{out} array<int>")
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", *, model: bytes, out: str = "decoded", threads: int | None = None) -> DataFrame:

@@ -87,26 +87,31 @@ def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
-def appended(df: DataFrame, inputs: dict[str, Column], make: Callable, fields: str) -> DataFrame:
+def appended(df: DataFrame, inputs: dict[str, Column | str], make: Callable, fields: str) -> DataFrame:
     """``df`` with columns made in Python from ``inputs``; nothing is shuffled.
 
     ``make()`` is called once per task and returns a function from a batch of the
     input columns to a list of arrow arrays, one for each field of ``fields``.
-    All columns of ``df`` pass through untouched; a name of ``inputs`` or
-    ``fields`` among them (in any case) raises ``ValueError``.
+    An input given as the name of a column of ``df`` is read where it is, so that
+    long texts go to the task once.  All columns of ``df`` pass through untouched;
+    a name of ``inputs`` or ``fields`` among them (in any case) raises ``ValueError``.
     """
     own = df.columns
     given = {c.lower() for c in own}
     if clash := [c for c in (*inputs, *T.StructType.fromDDL(fields).names) if c.lower() in given]:
         raise ValueError(f"the table already has columns named {', '.join(clash)}; rename them or choose other names")
-    full = df.withColumns(inputs)
+    at = {c: [n for n in own if n.lower() == v.lower()] for c, v in inputs.items() if isinstance(v, str)}
+    here = {c: names[0] for c, names in at.items() if len(names) == 1}
+    full = df.withColumns({c: F.col(v) if isinstance(v, str) else v for c, v in inputs.items() if c not in here})
+    places = {c: own.index(n) for c, n in here.items()}
     out = T.StructType.fromDDL(fields).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *fn(batch)], names=[*own, *out])
+                given = pa.RecordBatch.from_arrays([*batch.columns, *(batch.column(i) for i in places.values())], names=[*batch.schema.names, *places]) if places else batch
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *fn(given)], names=[*own, *out])
 
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
     return full.mapInArrow(run, schema)

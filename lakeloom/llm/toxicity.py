@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         words = WordTable(shipped.value.word_scores)
         return lambda batch: [pa.array(shipped.value.scores(batch.column("__text").to_pylist(), words), pa.float64())]
 
-    return appended(docs, {"__text": F.col(text_col)}, make, f"{out} double")
+    return appended(docs, {"__text": text_col}, make, f"{out} double")
 
 
 @query("op5_toxicity")

@@ -305,3 +305,20 @@ def test_a_fit_without_both_labels_rejects_nothing(spark, odd, tmp_dir, rows):
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
     for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity):
         assert stage(spark, odd, tmp_dir).count() == odd.count()
+
+
+def test_text_columns_go_to_tasks_once(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from lakeloom.llm.shared import appended
+    docs = spark.createDataFrame([(1, "ab", ("x",)), (2, None, None)], "doc_id long, Text string, s struct<t string>")
+
+    def make():
+        return lambda batch: [pa.array([len(t or "") for t in batch.column("__text").to_pylist()], pa.int32())]
+
+    for given, copied, want in (("text", False, 2), (F.col("text"), True, 2), ("s.t", True, 1)):
+        out = appended(docs, {"__text": given}, make, "n int")
+        assert out.columns == ["doc_id", "Text", "s", "n"] and {(r.doc_id, r.n) for r in out.collect()} == {(1, want), (2, 0)}
+        assert ("__text" in out._jdf.queryExecution().optimizedPlan().toString()) == copied
+    with pytest.raises(ValueError):
+        appended(docs, {"TEXT": "s.t"}, make, "n int")
