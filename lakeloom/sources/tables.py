@@ -37,6 +37,8 @@ def scan_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
 # ---------------------------------------------------------------------------
 
 CORRUPT = "_corrupt_record"
+#: So many paths of malformed files are broadcast at most.
+BAD_FILES = 50_000
 
 
 def csv_to_table(spark: SparkSession, path: str, schema: T.StructType | None = None, delimiter: str = ",",
@@ -52,9 +54,9 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType | None = N
     With ``skip_files_with_errors`` one malformed row drops its whole file.
     Rows are parsed once in PERMISSIVE mode with the corrupt-record column and
     the source file path, staged to parquet (Spark refuses queries that touch
-    only the corrupt column of a raw CSV scan), then the bad files are removed
-    with a ``left_anti`` join on the file path -- a shuffle on a key with one
-    value per file, so it holds for any number of rows.
+    only the corrupt column of a raw CSV scan).  The bad files are counted: up to
+    ``BAD_FILES`` of them are broadcast, so that no row is shuffled; beyond that
+    rows and bad files meet by file path.
     """
     fields = list(schema.fields) if schema else []
     if use_first_row_as_header or not fields:
@@ -78,8 +80,9 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType | None = N
     staging = staging or scratch_path(spark, f"csv_stage_{uuid.uuid4().hex}")
     raw.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
-    bad = staged.where(F.col(CORRUPT).isNotNull()).select("_file").distinct()
-    return staged.join(bad, "_file", "left_anti").drop(CORRUPT, "_file")
+    bad = cut_lineage(staged.where(F.col(CORRUPT).isNotNull()).select("_file").distinct())
+    few = bad.limit(BAD_FILES + 1).count() <= BAD_FILES
+    return staged.join(F.broadcast(bad) if few else bad.hint("merge"), "_file", "left_anti").drop(CORRUPT, "_file")
 
 
 # ---------------------------------------------------------------------------
