@@ -154,23 +154,26 @@ def ancestor_path(nodes: DataFrame, id_col: str, parent_col: str, name_col: str,
     logarithm of the depth.  Only nodes that have not reached a root take part,
     so finished ones never meet under one null key.  A node that meets an id
     twice is on, or below, a cycle: it stops with every id once and is flagged
-    ``truncated``.  Each round is written with a reliable ``checkpoint``.
+    ``truncated``.  Each round writes the nodes that took part with a reliable
+    ``checkpoint``; finished ones stay where they were written.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     step = F.struct(F.col(id_col).alias("i"), F.col(name_col).alias("n"))
     state = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("next"), F.array(step).alias("way"),
                          F.lit(False).alias("truncated")).checkpoint(eager=True)
-    while state.where(F.col("next").isNotNull()).limit(1).count():
-        known = state.select(F.col("id").alias("kid"), F.col("next").alias("knext"), F.col("way").alias("kway"),
+    done, open_ = state.where(F.col("next").isNull()), state.where(F.col("next").isNotNull())
+    while open_.limit(1).count():
+        known = done.unionByName(open_).select(F.col("id").alias("kid"), F.col("next").alias("knext"), F.col("way").alias("kway"),
                              F.col("truncated").alias("kcut"))
-        still = state.where(F.col("next").isNotNull()).join(known, F.col("next") == F.col("kid"), "left")
+        still = open_.join(known, F.col("next") == F.col("kid"), "left")
         way = F.when(F.col("kid").isNotNull(), F.concat("kway", "way")).otherwise(F.col("way"))
         once = F.array_distinct(way)
         cut = F.size(once) < F.size(way)
         still = still.select("id", F.when(cut | F.col("kcut"), None).otherwise(F.col("knext")).alias("next"),
                              F.when(cut, once).otherwise(way).alias("way"),
-                             (cut | F.coalesce("kcut", F.lit(False))).alias("truncated"))
-        state = state.where(F.col("next").isNull()).unionByName(still).checkpoint(eager=True)
+                             (cut | F.coalesce("kcut", F.lit(False))).alias("truncated")).checkpoint(eager=True)
+        done, open_ = done.unionByName(still.where(F.col("next").isNull())), still.where(F.col("next").isNotNull())
+    state = done
     if max_depth:
         long = F.size("way") > max_depth
         state = state.withColumn("truncated", F.col("truncated") | long).withColumn("way", F.when(
