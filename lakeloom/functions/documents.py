@@ -240,10 +240,17 @@ def _interceptor(v: Column, where: Column, known: Column) -> Column:
         F.when((kind == "StringReplacement") & F.exists(values, lambda x: F.schema_of_variant(x) != "STRING"), say("replacement values must be strings")))))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: as a lambda variable it isn't copied to every place that reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def package_structure(raw: Column) -> Column:
-    """Messages on the structure of a package below its top level (part of VAL-3)."""
-    v = F.try_parse_json(raw)
-    config = _of(v, "deploymentConfig")
+    """Messages on the structure of a package below its top level (part of VAL-3); the text is parsed once."""
+    return _once(F.try_parse_json(raw), lambda v: _once(_of(v, "deploymentConfig"), lambda config: _structure(v, config)))
+
+
+def _structure(v: Column, config: Column) -> Column:
     known = F.coalesce(F.json_object_keys(F.to_json(_of(config, "globalInterceptors"))), F.array().cast("array<string>"))
     label = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     num = lambda i: i.cast("string")
@@ -292,8 +299,14 @@ def validate_package(raw: Column | str) -> Column:
     configurations, and that references name a global interceptor.
     """
     r = _c(raw)
-    doc = F.from_json(r, PACKAGE_SCHEMA, {"mode": "PERMISSIVE"})
-    top = F.from_json(r, "map<string,string>", {"mode": "PERMISSIVE"})
+    parsed = F.struct(F.from_json(r, PACKAGE_SCHEMA, {"mode": "PERMISSIVE"}).alias("doc"),
+                      F.from_json(r, "map<string,string>", {"mode": "PERMISSIVE"}).alias("top"))
+    found = F.concat(_once(parsed, lambda p: _top_level(p["doc"], p["top"])), package_structure(r))
+    return F.filter(found, lambda m: m.isNotNull())
+
+
+def _top_level(doc: Column, top: Column) -> Column:
+    """Messages on the top level, the deployment's enumerations, items and their parts (part of VAL-3)."""
     is_obj = top.isNotNull()
     keys = F.coalesce(F.map_keys(top), F.array().cast("array<string>"))
     allowed = F.array(*[F.lit(k) for k in TOP_LEVEL_KEYS])
@@ -327,7 +340,7 @@ def validate_package(raw: Column | str) -> Column:
             F.concat(F.lit("item "), i.cast("string"), F.lit(": invalid payloadType "),
                      F.coalesce(p["payloadType"], F.lit("null"))))),
     )))
-    return F.filter(F.concat(fixed, unknown, item_msgs, package_structure(r)), lambda m: m.isNotNull())
+    return F.concat(fixed, unknown, item_msgs)
 
 
 class PackageConfigError(ValueError):
