@@ -30,8 +30,8 @@ from .subwords import Adam, sigmoid
 
 OWN, SHARED, DIM, SEED = 1 << 15, 8192, 32, 17
 ROWS = OWN + SHARED
-#: Tokens that a task counts before it hands them on.
-HELD_TOKENS = 1 << 18
+#: Tokens that a task counts before it hands them on, and whose rows it remembers; texts that it holds as Python strings at once.
+HELD_TOKENS, HELD_TEXTS = 1 << 16, 1024
 OFFSETS = (1, 2)
 HIDDEN = 32
 #: Bounds of the labelled sample, per label.
@@ -62,19 +62,27 @@ class TokenRows(dict):
         self.own = own
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > HELD_TOKENS:
             self.clear()
         h = token_hash(token)
         value = self[token] = self.own.get(h, OWN + h % SHARED)
         return value
 
 
+def held_texts(batches):
+    """The batches' texts, ``HELD_TEXTS`` at a time."""
+    for batch in batches:
+        column = batch.column("__text")
+        for at in range(0, len(column), HELD_TEXTS):
+            yield column.slice(at, HELD_TEXTS).to_pylist()
+
+
 def frequent_tokens(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     """Hash to row of the ``OWN`` most frequent tokens of all texts (ties: the smaller hash)."""
     def counts(batches):
         held: Counter = Counter()
-        for batch in batches:
-            for t in batch.column("__text").to_pylist():
+        for texts in held_texts(batches):
+            for t in texts:
                 if t:
                     held.update(TOKEN.findall(t))
             if len(held) > HELD_TOKENS:
@@ -129,8 +137,8 @@ def context_vectors(docs: DataFrame, own: dict[int, int], text_col: str = "text"
     def sums(batches):
         rows, (plus, minus) = TokenRows(shipped.value), index_vectors()
         total, seen = np.zeros((ROWS, DIM), np.int64), np.zeros(ROWS, np.int64)
-        for batch in batches:
-            for tokens, counts in pieces(batch.column("__text").to_pylist(), rows):
+        for texts in held_texts(batches):
+            for tokens, counts in pieces(texts, rows):
                 total += context_sums(tokens, counts, plus, minus)
                 seen += np.bincount(tokens, minlength=ROWS)
         at = np.flatnonzero(seen)
@@ -271,7 +279,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
     def make():
         rows = TokenRows(shipped.value.own)
-        return lambda batch: [pa.array(shipped.value.scores(batch.column("__text").to_pylist(), rows), pa.float64())]
+        return lambda batch: [pa.array(np.concatenate([shipped.value.scores(texts, rows) for texts in held_texts([batch])]), pa.float64())]
 
     return appended(docs, {"__text": text_col}, make, f"{out} double")
 
