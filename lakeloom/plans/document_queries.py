@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents as docs
+from ..functions.json_schema import schema_errors
 from ..functions.text import text_to_base64
 from ..operators import schedule
 from ..operators.project import exclude_types
@@ -102,6 +103,60 @@ def q_validate_docs(spark, sf):
     return v.select("doc_id", F.size("errs").alias("n_errors"), F.array_join("errs", "; ").alias("errors"))
 
 
+# One document's ``doc_id % 15`` picks the rule that its package breaks; a long or missing text breaks one more.
+PACKAGE_CHECK = {
+    "type": "object", "required": ["id", "kind"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 0},
+        "kind": {"enum": ["Notebook", "Report"]},
+        "lang": {"type": "string", "pattern": "^[a-z]{2}$"},
+        "size": {"type": "number", "minimum": 0, "maximum": 100},
+        "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string"}},
+        "owner": {"$ref": "#/definitions/owner"},
+        "labels": {"type": "object", "additionalProperties": {"type": "string"}},
+        "text": {"type": "string", "maxLength": 400},
+    },
+    "definitions": {"owner": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "minLength": 1}}}},
+}
+
+
+@query("schema_errors", sql="""
+WITH v AS (
+  SELECT doc_id, list_filter([
+      CASE WHEN m = 1 THEN '$: missing kind' END,
+      CASE WHEN m = 5 THEN '$: unknown key extra' END,
+      CASE WHEN m = 14 THEN '$.id: less than 0' END,
+      CASE WHEN m = 2 THEN '$.kind: not one of the allowed values' END,
+      CASE WHEN m = 13 THEN '$.lang: does not match ^[a-z]{2}$' END,
+      CASE WHEN m = 3 THEN '$.size: less than 0' WHEN m = 4 THEN '$.size: more than 100' END,
+      CASE WHEN m = 6 THEN '$.tags: fewer than 1 elements' WHEN m = 7 THEN '$.tags[1]: must be of type string' END,
+      CASE WHEN m = 8 THEN '$.owner: missing name' WHEN m = 9 THEN '$.owner.name: shorter than 1 characters'
+           WHEN m = 10 THEN '$.owner: must be of type object' END,
+      CASE WHEN m = 11 THEN '$.labels.b: must be of type string' END,
+      CASE WHEN text IS NULL THEN '$.text: must be of type string' WHEN length(text) > 400 THEN '$.text: longer than 400 characters' END],
+    lambda x: x IS NOT NULL) AS errs, m
+  FROM (SELECT doc_id, text, doc_id % 15 AS m FROM documents))
+SELECT doc_id, CASE WHEN m = 12 THEN '$: not JSON' ELSE array_to_string(errs, '; ') END AS errors FROM v
+""")
+def q_schema_errors(spark, sf):
+    m = F.col("doc_id") % 15
+
+    def field(name: str, usual: str, broken: dict[int, str]):
+        value = F.lit(usual)
+        for number, other in broken.items():
+            value = F.when(m == number, other).otherwise(value)
+        return F.concat(F.lit(f'"{name}":'), value, F.lit(","))
+
+    raw = F.concat(
+        F.lit("{"), F.when(m == 1, "").otherwise(field("kind", '"Report"', {2: '"Other"'})), F.when(m == 5, '"extra":1,').otherwise(""),
+        F.lit('"id":'), F.when(m == 14, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).cast("string"), F.lit(","),
+        field("lang", '"en"', {13: '"E1"'}), field("size", "2.5", {3: "-1", 4: "100.5"}), field("tags", '["a"]', {6: "[]", 7: '["a",2]'}),
+        field("owner", '{"name":"n"}', {8: "{}", 9: '{"name":""}', 10: "[1]"}), field("labels", '{"a":"x"}', {11: '{"a":"x","b":3}'}),
+        F.substring(F.to_json(F.struct("text"), {"ignoreNullFields": "false"}), 2, 2147483647), F.when(m == 12, "]").otherwise(""))
+    found = table(spark, sf, "documents").select("doc_id", schema_errors(raw, PACKAGE_CHECK).alias("errs"))
+    return found.select("doc_id", F.array_join("errs", "; ").alias("errors"))
+
+
 # ---------------------------------------------------------------- VAL-4
 @query("apply_defaults", sql="""
 SELECT o_orderkey,

@@ -19,6 +19,8 @@ from .registry import query, table
 EVENT_OPERATION_STATE = {"purchase": "Succeeded", "error": "Failed", "signup": "NotStarted",
                          "view": "InProgress", "click": "Running"}
 TRACK_TIMEOUT_S = 12 * 3600
+#: Users are operations here, so they are remembered for longer than the events span.
+TRACK_RETENTION_S = 80 * 86_400
 _STATE_SQL = ("CASE event_type WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' "
               "WHEN 'signup' THEN 'NotStarted' WHEN 'view' THEN 'InProgress' ELSE 'Running' END")
 
@@ -78,7 +80,7 @@ FROM a
 def q_terminal_state_stream(spark, sf):
     events = operation_events(spark, sf).select("user_id", "ts", "state")
     found = run_in_batches(spark, events, lambda s: tracking.track_until_terminal(
-        s, "user_id", "ts", "state", TRACK_TIMEOUT_S, watermark="1 hour"), "user_id")
+        s, "user_id", "ts", "state", TRACK_TIMEOUT_S, watermark="1 hour", retention_s=TRACK_RETENTION_S), "user_id")
     return found.withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz"))
 
 

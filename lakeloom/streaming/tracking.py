@@ -28,6 +28,9 @@ OPERATION_TIMEOUT_S = 300
 STATEMENT_TIMEOUT_S = 60
 SESSION_TIMEOUT_S = 600
 
+#: How long a decided operation's key is remembered, in seconds of event time.
+RETENTION_S = 30 * 86_400
+
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Cast a ``timestamp_ntz`` column to ``timestamp`` (session zone UTC),
@@ -67,8 +70,18 @@ def _microseconds(t: pd.Series) -> pd.Series:
     return t.astype("datetime64[us]").astype("int64")
 
 
-def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, terminal: tuple):
-    """State per key: first event, earliest terminal event and its status, whether the outcome is out."""
+def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, terminal: tuple, retention_us: int):
+    """State per key: first event, earliest terminal event and its status, and, once the outcome is out, when the state goes."""
+    def decided(state, first, best, status):
+        """Keep the key until the retention after its outcome is over."""
+        limit = first + timeout_us
+        gone_ms = (min(best if best is not None else limit, limit) + retention_us) // 1000 + 1
+        if gone_ms <= state.getCurrentWatermarkMs():
+            state.remove()
+        else:
+            state.update((first, best, status, gone_ms))
+            state.setTimeoutTimestamp(gone_ms)
+
     def outcome(k, first, best, status) -> pd.DataFrame:
         on_time = best is not None and best <= first + timeout_us
         at = best if on_time else first + timeout_us
@@ -76,11 +89,17 @@ def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, termin
                              "decided_at": [pd.Timestamp(at, unit="us")]})
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, best, status, done = state.get if state.exists else (None, None, None, False)
-        if done:
-            return
+        first, best, status, gone_ms = state.get if state.exists else (None, None, None, 0)
+        if gone_ms:
+            if gone_ms > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(gone_ms)
+                return
+            state.remove()
+            first = best = status = None
+            if state.hasTimedOut:
+                return
         if state.hasTimedOut:
-            state.update((first, best, status, True))
+            decided(state, first, best, status)
             yield outcome(key[0], first, best, status)
             return
         for pdf in pdfs:
@@ -99,10 +118,10 @@ def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, termin
         # due once the watermark has passed the outcome's time: no earlier event can come then
         due_ms = min(first + timeout_us, best if best is not None else first + timeout_us) // 1000 + 1
         if due_ms <= state.getCurrentWatermarkMs():
-            state.update((first, best, status, True))
+            decided(state, first, best, status)
             yield outcome(key[0], first, best, status)
         else:
-            state.update((first, best, status, False))
+            state.update((first, best, status, 0))
             state.setTimeoutTimestamp(due_ms)
 
     return fn
@@ -110,22 +129,24 @@ def _tracker(key_col: str, ts_col: str, status_col: str, timeout_us: int, termin
 
 def track_until_terminal(stream: DataFrame, key: str, ts: str, status: str,
                          timeout_s: int = OPERATION_TIMEOUT_S, watermark: str = "10 minutes",
-                         terminal: Sequence[str] = TERMINAL) -> DataFrame:
+                         terminal: Sequence[str] = TERMINAL, retention_s: int = RETENTION_S) -> DataFrame:
     """Emit each operation's outcome once (STM-1): its earliest terminal status
     within ``timeout_s`` of its **first** event, else ``TimedOut``.
 
     The outcome is emitted when the event-time watermark has passed it, so events
     out of order within the watermark count as in the batch twin; later ones are
-    late and dropped.  State per key is three small values.  It is kept after
-    the outcome, so that a key's later events never start it anew.
+    late and dropped.  State per key is four small values.  It is kept for
+    ``retention_s`` after the outcome's time, so that a key's later events don't
+    start it anew, and removed when the watermark has passed that; an event of
+    the key that is not late then starts a new operation with an outcome of its own.
     """
     key_type = stream.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("final_status", T.StringType()),
                                T.StructField("decided_at", T.TimestampType())])
     state_schema = T.StructType([T.StructField("first", T.LongType()), T.StructField("best", T.LongType()),
-                                 T.StructField("status", T.StringType()), T.StructField("done", T.BooleanType())])
+                                 T.StructField("status", T.StringType()), T.StructField("gone_ms", T.LongType())])
     s = event_time(stream, ts).withWatermark(ts, watermark)
-    fn = _tracker(key, ts, status, int(timeout_s) * 1_000_000, tuple(terminal))
+    fn = _tracker(key, ts, status, int(timeout_s) * 1_000_000, tuple(terminal), int(retention_s) * 1_000_000)
     return s.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout")
 
 

@@ -96,3 +96,32 @@ def test_lines_added_to_known_files_are_read(spark, tmp_dir):
         rows = tail_lines(spark, folder, sink).orderBy("line_no").collect()
         assert [r.line for r in rows] == expected
         assert [r.line_no for r in rows] == list(range(1, len(expected) + 1))
+
+
+def test_tracker_state_goes_after_the_retention(spark, tmp_dir):
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    schema = "k long, ts timestamp_ntz, state string"
+    folder, sink, ckpt = (os.path.join(tmp_dir, x) for x in ("in", "out", "ckpt"))
+    rows_held = []
+
+    def feed(*events):
+        spark.createDataFrame([(k, start + dt.timedelta(hours=h), s) for k, h, s in events], schema).coalesce(1).write.mode("append").parquet(folder)
+        out = tracking.track_until_terminal(spark.readStream.schema(schema).parquet(folder), "k", "ts", "state", timeout_s=3600,
+                                            watermark="1 minute", retention_s=10 * 3600)
+        q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows_held.append(q.lastProgress.stateOperators[0].numRowsTotal)
+        found = spark.read.parquet(sink).withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz")).orderBy("k", "decided_at")
+        return [(r.k, r.final_status, r.decided_at) for r in found.collect()]
+
+    hour = lambda h: start + dt.timedelta(hours=h)
+    feed((1, 0, "Running"), (1, 0.5, "Succeeded"), (2, 0, "Running"), (0, 4, "Running"))
+    first = [(1, "Succeeded", hour(0.5)), (2, "TimedOut", hour(1))]
+    assert feed((1, 5, "Failed"), (2, 5, "Failed"), (0, 6, "Running"))[-2:] == first  # remembered: no second outcome
+    assert rows_held[-1] >= 2
+    feed((9, 40, "Running"))
+    assert rows_held[-1] == 1  # key 9 alone
+    again = feed((1, 41, "Failed"), (9, 60, "Running"))
+    assert [r for r in again if r[0] == 1] == [(1, "Succeeded", hour(0.5)), (1, "Failed", hour(41))]
+    assert [r for r in again if r[0] == 2] == first[1:]
