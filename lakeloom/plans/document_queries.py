@@ -10,7 +10,9 @@ from ..functions.json_schema import schema_errors
 from ..functions.text import text_to_base64
 from ..operators import schedule
 from ..operators.project import exclude_types
+from .io_queries import scratch_dir
 from .jobs import capture_references, package_items, render_parts
+from .package_job import render_packages, write_packages
 from .registry import query, table
 
 # ---------------------------------------------------------------- STR-3
@@ -299,6 +301,52 @@ def q_render_package(spark, sf):
     return done.select("doc_id", F.decode(F.unbase64("payload"), "UTF-8").alias("rendered"))
 
 
+# Packages with an own interceptor, a reference, a chain of references and none, by ``doc_id % 4``; French ones have an invalid id,
+# Spanish ones a chain without end.
+@query("render_job", sql=r"""
+WITH d AS (SELECT doc_id, lang, text, 'dep' || CAST(doc_id AS VARCHAR) AS dep,
+  CASE doc_id % 4 WHEN 3 THEN text
+    WHEN 0 THEN replace(replace(text, 'the', 'dep' || CAST(doc_id AS VARCHAR)), 'and', 'plus')
+    ELSE replace(replace(replace(text, 'a', 'p-' || CAST(doc_id AS VARCHAR)), 'the', 'ws-1'), 'of', source) END AS done FROM documents)
+SELECT doc_id, CASE WHEN lang NOT IN ('fr', 'es') THEN CASE WHEN doc_id % 2 = 0 THEN 'Job_' || dep ELSE 'Job' END END AS item_name,
+  CASE WHEN lang NOT IN ('fr', 'es') THEN done END AS rendered,
+  CASE lang WHEN 'fr' THEN 'invalid id' WHEN 'es' THEN 'item 0: interceptor references have no end' END AS errors
+FROM d
+""")
+def q_render_job(spark, sf):
+    """JOB-2: parse, validate, defaults, payloads inline and linked, interceptors, one file per part, read back."""
+    d = table(spark, sf, "documents")
+    doc_id, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    asset, linked = F.concat(F.lit("assets/"), doc_id), F.col("doc_id") % 3 == 0
+    part = F.struct(F.lit("src/a.txt").alias("path"), F.when(linked, asset).otherwise(text_to_base64("text")).alias("payload"),
+                    F.when(linked, "AssetLink").otherwise("InlineBase64").alias("payloadType"))
+
+    def reference(name: str) -> str:
+        return f'{{"type":"Reference","config":{{"id":"{name}"}}}}'
+
+    own = F.lit('{"type":"StringReplacement","config":{"replacements":{"the":"{{DEPLOYMENT_ID}}","and":"plus"}}}')
+    how = F.when(F.col("lang") == "es", reference("round")).when(kind == 0, own).when(kind == 1, reference("main")).when(kind == 2, reference("chain"))
+    shared = ('{"main":{"type":"StringReplacement","config":{"replacements":{"a":"{{PACKAGE_ID}}","the":"{{WORKSPACE_ID}}","of":"{{src}}"}}},'
+              f'"chain":{reference("main")},"round":{reference("round")}}}')
+    raw = F.concat(
+        F.lit('{"displayName":"d","id":"'), F.when(F.col("lang") == "fr", "_bad").otherwise(F.concat(F.lit("p-"), doc_id)),
+        F.lit('","deploymentConfig":{"type":"UX"'), F.when(F.col("doc_id") % 2 == 1, ',"location":"NewWorkspace"').otherwise(""),
+        F.lit(',"parameters":{"src":{"type":"string","value":"'), F.col("source"), F.lit(f'"}}}},"globalInterceptors":{shared}}},"items":[{{"type":"Notebook","displayName":"Job",'),
+        F.lit('"description":"","definition":{"parts":['), F.to_json(part), F.lit("]"),
+        F.coalesce(F.concat(F.lit(',"interceptor":'), how), F.lit("")), F.lit("}}]}"))
+    packages = d.select("doc_id", raw.alias("raw"), F.concat(F.lit("dep"), doc_id).alias("dep"), F.lit("ws-1").alias("ws"))
+    files = d.where(linked).select(asset.alias("path"), text_to_base64("text").alias("content_base64"))
+    parts, rejected = render_packages(packages, files, "doc_id", "raw", "dep", "ws")
+    root = scratch_dir(spark, "packages")
+    write_packages(parts, root)
+    place = r"/([0-9]+)/0_([^/]+)/src/a[.]txt$"
+    back = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", place, 1).cast("long").alias("doc_id"), F.regexp_extract("_metadata.file_path", place, 2).alias("item_name"),
+        F.col("value").alias("rendered"), F.lit(None).cast("string").alias("errors"))
+    none = F.lit(None).cast("string")
+    return back.unionByName(rejected.select("doc_id", none.alias("item_name"), none.alias("rendered"), F.array_join("errors", "; ").alias("errors")))
+
+
 # ---------------------------------------------------------------- JOB-7
 _CID = "'cust-' || lpad(CAST({x} AS VARCHAR), 8, '0')"
 
