@@ -20,6 +20,7 @@ from ..functions.status import (CANCELLED, FAILED, IN_PROGRESS, PENDING, SUCCEED
                                 map_job_status)
 from ..functions.text import _lit
 from ..session import cut_lineage, ensure_checkpoint_dir, ensure_parallelism
+from . import grams
 from .ranking import rank_within_groups  # noqa: F401 - re-exported
 
 
@@ -247,15 +248,6 @@ ID_BROADCAST_ROWS = 1_000_000
 ID_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct substrings of ``text`` of the given lengths.
-
-    One linear regex pass per length with a capturing look-ahead; indexing the
-    string position by position would rescan the UTF-8 prefix each time (O(L^2)).
-    """
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in sizes]))
-
-
 def _fold(text: Column, reps: Column, reach: int) -> Column:
     """Apply replacements in order: struct(text, steps).
 
@@ -289,66 +281,71 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     """Replace ids in each document with the mappings of **earlier** documents,
     applied in mapping order, literal substring semantics (JN-10).
 
-    Candidate mappings are found with an equi-join of the documents' distinct
-    grams against one gram per old id -- its rarest among all ids, so shared
-    prefixes do not create a hot key.  An id's gram has its own length (the id's,
-    at most ``max_gram``), so one short id changes nothing for others.  A
-    candidate whose id is absent is a no-op in the fold, so the candidate set
-    only has to contain every id that ever occurs.
+    Candidate mappings are found by one gram per old id -- its rarest among all
+    ids, so shared prefixes do not create a hot key.  An id's gram has its own
+    length (the id's, at most ``max_gram`` bytes and 8), so one short id changes
+    nothing for others.  A candidate whose id is absent is a no-op in the fold,
+    so the candidate set only has to contain every id that ever occurs.  A
+    document's grams that no id has are left out where its text is read
+    (:mod:`.grams`); few ids are shipped to the texts and replaced there, many
+    are joined with the grams that stay.
 
     A replacement can bring another id into being, within the new id or across
-    its edges.  So the text around each spot that changed is searched like the
-    documents, for mappings later in order whose old id shares a character with
-    some new id; what is found joins the candidates and the fold is repeated
-    until nothing new is found.  The result is that of
+    its edges.  So if a mapping later in order has an old id that shares a
+    character with some new id, the text around each spot that changed is
+    searched like the documents, for such mappings; what is found joins the
+    candidates and the fold is repeated until nothing new is found.  The result is that of
     applying every mapping in turn.  With ``ordered=False`` every mapping applies
     to every document (still in mapping order), as when capturing a package.
     Null new ids count as empty; ``doc_seq`` must be unique.
     """
     m = cut_lineage(mapping.select(F.col(map_seq).cast("long").alias("__mseq"), F.col(old).alias("__old"),
                                    F.coalesce(F.col(new), F.lit("")).alias("__new")).where(F.length("__old") > 0))
-    size = F.least(F.length("__old"), F.lit(max_gram))
-    sizes = sorted(r[0] for r in m.select(size).distinct().collect())  # max_gram values at most
+    size = F.least(F.octet_length("__old"), F.lit(min(max_gram, grams.LONGEST)))
+    sizes = sorted(r[0] for r in m.select(size).distinct().collect())  # 8 values at most
     if not sizes:
         return docs
-    reach = m.agg(F.max(F.length("__old"))).first()[0] - 1
-    d = docs.select(F.col(doc_seq).cast("long").alias("__dseq"), F.col(text_col).alias("__text")).where("__dseq is not null")
+    lowest, highest, reach = m.agg(F.min("__mseq"), F.max("__mseq"), F.max(F.length("__old")) - 1).first()
     # of several mappings for one id only the earliest can act on what is there at first
     first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f"))
-    own = F.filter(_grams(F.col("__old"), sizes), lambda g: F.length(g) == size)
-    mg = first.select("__old", F.explode(own).alias("__g"))
+    mg = grams.of_ids(first.select("__old"), "__old", sizes)
     freq = mg.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    chosen = (mg.hint("merge").join(freq, "__g").groupBy("__old").agg(F.min(F.struct("__n", "__g")).alias("__c"))
-              .select("__old", F.col("__c.__g").alias("__g")))
-    index = cut_lineage(first.join(chosen, "__old"))
-    # the id index is broadcast when its counted size allows, so the exploded
-    # document grams are never shuffled; beyond the limit, a shuffle join
-    n_rows, n_chars = index.agg(F.count(F.lit(1)), F.sum(2 * F.length("__old") + F.length("__f.__new"))).first()
+    chosen = (mg.hint("merge").join(freq, "__g").groupBy("__old").agg(F.min(F.struct("__n", "__g", "__at")).alias("__c"))
+              .select("__old", "__c.__g", "__c.__at"))
+    index = cut_lineage(first.join(chosen, "__old").select("__g", "__at", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new")))
+    # the id index is shipped when its counted size allows, so the document
+    # grams are never shuffled; beyond the limit, a shuffle join
+    n_rows, n_chars = index.agg(F.count(F.lit(1)), F.sum(2 * F.length("__old") + F.length("__new"))).first()
     near = n_rows <= ID_BROADCAST_ROWS and 64 * n_rows + 2 * (n_chars or 0) <= ID_BROADCAST_BYTES
-    index = F.broadcast(index) if near else index.hint("merge")
+    known = grams.Known.of(index, "__g", n_rows, sizes)
+    # an id that comes into being overlaps a new id, so it shares a character with one
+    # (an empty new id joins what stands around it), and a mapping later in order replaces it
+    chained = lowest is not None and lowest < highest
+    if chained or near:
+        chars = "".join(r[0] for r in m.select(F.explode(F.array_distinct(F.split("__new", "")))).distinct().collect())
+        made = F.translate("__old", chars, "") != F.col("__old") if chars else F.lit(False)
+        if m.where("__new = ''").limit(1).count():
+            made = F.lit(True)
+        if near and not m.where(made).limit(1).count():
+            return grams.replaced(ensure_parallelism(docs), doc_seq, text_col, index, known, ordered)
+        chained = chained and m.where(made).where(F.col("__mseq") > lowest).limit(1).count() > 0
+    d = docs.select(F.col(doc_seq).cast("long").alias("__dseq"), F.col(text_col).alias("__text")).where("__dseq is not null")
     d = ensure_parallelism(d)
+    index = F.broadcast(index) if near else index.hint("merge")
     within = (F.col("__mseq") < F.col("__dseq")) if ordered else F.lit(True)
-
-    grams = d.select("__dseq", F.explode(_grams(F.col("__text"), sizes)).alias("__g"))
-    reps = (grams.join(index, "__g").select("__dseq", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new"))
-            .where(within).distinct())
+    reps = known.found(d, "__text").join(index, "__g").where(within).select("__dseq", "__mseq", "__old", "__new")
     empty = F.array().cast("array<struct<__mseq:bigint,__old:string,__new:string>>")
-    # an id that comes into being overlaps a new id, so it shares a character with one
-    # (an empty new id joins what stands around it)
-    chars = "".join(r[0] for r in m.select(F.explode(F.array_distinct(F.split("__new", "")))).distinct().collect())
-    made = F.translate("__old", chars, "") != F.col("__old") if chars else F.lit(False)
-    if m.where("__new = ''").limit(1).count():
-        made = F.lit(True)
-    index = index.where(made)
-    chained = index.limit(1).count() > 0
+    if chained:
+        index = index.where(made)
     while True:
-        reps = cut_lineage(reps)
-        per_doc = reps.groupBy("__dseq").agg(F.array_sort(F.collect_list(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
+        if chained:
+            reps = cut_lineage(reps)
+        per_doc = reps.groupBy("__dseq").agg(F.array_sort(F.collect_set(F.struct("__mseq", "__old", "__new"))).alias("__reps"))
         if not chained:
             break
         steps = (d.join(per_doc, "__dseq").select("__dseq", F.explode(_fold(F.col("__text"), F.col("__reps"), reach)["steps"]).alias("__s"))
-                 .select("__dseq", F.col("__s.s").alias("__after"), F.explode(_grams(F.col("__s.w"), sizes)).alias("__g")))
-        found = steps.join(index, "__g").select("__dseq", "__after", "__old").distinct()
+                 .select("__dseq", F.col("__s.s").alias("__after"), F.col("__s.w").alias("__w")))
+        found = known.found(steps, "__w").join(index.select("__g", "__old"), "__g").select("__dseq", "__after", "__old").distinct()
         later = (found.join(m, "__old").where(F.col("__mseq") > F.col("__after")).where(within)
                  .groupBy("__dseq", "__after", "__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f"))
                  .select("__dseq", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new")).distinct())
