@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,23 @@ def test_few_ids_shuffle_no_text(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and "Aggregate" not in plan
     assert out.where("t = 'see #1# and #2#'").count() == 1997
+
+
+def test_texts_are_read_for_their_grams_once(spark, monkeypatch):
+    """Mappings of one place in order replace nothing that another brought: no round follows the first."""
+    calls = []
+    own = grams.Known.found
+    monkeypatch.setattr(grams.Known, "found", lambda *a: calls.append(1) or own(*a))
+    docs = spark.createDataFrame([(i, f"owner cust-{i:08d}.") for i in range(300)], "i long, t string")
+    maps = spark.range(300).select(F.lit(1).alias("seq"), F.format_string("cust-%08d", "id").alias("old_id"), F.format_string("{{Customer#%09d}}", "id").alias("new_id"))
+    got = relational.ordered_remap(docs, maps, "i", "t", ordered=False)
+    assert sorted(r.t for r in got.collect()) == [f"owner {{{{Customer#{i:09d}}}}}." for i in range(300)] and len(calls) == 1
+
+
+def test_filter_drops_other_grams(spark):
+    index = spark.range(5000).select(F.xxhash64("id").alias("__g"))
+    known = grams.Known.of(index, "__g", 5000, [4])
+    have = index.toArrow().column("__g").to_numpy().view(np.uint64)
+    low = lambda k: k & np.uint64((1 << known.power) - 1)
+    both = lambda k: known._has(k >> np.uint64(64 - known.power)) & known._has(low(k))
+    assert both(have).all() and both(np.random.default_rng(0).integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2)).mean() < 0.03
