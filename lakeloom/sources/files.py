@@ -1,4 +1,4 @@
-"""Files as rows: directory walk (SRC-5), appended lines by byte offset (STM-5), one file per document (SNK-3).
+"""Files as rows: directory walk (SRC-5), appended lines by byte offset (STM-5), one file per document (SNK-3), and files read whole.
 
 Folders are listed, log bytes read and documents written in Spark tasks through
 ``pyarrow.fs``, which reaches local and shared folders and the object stores that
@@ -184,20 +184,48 @@ class Exported(WriterCommitMessage):
     names: list[str] = field(default_factory=list)
 
 
+def _remove(fs: pafs.FileSystem, folder: str) -> None:
+    if fs.get_file_info(folder).type == pafs.FileType.Directory:
+        fs.delete_dir(folder)
+
+
+def _clear_target(fs: pafs.FileSystem, top: str, overwrite: bool) -> None:
+    if overwrite:
+        _remove(fs, top)
+    fs.create_dir(top, recursive=True)
+
+
+def _show(fs: pafs.FileSystem, own: str, top: str) -> int:
+    """Move the files below ``own`` to their places below ``top``; done again, it moves those that are left."""
+    moved = 0
+    for info in fs.get_file_info(pafs.FileSelector(own, recursive=True, allow_not_found=True)):
+        target = f"{top}/{info.path[len(own) + 1 :]}"
+        if info.is_file:
+            fs.move(info.path, target)
+            moved += 1
+        else:
+            fs.create_dir(target, recursive=True)
+    return moved
+
+
 class _FileWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
-        self.staging = f"{store(self.path)[1]}.__export_{uuid.uuid4().hex}"
+        self.staged = options.get("staging")
+        self.staging = self.staged or f"{store(self.path)[1]}.__export_{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Exported:
         fs, _ = store(self.path)
-        own, done = f"{self.staging}/{uuid.uuid4().hex}", 0
+        own, done, folders = f"{self.staging}/{uuid.uuid4().hex}", 0, set()
         for row in rows:
             name = row["path"]
             if not name or os.path.isabs(name) or ".." in name.split("/"):
                 raise ValueError(f"not a file name below the export: {name!r}")
             target = f"{own}/{name}"
-            fs.create_dir(os.path.dirname(target), recursive=True)
+            folder = os.path.dirname(target)
+            if folder not in folders:
+                fs.create_dir(folder, recursive=True)
+                folders.add(folder)
             with fs.open_output_stream(target) as out:
                 out.write(bytes(row["content"] or b""))
             done += 1
@@ -206,25 +234,22 @@ class _FileWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         """Show the files of the attempts that Spark took, and of no others."""
         fs, top = store(self.path)
-        if self.overwrite and fs.get_file_info(top).type == pafs.FileType.Directory:
-            fs.delete_dir(top)
-        fs.create_dir(top, recursive=True)
-        for message in messages:
-            for own in message.names if message and message.files else []:
-                for info in fs.get_file_info(pafs.FileSelector(own, recursive=True)):
-                    target = f"{top}/{info.path[len(own) + 1 :]}"
-                    if info.is_file:
-                        fs.move(info.path, target)
-                    else:
-                        fs.create_dir(target, recursive=True)
+        taken = [own for message in messages if message and message.files for own in message.names]
+        if self.staged:  # export_files moves them, in tasks
+            fs.create_dir(self.staging, recursive=True)
+            with fs.open_output_stream(f"{self.staging}/taken") as out:
+                out.write("\n".join(taken).encode())
+            return
+        _clear_target(fs, top, self.overwrite)
+        for own in taken:
+            _show(fs, own, top)
         self._clear(fs)
 
     def abort(self, messages: list) -> None:
         self._clear(store(self.path)[0])
 
     def _clear(self, fs: pafs.FileSystem) -> None:
-        if fs.get_file_info(self.staging).type == pafs.FileType.Directory:
-            fs.delete_dir(self.staging)
+        _remove(fs, self.staging)
 
 
 class FileExport(DataSource):
@@ -250,8 +275,68 @@ def export_files(df: DataFrame, path: str, name_col: str, b64_col: str, overwrit
     """Write each row's base64 content to the file ``path``/``name_col`` (SNK-3).
 
     Names are relative; of equal names one file stays; null content is an empty
-    file; bad base64 raises and nothing is written.
+    file; bad base64 raises and nothing is written.  When all files are written,
+    tasks move them into place, each those of one writing task; the driver holds
+    one path for each of these.
     """
-    df.sparkSession.dataSource.register(FileExport)
+    spark = df.sparkSession
+    spark.dataSource.register(FileExport)
+    fs, top = store(path)
+    staging = f"{top}.__export_{uuid.uuid4().hex}"
     rows = df.select(F.col(name_col).cast("string").alias("path"), F.to_binary(F.col(b64_col), F.lit("base64")).alias("content"))
-    rows.write.format("file_export").mode("overwrite" if overwrite else "append").option("path", path).save()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = store(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_show(fs, own, top) for own in batch.column(0).to_pylist()], pa.int64())], names=["files"])
+
+    try:
+        rows.write.format("file_export").mode("append").option("path", path).option("staging", staging).save()
+        with fs.open_input_file(f"{staging}/taken") as f:
+            taken = f.read().decode().split()
+        _clear_target(fs, top, overwrite)
+        if taken:
+            spark.createDataFrame([(own,) for own in taken], "own string").repartition(len(taken)).mapInArrow(move, "files long").collect()
+    finally:
+        _remove(fs, staging)
+
+
+# ---------------------------------------------------------------------------
+# SRC-4, SRC-6: many small files
+# ---------------------------------------------------------------------------
+
+#: A task reads about so many files or bytes, and hands on so many bytes at a time.
+TASK_FILES, TASK_BYTES, CALL_BYTES = 5_000, 128 << 20, 8 << 20
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (path, content): every file below ``root`` whole, but hidden ones (a name or folder with ``.`` or ``_`` in front).
+
+    Folders are listed and files read in tasks, so many small files cost the
+    driver nothing.  A store that pyarrow can't reach is read by Spark.
+    """
+    try:
+        store(root)
+    except (pa.ArrowInvalid, NotImplementedError):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    found = walk_paths(spark, root).where("not isDirectory").select("name", "contentLength").where("name not rlike '(^|/)([.]|_[^/=]*(/|$))'")
+    files, size = found.agg(F.count("*"), F.coalesce(F.sum("contentLength"), F.lit(0))).first()
+    tasks = max(1, min(files, spark.sparkContext.defaultParallelism), files // TASK_FILES, size // TASK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = store(root)
+        out = lambda paths, contents: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+        for batch in batches:
+            paths, contents, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{top}/{name}", buffer_size=0) as f:
+                    contents.append(f.read())
+                paths.append(f"{root.rstrip('/')}/{name}")
+                held += len(contents[-1])
+                if held >= CALL_BYTES:
+                    yield out(paths, contents)
+                    paths, contents, held = [], [], 0
+            if paths:
+                yield out(paths, contents)
+
+    return found.select("name").repartition(tasks).mapInArrow(run, "path string, content binary")
