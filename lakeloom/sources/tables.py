@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.documents import PAYLOAD_TYPES
 from ..functions.text import _c, clean_base64, js_trim
 from ..session import cut_lineage, scratch_path
+from .files import read_files
 
 
 def table_path(root: str, name: str, layout: str = "lake", fmt: str = "parquet") -> str:
@@ -209,9 +210,8 @@ def parse_json_col(text: Column | str, schema: T.DataType | str, default: Column
 
 def scan_json_docs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Package documents, one JSON document per file; unreadable documents
-    keep their row with a null payload (SRC-6)."""
-    raw = (spark.read.text(path, wholetext=True)
-           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    keep their row with a null payload, empty files have none (SRC-6)."""
+    raw = read_files(spark, path).where("octet_length(content) > 0").select("path", F.col("content").cast("string").alias("raw"))
     return raw.select("path", "raw", parse_json_col("raw", schema).alias("doc"))
 
 

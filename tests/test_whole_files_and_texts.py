@@ -3,7 +3,9 @@
 import base64
 import os
 
-from lakeloom.sources import files
+from pyspark.sql import types as T
+
+from lakeloom.sources import files, tables
 
 
 def test_driver_moves_no_file(spark, tmp_dir, monkeypatch):
@@ -17,3 +19,14 @@ def test_driver_moves_no_file(spark, tmp_dir, monkeypatch):
     got = {r.path: bytes(r.content) for r in files.read_files(spark, f"{tmp_dir}/e").collect()}
     assert got == {f"{tmp_dir}/e/{i % 4}/{i}.bin": bytes([i]) for i in range(40)} | {f"{tmp_dir}/e/0/none.bin": b""}
     assert files.read_files(spark, f"{tmp_dir}/nothing").count() == 0
+
+
+def test_documents_of_one_file_each(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(files, "TASK_FILES", 3)
+    for i, text in enumerate(['{"a": 1}', "broken", "", '{"a": 2}\n', "é"]):
+        os.makedirs(f"{tmp_dir}/d/{i % 2}", exist_ok=True)
+        with open(f"{tmp_dir}/d/{i % 2}/{i}.json", "w", encoding="utf-8") as f:
+            f.write(text)
+    found = tables.scan_json_docs(spark, f"{tmp_dir}/d", T.StructType([T.StructField("a", T.LongType())]))
+    got = {os.path.basename(r.path): (r.raw, r.doc and r.doc.a) for r in found.collect()}
+    assert got == {"0.json": ('{"a": 1}', 1), "1.json": ("broken", None), "3.json": ('{"a": 2}\n', 2), "4.json": ("é", None)}
