@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -11,12 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_model import SPACE, build_tokenizer
+from .sentencepiece_model import BYTE, SPACE, build_tokenizer, parse_model, words_are_independent
 from .shared import appended, query, read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of one multithreaded call hold about this many characters (a longer text is a call of its own).
 CALL_CHARS = 1 << 18
+#: Texts of a batch that are Python strings at once.
+ROWS = 256
+#: A word with the markers before it, as the model's tokenizer splits a text that begins with a marker.
+WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 def load_model(path: str = MODEL_PATH) -> bytes:
@@ -31,23 +37,74 @@ def _tokenizer(model: bytes, threads: int):
     return build_tokenizer(model)
 
 
+class _WordIds(dict):
+    """Ids (int32 bytes) of words with the markers before them; forgets its words when it holds ``limit``."""
+
+    def __init__(self, model: bytes, limit: int = 1 << 17):
+        super().__init__()
+        self.tok, self.limit = build_tokenizer(model, prefix=False), limit
+        self.size = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in parse_model(model).pieces], np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words end to end; each has the ids whose bytes are its own."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        done, ends = np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in words])
+        last = np.minimum(np.searchsorted(done, ends), len(ids) - 1)
+        if (done[last] == ends).all():
+            until = (last + 1).tolist()
+            self.update((w, ids[i:j].tobytes()) for w, i, j in zip(words, [0, *until], until, strict=False))
+        else:  # unknown characters, which no byte stands for
+            self.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True))
+
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.clear()
+        if new := sorted(set(chain.from_iterable(texts)).difference(self)):
+            self._learn(new)
+        return [b"".join(map(self.__getitem__, words)) for words in texts]
+
+
 class TextEncoder:
-    """Ids of whole texts; on request each is decoded again and compared with the sentencepiece library."""
+    """Ids of whole texts; on request each is decoded again and compared with the sentencepiece library.
+
+    Where a model's words are independent, a text's ids are put together from
+    those of all its words, each word encoded once a while; other models encode
+    the text at once.
+    """
 
     def __init__(self, model: bytes, threads: int, verify: bool = False):
-        self.tok, self.threads, self.library = _tokenizer(model, threads), threads, None
+        self.tok, self.threads, self.library, parsed = _tokenizer(model, threads), threads, None, parse_model(model)
+        self.words = _WordIds(model) if words_are_independent(parsed) else None
+        self.pieces = None
         if verify:
             import sentencepiece
             self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+            if self.words is not None:
+                self.pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in parsed.pieces]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian int32."""
+        if self.words is None:
+            return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        return self.words.of([WORDS.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts])
 
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    def _same(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.pieces.__getitem__, ids)) == (" " + text.replace(SPACE, " ") if text else "").encode()
 
-    def checked(self, texts: list[str | None], ids: list[list[int]]) -> tuple[list[bool], list[bool]]:
+    def checked(self, texts: list[str | None], ids: list[bytes]) -> tuple[list[bool], list[bool]]:
         """Whether each text's ids decode to it (U+2581 is the space it stands for), and whether the library has the same ids for it."""
-        plain = [t or "" for t in texts]
-        back = [a == t.replace(SPACE, " ") for a, t in zip(self.tok.decode_batch(ids, skip_special_tokens=False), plain, strict=True)]
-        return back, [a == b for a, b in zip(ids, self.library.encode(plain, num_threads=self.threads), strict=True)]
+        plain, lists = [t or "" for t in texts], [np.frombuffer(i, "<i4").tolist() for i in ids]
+        if self.pieces is not None:
+            back = list(map(self._same, lists, plain))
+        else:
+            back = [a == t.replace(SPACE, " ") for a, t in zip(self.tok.decode_batch(lists, skip_special_tokens=False), plain, strict=True)]
+        return back, [a == b for a, b in zip(lists, self.library.encode(plain, num_threads=self.threads), strict=True)]
+
+
+@lru_cache(1)
+def _encoder(model: bytes, threads: int, verify: bool) -> TextEncoder:
+    """The encoder of a Python worker, kept for its next task."""
+    return TextEncoder(model, threads, verify)
 
 
 def _threads(docs: DataFrame, threads: int | None) -> int:
@@ -64,15 +121,16 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: bytes, out: str =
     threads = _threads(docs, threads)
 
     def make():
-        encoder = TextEncoder(model, threads)
+        encoder = _encoder(model, threads, False)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            parts, sizes = [], [0]
-            for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS):
-                ids = encoder(texts)
-                sizes += map(len, ids)
-                parts.append(np.fromiter(chain.from_iterable(ids), np.int32))
-            return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))]
+            parts, sizes, column = [], [0], batch.column("__text")
+            for at in range(0, len(column), ROWS):
+                for texts in slices(column.slice(at, ROWS).to_pylist(), CALL_CHARS):
+                    ids = encoder(texts)
+                    sizes += [len(i) // 4 for i in ids]
+                    parts += ids
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))]
         return run
 
     return appended(docs, {"__text": text_col}, make, f"{out} array<int>")
@@ -101,15 +159,15 @@ def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threads = _threads(docs, threads)
 
     def make():
-        encoder = TextEncoder(model, threads, verify=True)
+        encoder = _encoder(model, threads, True)
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             count, digest, back, same = [], [], [], []
             for texts in slices(batch.column("__text").to_pylist(), CALL_CHARS):
                 ids = encoder(texts)
                 decoded, agreed = encoder.checked(texts, ids)
-                count += map(len, ids)
-                digest += [xxhash.xxh3_64_hexdigest(np.array(i, "<i4").tobytes()) for i in ids]
+                count += [len(i) // 4 for i in ids]
+                digest += map(xxhash.xxh3_64_hexdigest, ids)
                 back += decoded
                 same += agreed
             return [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back), pa.array(same)]
