@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 LONGEST = 8
 #: Bits of the filter as a power of two: at least, and at most (32 MB).
 LEAST_BITS, MOST_BITS = 16, 28
+#: Counters of the ids' grams as a power of two: at least, and at most (16 MB).
+LEAST_COUNTERS, MOST_COUNTERS = 12, 22
 #: Bytes whose grams are made at once, and of the texts that are searched at once (a longer text alone).
 WINDOW, CALL_BYTES = 1 << 17, 1 << 20
 
@@ -65,24 +67,60 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-def of_ids(ids: DataFrame, col: str, sizes: list[int]) -> DataFrame:
-    """Rows (``col``, ``__g``, ``__at``): the distinct grams of each id, of the id's own length or the largest of ``sizes``, and their first places in bytes."""
+def _of_rows(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, gram) of the grams of a column of ids, each of the id's own length or the largest of ``sizes``."""
+    data, ends = _bytes(column.cast(pa.binary()))
+    rows, places, found = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64))
+    own = np.minimum(np.diff(ends), sizes[-1])
+    for at, k, keys in _runs(data, sizes):
+        place = np.arange(at, at + len(keys))
+        row = np.searchsorted(ends, place, "right") - 1
+        inside = (own[row] == k) & (place + k <= ends[row + 1])
+        rows.append(row[inside])
+        places.append((place - ends[row])[inside])
+        found.append(keys[inside])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(found)
+
+
+def counted(ids: DataFrame, col: str, n: int, sizes: list[int]) -> np.ndarray:
+    """How often the grams of ``n`` ids occur, in a bounded table of counters that grams share by hash.
+
+    Tasks count and Spark adds up; the sums come to the driver, at most 4 million
+    however many the grams.  A shared counter only makes a gram look more frequent.
+    """
+    power = min(MOST_COUNTERS, max(LEAST_COUNTERS, (4 * n).bit_length()))
+
+    def run(batches):
+        total, any_rows = np.zeros(1 << power, np.int64), False
+        for batch in batches:
+            for _, part in _pieces(batch.column(0).cast(pa.binary())):
+                any_rows = True
+                np.add.at(total, (_of_rows(part, sizes)[2] >> np.uint64(64 - power)).astype(np.int64), 1)
+        if any_rows:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    sums = ids.select(col).mapInArrow(run, "at long, n long").groupBy("at").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << power, np.int32)
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def rarest(ids: DataFrame, col: str, counts: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``ids`` with ``__g`` and ``__at``: of each id's grams the one of the smallest counter, and its first place in bytes."""
+    own, shipped = ids.columns, ids.sparkSession.sparkContext.broadcast(counts)
+
     def run(batches):
+        shift = np.uint64(64 - (len(shipped.value).bit_length() - 1))
         for batch in batches:
-            data, ends = _bytes(batch.column(0).cast(pa.binary()))
-            rows, places, found = ([np.zeros(0, np.int64)] for _ in range(3))
-            own = np.minimum(np.diff(ends), sizes[-1])
-            for at, k, keys in _runs(data, sizes):
-                place = np.arange(at, at + len(keys))
-                row = np.searchsorted(ends, place, "right") - 1
-                inside = (own[row] == k) & (place + k <= ends[row + 1])
-                rows.append(row[inside])
-                places.append((place - ends[row])[inside])
-                found.append(keys[inside].view(np.int64))
-            row, place, key = (np.concatenate(x) for x in (rows, places, found))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), pa.array(place)], names=[col, "__g", "__at"])
-
-    return ids.select(col).mapInArrow(run, f"{col} string, __g long, __at long").groupBy(col, "__g").agg(F.min("__at").alias("__at"))
+            for start, part in _pieces(batch.column(col).cast(pa.binary())):
+                row, place, key = _of_rows(part, sizes)
+                order = np.lexsort((place, key.view(np.int64), shipped.value[(key >> shift).astype(np.int64)], row))
+                best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+                rows = batch.slice(start, len(part)).take(pa.array(row[best]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key[best].view(np.int64)), pa.array(place[best])], names=[*own, "__g", "__at"])
+
+    return ids.mapInArrow(run, T.StructType([*ids.schema.fields, T.StructField("__g", T.LongType()), T.StructField("__at", T.LongType())]))
 
 
 class Exact:

@@ -282,7 +282,7 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     applied in mapping order, literal substring semantics (JN-10).
 
     Candidate mappings are found by one gram per old id -- its rarest among all
-    ids, so shared prefixes do not create a hot key.  An id's gram has its own
+    ids by a bounded table of counts, so shared prefixes do not create a hot key.  An id's gram has its own
     length (the id's, at most ``max_gram`` bytes and 8), so one short id changes
     nothing for others.  A candidate whose id is absent is a no-op in the fold,
     so the candidate set only has to contain every id that ever occurs.  A
@@ -305,14 +305,11 @@ def ordered_remap(docs: DataFrame, mapping: DataFrame, doc_seq: str, text_col: s
     sizes = sorted(r[0] for r in m.select(size).distinct().collect())  # 8 values at most
     if not sizes:
         return docs
-    lowest, highest, reach = m.agg(F.min("__mseq"), F.max("__mseq"), F.max(F.length("__old")) - 1).first()
+    lowest, highest, reach, n_maps = m.agg(F.min("__mseq"), F.max("__mseq"), F.max(F.length("__old")) - 1, F.count(F.lit(1))).first()
     # of several mappings for one id only the earliest can act on what is there at first
-    first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f"))
-    mg = grams.of_ids(first.select("__old"), "__old", sizes)
-    freq = mg.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    chosen = (mg.hint("merge").join(freq, "__g").groupBy("__old").agg(F.min(F.struct("__n", "__g", "__at")).alias("__c"))
-              .select("__old", "__c.__g", "__c.__at"))
-    index = cut_lineage(first.join(chosen, "__old").select("__g", "__at", F.col("__f.__mseq").alias("__mseq"), "__old", F.col("__f.__new").alias("__new")))
+    first = m.groupBy("__old").agg(F.min(F.struct("__mseq", "__new")).alias("__f")).select("__f.__mseq", "__old", "__f.__new")
+    counts = grams.counted(ensure_parallelism(m.select("__old")), "__old", n_maps, sizes)
+    index = cut_lineage(grams.rarest(first, "__old", counts, sizes).select("__g", "__at", "__mseq", "__old", "__new"))
     # the id index is shipped when its counted size allows, so the document
     # grams are never shuffled; beyond the limit, a shuffle join
     n_rows, n_chars = index.agg(F.count(F.lit(1)), F.sum(2 * F.length("__old") + F.length("__new"))).first()

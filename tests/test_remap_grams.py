@@ -64,3 +64,42 @@ def test_filter_drops_other_grams(spark):
     low = lambda k: k & np.uint64((1 << known.power) - 1)
     both = lambda k: known._has(k >> np.uint64(64 - known.power)) & known._has(low(k))
     assert both(have).all() and both(np.random.default_rng(0).integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2)).mean() < 0.03
+
+
+def test_ids_grams_are_not_joined(spark, monkeypatch):
+    """An id's gram is chosen where the id is read: no row for each gram of an id, and no join of them with their counts."""
+    seen, own = [], relational.cut_lineage
+
+    def cut(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((plan, own(df)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(relational, "cut_lineage", cut)
+    docs = spark.createDataFrame([(i, f"owner cust-{i:08d}.") for i in range(300)], "i long, t string")
+    maps = spark.range(300).select(F.lit(1).alias("seq"), F.format_string("cust-%08d", "id").alias("old_id"), F.format_string("{{Customer#%09d}}", "id").alias("new_id"))
+    got = relational.ordered_remap(docs, maps, "i", "t", ordered=False)
+    assert sorted(r.t for r in got.collect()) == [f"owner {{{{Customer#{i:09d}}}}}." for i in range(300)]
+    index = next(d for _, d in seen if "__g" in d.columns)
+    assert not any("Join" in plan for plan, d in seen if "__g" in d.columns)
+    # the prefix that all ids share is nobody's gram
+    assert index.count() == 300 and index.groupBy("__g").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_rarest_gram_of_an_id(spark):
+    """First places in bytes, ids of all lengths, a gram twice in an id, counts that are shared by few counters."""
+    ids = ["a", "é", "abcabcabcabc", "xxxxxxxxxxxx", "common-000001", "common-000002", "𝄞𝄞𝄞"]
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "o string, n int")
+    sizes = sorted({min(len(i.encode()), 8) for i in ids})
+    counts = grams.counted(df.select("o"), "o", len(ids), sizes)
+    assert counts.sum() == sum(len(i.encode()) - min(len(i.encode()), 8) + 1 for i in ids)
+    for table in (counts, np.zeros(4096, np.int32)):
+        got = {r.o: r for r in grams.rarest(df, "o", table, sizes).collect()}
+        assert sorted(got) == sorted(ids) and all(ids[r.n] == o for o, r in got.items())
+        for o, r in got.items():
+            data, k = np.frombuffer(o.encode(), np.uint8), min(len(o.encode()), 8)
+            keys = next(v for _, size, v in grams._runs(data, [k]) if size == k)[: len(data) - k + 1].view(np.int64)
+            assert r["__at"] == int(np.flatnonzero(keys == r["__g"])[0])
+    got = {r.o: r["__at"] for r in grams.rarest(df, "o", counts, sizes).collect()}
+    assert got["common-000001"] == 5 and got["common-000002"] == 5
+    assert grams.rarest(df.limit(0), "o", counts, sizes).count() == 0
