@@ -37,6 +37,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 TRAIN_CHARS, TRAIN_LEAST = 6_000, 2 * LEAST_TEXTS
 #: Texts are scored some characters at a time.
 CALL_CHARS = 2_000_000
+#: Training goes over texts of about this many words at a time, and over as many n-grams.
+TRAIN_PART = 50_000
 
 
 @dataclass
@@ -127,61 +129,115 @@ def train(texts: list[str], labels: np.ndarray, *, first: int = 10, steps: int =
     return calibrate(model, worst, y, aside)
 
 
-def embed(texts: list[str], y: np.ndarray, rng: np.random.Generator, *, first: int = 10, steps: int = 25, rate: float = 0.15) -> ToxicityModel:
-    """Embeddings and softmax, without the logistic cut, from texts of both labels."""
-    vocabulary: dict[str, int] = {}
-    runs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in marked_words(t.lower())), np.int32) for t in texts]
-    counts, word = np.array([len(r) for r in runs], np.int64), np.concatenate(runs)
-    doc = np.repeat(np.arange(len(y)), counts)
+def text_runs(counts: np.ndarray) -> list[tuple[slice, slice]]:
+    """(texts, words) of texts laid end to end, about ``TRAIN_PART`` words at a time (a longer text alone)."""
+    ends, start, out = np.cumsum(counts), 0, []
+    while start < len(counts):
+        before = ends[start] - counts[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + TRAIN_PART, "right")))
+        out.append((slice(start, stop), slice(before, ends[stop - 1])))
+        start = stop
+    return out
 
-    # n-grams that enough training texts have
-    ids, owner = sorted_ngrams(list(vocabulary))
-    reach = np.bincount(owner, minlength=len(vocabulary))
-    seen = np.unique(doc * len(vocabulary) + word.astype(np.int64))
+
+def summed(index: np.ndarray, values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """``np.bincount(index, values[at], size)`` without copies of the whole; sums are taken in the same order."""
+    out = np.zeros(size)
+    for i in range(0, len(index), TRAIN_PART):
+        np.add.at(out, index[i : i + TRAIN_PART], values[at[i : i + TRAIN_PART]])
+    return out
+
+
+@dataclass
+class WindowRun:
+    """Windows of some training texts; places count from the run's first word, ``own`` are its windows among all."""
+    words: slice
+    own: slice
+    begin: np.ndarray
+    size: np.ndarray
+    toxic: np.ndarray
+    first: np.ndarray  # of each text
+    per_text: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray, y: np.ndarray) -> list[WindowRun]:
+        out, at = [], 0
+        for texts, words in text_runs(counts):
+            begin, size, text = windows(counts[texts])
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            if len(begin):
+                out.append(WindowRun(words, slice(at, at + len(begin)), begin.astype(np.int32), size.astype(np.int32), y[texts][text] == 1,
+                                     first.astype(np.int32), np.diff(first, append=len(text)).astype(np.int32)))
+            at += len(begin)
+        return out
+
+
+def known_ngrams(counts: np.ndarray, word: np.ndarray, ids: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The n-grams that enough training texts have."""
+    seen = [np.zeros(0, np.int64)]
+    for texts, words in text_runs(counts):
+        doc = np.repeat(np.arange(texts.start, texts.stop), counts[texts])
+        seen.append(np.unique(doc * len(reach) + word[words].astype(np.int64)))
+    seen = np.concatenate(seen)
     starts = np.cumsum(reach) - reach
     texts_of = np.zeros(1 << BITS, np.int64)
     for part in np.array_split(seen, max(1, len(seen) // 20_000)):
-        d, w = np.divmod(part, len(vocabulary))
+        d, w = np.divmod(part, len(reach))
         at = np.repeat(starts[w], reach[w]) + np.arange(reach[w].sum()) - np.repeat(np.cumsum(reach[w]) - reach[w], reach[w])
         # a text that lies in two parts counts twice at most, for the n-grams at the seam
         texts_of += np.bincount(np.unique(np.repeat(d, reach[w]) << BITS | ids[at]) & ((1 << BITS) - 1), minlength=1 << BITS)
-    del doc, seen
-    known = np.flatnonzero(texts_of >= LEAST_TEXTS)
+    return np.flatnonzero(texts_of >= LEAST_TEXTS)
+
+
+def embed(texts: list[str], y: np.ndarray, rng: np.random.Generator, *, first: int = 10, steps: int = 25, rate: float = 0.15) -> ToxicityModel:
+    """Embeddings and softmax, without the logistic cut, from texts of both labels.
+
+    The driver trains, so beside a number for each word and window and two for
+    each n-gram of a word it holds what belongs to ``TRAIN_PART`` words.
+    """
+    vocabulary: dict[str, int] = {}
+    word = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in marked_words(t.lower())), np.int32) for t in texts]
+    counts, word = np.array([len(r) for r in word], np.int64), np.concatenate(word)
+    ids, owner = sorted_ngrams(list(vocabulary))
+    n_words = len(vocabulary)
+    del vocabulary
+    known = known_ngrams(counts, word, ids, np.bincount(owner, minlength=n_words))
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
     gram = place[ids]
     owner, gram = owner[gram >= 0], gram[gram >= 0]
     del ids
-    share_of = 1 / np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
+    share_of = 1 / np.maximum(np.bincount(owner, minlength=n_words), 1)
 
     params = {"e": rng.normal(0, 0.1, (len(known), DIM)), "w": rng.normal(0, 0.5, DIM), "b": np.zeros(1)}
     adam = Adam(params, rate)
-    begin, size, text = windows(counts)
-    begin, size, text = begin.astype(np.int32), size.astype(np.int32), text.astype(np.int32)
-    at = np.repeat(begin - (np.cumsum(size, dtype=np.int32) - size), size)
-    at += np.arange(len(at), dtype=np.int32)
-    window_of, word_of = np.repeat(np.arange(len(begin), dtype=np.int32), size), word[at]
-    del at, runs
-    toxic = y[text] == 1
-    first_window = np.flatnonzero(np.diff(text, prepend=-1))
-    per_text = np.diff(first_window, append=len(text))
+    runs = WindowRun.of(counts, y)
+    n_windows = runs[-1].own.stop if runs else 0
+    d, used = np.zeros(n_windows), np.zeros(n_windows, bool)
     for step in range(first + steps):
         # the softmax is linear: every sum over vectors is a sum over one number for each n-gram
-        of_word = np.bincount(owner, (params["e"] @ params["w"])[gram], len(vocabulary)) * share_of
-        total = np.concatenate([[0.0], np.cumsum(of_word[word])])
-        z = (total[begin + size] - total[begin]) / size + params["b"][0]
-        del total
-        weight = np.ones(len(z), np.float32)
-        if step >= first:
-            weight[toxic & (z < np.repeat(np.maximum.reduceat(z, first_window), per_text))] = 0
-        for own in (toxic, ~toxic):  # both labels weigh the same
-            weight[own] /= max(weight[own].sum(), 1)
-        d = weight * (sigmoid(z) - toxic)
+        of_word = summed(owner, params["e"] @ params["w"], gram, n_words) * share_of
+        before, n_used = 0.0, {True: 0, False: 0}
+        for r in runs:
+            total = np.cumsum(np.concatenate([[before], of_word[word[r.words]]]))
+            before = total[-1]
+            z = d[r.own] = (total[r.begin + r.size] - total[r.begin]) / r.size + params["b"][0]
+            used[r.own] = True
+            if step >= first:
+                used[r.own] = ~(r.toxic & (z < np.repeat(np.maximum.reduceat(z, r.first), r.per_text)))
+            for v in n_used:
+                n_used[v] += int((used[r.own] & (r.toxic == v)).sum())
+        # both labels weigh the same
+        weight = {v: np.float32(1) / np.float32(max(n, 1)) for v, n in n_used.items()}
+        spread = np.zeros(n_words)
+        for r in runs:
+            d[r.own] = np.where(used[r.own], np.where(r.toxic, weight[True], weight[False]), np.float32(0)) * (sigmoid(d[r.own]) - r.toxic)
+            pick = np.flatnonzero(d[r.own])
+            size = r.size[pick]
+            at = np.repeat(r.begin[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            np.add.at(spread, word[r.words][at], np.repeat(d[r.own][pick] / size, size))
         bias = d.sum()
-        pick = (d != 0)[window_of]
-        d /= size
-        spread = np.bincount(word_of[pick], d[window_of[pick]], len(vocabulary))
-        of_gram = np.bincount(gram, (spread * share_of)[owner], len(known))
+        of_gram = summed(gram, spread * share_of, owner, len(known))
         adam.step({"e": np.outer(of_gram, params["w"]) + 1e-6 * params["e"], "w": of_gram @ params["e"] + 1e-6 * params["w"], "b": np.array([bias])})
     table = np.full(1 << BITS, np.nan)
     table[known] = params["e"] @ params["w"]
