@@ -73,8 +73,9 @@ class TextEncoder:
     """
 
     def __init__(self, model: bytes, threads: int, verify: bool = False):
-        self.tok, self.threads, self.library, parsed = _tokenizer(model, threads), threads, None, parse_model(model)
+        self.threads, self.library, parsed = threads, None, parse_model(model)
         self.words = _WordIds(model) if words_are_independent(parsed) else None
+        self.tok = _tokenizer(model, threads) if self.words is None else None  # else the words' tokenizer is the only one
         self.pieces = None
         if verify:
             import sentencepiece
