@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents as docs
 from ..functions.text import intercept_base64, sanitize_name, suffix_name
-from ..session import cut_lineage
+from ..session import scratch_path
 from ..sources.files import export_files
 from ..sources.tables import resolve_payload
 
@@ -43,6 +45,13 @@ def replaced(text: Column, definition: Column, variables: Column) -> Column:
                        lambda done, e: F.replace(done, e["key"], value(e["value"])))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back; a checkpoint would not be compressed."""
+    path = scratch_path(df.sparkSession, f"packages-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def render_packages(packages: DataFrame, files: DataFrame, key: str, raw_col: str, deployment_id: str, workspace_id: str,
                     folder_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rendered parts, rejected packages) of package documents, one JSON text per row.
@@ -58,8 +67,8 @@ def render_packages(packages: DataFrame, files: DataFrame, key: str, raw_col: st
 
     Parts: ``key``, ``item`` (its place), ``item_name`` (with the deployment's id
     where names are suffixed), ``item_type``, ``path``, ``content`` (base64) and
-    ``file``, the place to write it to.  Validated packages are checkpointed
-    once; only linked payloads are shuffled, by their path.
+    ``file``, the place to write it to.  Validated packages are written
+    once, compressed; only linked payloads are shuffled, by their path.
     """
     own = {"deployment": F.col(deployment_id), "workspace": F.col(workspace_id), "folder": F.col(folder_id) if folder_id else F.lit(None)}
     seen = packages.select(key, *[c.cast("string").alias(f"__{n}") for n, c in own.items()], F.from_json(raw_col, _PACKAGE).alias("__doc"),
@@ -72,8 +81,9 @@ def render_packages(packages: DataFrame, files: DataFrame, key: str, raw_col: st
         return F.when(given.isNotNull() & ~ends, F.concat(F.lit("item "), i.cast("string"), F.lit(": interceptor references have no end")))
 
     chains = F.filter(F.transform(F.col("__doc.items"), endless), lambda m: m.isNotNull())
-    checked = cut_lineage(seen.withColumn("__errors", F.concat("__errors", F.when(F.size("__errors") == 0, F.coalesce(chains, F.array().cast("array<string>")))
-                                                               .otherwise(F.array().cast("array<string>")))))
+    checked = _kept(seen.withColumn("__errors", F.concat("__errors", F.when(F.size("__errors") == 0, F.coalesce(chains, F.array().cast("array<string>")))
+                                                         .otherwise(F.array().cast("array<string>"))))
+                    .withColumn("__doc", F.when(F.size("__errors") == 0, F.col("__doc"))))
     rejected = checked.where(F.size("__errors") > 0).select(key, F.col("__errors").alias("errors"))
     fixed = F.create_map(F.lit(docs.DEPLOYMENT_ID), F.col("__deployment"), F.lit(docs.PACKAGE_ID), F.col("__doc.id"),
                          F.lit(docs.WORKSPACE_ID), F.col("__workspace"), F.lit(docs.FOLDER_ID), F.col("__folder"))

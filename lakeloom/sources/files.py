@@ -195,17 +195,26 @@ def _clear_target(fs: pafs.FileSystem, top: str, overwrite: bool) -> None:
     fs.create_dir(top, recursive=True)
 
 
-def _show(fs: pafs.FileSystem, own: str, top: str) -> int:
-    """Move the files below ``own`` to their places below ``top``; done again, it moves those that are left."""
-    moved = 0
-    for info in fs.get_file_info(pafs.FileSelector(own, recursive=True, allow_not_found=True)):
+def _show(fs: pafs.FileSystem, own: str, top: str) -> None:
+    """Move what is below ``own`` to its places below ``top``; done again, it moves what is left.
+
+    A folder that ``top`` doesn't have yet moves as a whole, where a rename can't
+    end in a folder that another task has shown meanwhile: so folders, which may
+    take more room than the files in them, are not there twice.
+    """
+    whole = isinstance(fs, pafs.LocalFileSystem)
+    for info in fs.get_file_info(pafs.FileSelector(own, recursive=not whole, allow_not_found=True)):
         target = f"{top}/{info.path[len(own) + 1 :]}"
         if info.is_file:
             fs.move(info.path, target)
-            moved += 1
-        else:
+        elif not whole:
             fs.create_dir(target, recursive=True)
-    return moved
+        else:
+            try:
+                fs.move(info.path, target)
+            except OSError:  # the folder is there and has entries
+                fs.create_dir(target, recursive=True)
+                _show(fs, info.path, target)
 
 
 class _FileWriter(DataSourceWriter):
@@ -288,7 +297,9 @@ def export_files(df: DataFrame, path: str, name_col: str, b64_col: str, overwrit
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = store(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_show(fs, own, top) for own in batch.column(0).to_pylist()], pa.int64())], names=["files"])
+            for own in batch.column(0).to_pylist():
+                _show(fs, own, top)
+            yield batch
 
     try:
         rows.write.format("file_export").mode("append").option("path", path).option("staging", staging).save()
@@ -296,7 +307,7 @@ def export_files(df: DataFrame, path: str, name_col: str, b64_col: str, overwrit
             taken = f.read().decode().split()
         _clear_target(fs, top, overwrite)
         if taken:
-            spark.createDataFrame([(own,) for own in taken], "own string").repartition(len(taken)).mapInArrow(move, "files long").collect()
+            spark.createDataFrame([(own,) for own in taken], "own string").repartition(len(taken)).mapInArrow(move, "own string").collect()
     finally:
         _remove(fs, staging)
 
