@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -73,9 +73,8 @@ class TextEncoder:
     """
 
     def __init__(self, model: bytes, threads: int, verify: bool = False):
-        self.threads, self.library, parsed = threads, None, parse_model(model)
+        self.model, self.threads, self.library, parsed = model, threads, None, parse_model(model)
         self.words = _WordIds(model) if words_are_independent(parsed) else None
-        self.tok = _tokenizer(model, threads) if self.words is None else None  # else the words' tokenizer is the only one
         self.pieces = None
         if verify:
             import sentencepiece
@@ -83,6 +82,11 @@ class TextEncoder:
             if self.words is not None:
                 self.pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in parsed.pieces]
 
+    @cached_property
+    def tok(self):
+        """The tokenizer of texts at once; not made where the words' tokenizer does."""
+        return _tokenizer(self.model, self.threads)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
         if self.words is None:
