@@ -84,8 +84,8 @@ class TextEncoder:
 
     @cached_property
     def tok(self):
-        """The tokenizer of texts at once; not made where the words' tokenizer does."""
-        return _tokenizer(self.model, self.threads)
+        """The tokenizer of texts at once, made when it is asked for; None where the words' tokenizer does and nothing is verified."""
+        return None if self.words is not None and self.library is None else _tokenizer(self.model, self.threads)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
